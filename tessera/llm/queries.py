@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing, token_files, tokens
+from tessera.llm import audio, language, packing, pieces, token_files, tokens
 from tessera.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = tokens.path("piece_bpe_32k.model")
+    d = pieces.decode(pieces.encode(documents(spark, sf_dir), file), file)
+    whole = F.coalesce("text", F.lit(""))
+    return d.select("doc_id", F.length(whole).cast("long").alias("n_chars"), "n_tokens", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == whole).alias("lossless"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_digests(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokens.path("byte_bpe_50k.json"))
 
@@ -21,7 +37,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_packing, op10_token_files)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_language, op5_audio, op9_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

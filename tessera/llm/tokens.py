@@ -10,12 +10,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 from tessera.llm.common import spread
 
-#: Distinct cuts kept by a worker; beyond it the table starts anew, which changes no result.
+#: Distinct cuts kept by a worker; beyond it those that came once are forgotten, which changes no result.
 KEPT = 400_000
 #: White space to Python's str methods and re, but not to the tokenizers library.
 ODD = re.compile("[\x1c-\x1f]")
@@ -39,20 +40,14 @@ class _Index(dict):
         return at
 
 
-class Encoder:
-    """ids(texts) gives the ids of many texts end to end and the number of each."""
+class Table:
+    """The ids of cuts met so far; learn(cuts) gives the ids of new ones end to end and the number of each."""
 
-    def __init__(self, file: str, drops_space: bool, kept: int = KEPT):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.drops_space, self.kept = drops_space, kept
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int = KEPT):
+        self.learn, self.kept = learn, kept
         self.index, self.flat, self.counts, self.used = _Index(), array("I"), array("I"), np.zeros(0, np.int64)
 
     def _renew(self) -> None:
-        """Keeps the cuts that came more than once."""
         counts, flat = np.array(self.counts, np.int64), np.array(self.flat, np.uint32)
         keep = np.flatnonzero(self.used > 1)
         starts = np.cumsum(counts) - counts
@@ -62,38 +57,56 @@ class Encoder:
         self.counts = array("I", counts[keep].astype(np.uint32).tobytes())
         self.used = np.ones(len(keep), np.int64)
 
-    def _cuts(self, text: str) -> list[str]:
+    def ids(self, cuts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lists of cuts end to end, and how many each cut has."""
+        if len(self.index) > self.kept:
+            self._renew()
+        at = [np.array(list(map(self.index.__getitem__, x)), np.int64) for x in cuts]
+        new, self.index.new = self.index.new, []
+        if new:
+            ids, counts = self.learn(new)
+            self.flat.frombytes(ids.astype(np.uint32).tobytes())
+            self.counts.frombytes(counts.astype(np.uint32).tobytes())
+        at = np.concatenate([np.zeros(0, np.int64), *at])
+        self.used = np.concatenate([self.used, np.zeros(len(self.index) - len(self.used), np.int64)])
+        self.used += np.bincount(at, minlength=len(self.index))
+        counts = np.array(self.counts, np.int64)
+        starts = np.cumsum(counts) - counts
+        each = counts[at]
+        return np.array(self.flat, np.uint32)[spread(starts[at], each)], each
+
+
+class Encoder:
+    """ids(texts) gives the ids of many texts end to end and the number of each."""
+
+    def __init__(self, file: str, drops_space: bool, kept: int = KEPT):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer.encode_special_tokens = True
+        self.drops_space = drops_space
+        self.table = Table(self._learn, kept)
+
+    def _cuts(self, text: str | None) -> list[str]:
+        if not text:
+            return []
         if ODD.search(text):
             return [text]
         return text.split() if self.drops_space else WITH_SPACE.findall(text)
 
-    def _learn(self) -> None:
-        new, self.index.new = self.index.new, []
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [], []
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            self.flat.frombytes(np.array(e.ids, np.uint32).tobytes())
-            of = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-            self.counts.frombytes(np.bincount(of, minlength=len(part)).astype(np.uint32).tobytes())
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > self.kept:
-            self._renew()
-        at, n = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                found = list(map(self.index.__getitem__, self._cuts(text)))
-                n[i] = len(found)
-                at.append(np.array(found, np.int64))
-        self._learn()
-        if not at:
-            return np.zeros(0, np.uint32), n
-        at = np.concatenate(at)
-        self.used = np.concatenate([self.used, np.zeros(len(self.index) - len(self.used), np.int64)])
-        self.used += np.bincount(at, minlength=len(self.index))
-        counts = np.array(self.counts, np.int64)
-        starts = np.cumsum(counts) - counts
-        each = counts[at]
+        cuts = [self._cuts(t) for t in texts]
+        ids, each = self.table.ids(cuts)
         total = np.concatenate(([0], np.cumsum(each)))
-        ends = np.concatenate(([0], np.cumsum(n)))
-        return np.array(self.flat, np.uint32)[spread(starts[at], each)], total[ends[1:]] - total[ends[:-1]]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in cuts], dtype=np.int64)))
+        return ids, total[ends[1:]] - total[ends[:-1]]
