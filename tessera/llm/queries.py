@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, language, packing, pieces, token_files, tokens
+from tessera.llm import audio, jaccard, language, packing, pieces, token_files, tokens
 from tessera.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), jaccard.Measure(size=4, num=85, den=100))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = tokens.path("piece_bpe_32k.model")
     d = pieces.decode(pieces.encode(documents(spark, sf_dir), file), file)
@@ -37,8 +41,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_language, op5_audio, op9_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_jaccard_join, op3_sentencepiece, op4_language, op5_audio, op9_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_jaccard_join": OP1_SQL}
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+), t AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM inter WHERE 100 * c >= 85 * (na + nb - c)),
+reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.seen FROM reach r JOIN links l ON r.node = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id FROM s JOIN reach r ON s.doc_id = r.node GROUP BY s.doc_id, s.s
+"""
