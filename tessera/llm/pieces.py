@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -124,6 +125,12 @@ class Encoder:
         return [out[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+@cache
+def encoder(file: str, dropout: float, seed: int) -> Encoder:
+    """One for all tasks of a worker, so that a word is worked out once."""
+    return Encoder(file, dropout, seed)
+
+
 class Decoder:
     def __init__(self, file: str):
         spelt = Model(file).spelt
@@ -143,10 +150,10 @@ def encode(docs: DataFrame, file: str, dropout: float = DROPOUT, seed: int = SEE
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file, dropout, seed)
+        known = encoder(file, dropout, seed)
         for batch in batches:
             for run in common.slices(batch):
-                ids = encoder.ids(run.column(1).to_pylist())
+                ids = known.ids(run.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([run.column(0).cast(pa.int64()), run.column(1), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "text", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, text string, ids binary")
