@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, jaccard, language, packing, pieces, token_files, tokens
+from tessera.llm import audio, jaccard, language, packing, pieces, sampling, token_files, tokens
 from tessera.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir), jaccard.Measure(size=4, num=85, den=100))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.fingerprints(documents(spark, sf_dir))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = tokens.path("piece_bpe_32k.model")
     d = pieces.decode(pieces.encode(documents(spark, sf_dir), file), file)
@@ -41,7 +45,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jaccard_join, op3_sentencepiece, op4_language, op5_audio, op9_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_fingerprints, op3_sentencepiece, op4_language, op5_audio, op9_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
