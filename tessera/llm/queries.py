@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, jaccard, language, packing, pieces, sampling, token_files, tokens
+from tessera.llm import audio, jaccard, language, packing, pieces, sampling, substrings, token_files, tokens
 from tessera.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digests(documents(spark, sf_dir))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = substrings.remove_repeats(documents(spark, sf_dir), 20)
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokens.path("byte_bpe_50k.json"))
 
@@ -45,11 +50,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_fingerprints, op3_sentencepiece, op4_language, op5_audio, op9_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_fingerprints, op3_sentencepiece, op4_language, op5_audio, op7_substrings, op9_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op7_substrings": OP7_SQL}
 
 
 OP1_SQL = r"""
@@ -64,3 +69,20 @@ links AS MATERIALIZED (SELECT a, b FROM inter WHERE 100 * c >= 85 * (na + nb - c
 reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.seen FROM reach r JOIN links l ON r.node = l.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id FROM s JOIN reach r ON s.doc_id = r.node GROUP BY s.doc_id, s.s
 """
+
+OP7_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+),
+firsts AS (SELECT x, min((doc_id, i)) AS f FROM win GROUP BY x HAVING count(*) > 1),
+rep AS (SELECT doc_id, i FROM win JOIN firsts USING (x) WHERE (doc_id, i) > f),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM rep),
+wordrows AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.p) AS body FROM wordrows w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p WHERE g.p IS NULL GROUP BY 1
+),
+n AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.c, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.body, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
