@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that one numpy pass works on; bounds a worker's memory whatever the batch holds.
 SLICE_CHARS = 2_000_000
@@ -49,6 +50,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A table of so many ids at most, of 16 bytes each, is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if a count shows that it has few rows; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `chars` bytes of text; one longer text is a run of its own."""
     if not batch.num_rows:

@@ -33,7 +33,6 @@ ENTRIES, SHARD_WORDS = 1_500_000, 1_000_000
 HOT = 2_000
 #: A null doc_id counts as this one, after all others.
 LAST = (1 << 63) - 1
-BROADCAST_ROWS = 1_000_000
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -161,10 +160,6 @@ def anchored(docs: DataFrame, size: int) -> DataFrame:
     return common.stored(out.mapInArrow(met, "key long, doc_id long, one long, two long, n_words long, sha string"), "anchors")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def repeated_windows(texts: DataFrame, size: int) -> DataFrame:
     """texts(at, one, text, keys, hot), documents with the keys that come several times, to at, one, starts: first words
     (32-bit integers) of windows that start earlier as well. A document can have several such rows."""
@@ -337,10 +332,10 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> tuple[DataFrame, DataFram
     members = common.stored(members, "members")
     hot = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("is_hot"))
     hot = common.stored(hot, "hot")
-    asked = members.join(_small(hot), "key", "left").groupBy("one").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("is_hot"), F.col("key"))).alias("hot"))
+    asked = members.join(common.small(hot), "key", "left").groupBy("one").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("is_hot"), F.col("key"))).alias("hot"))
     asked = common.stored(asked.join(classes.select("one", F.col("first").alias("at")).distinct(), "one"), "asked")
     ids = common.stored(asked.select("at").distinct(), "asked")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"), "text").join(_small(ids), "at").join(asked, "at").select("at", "one", "text", "keys", "hot")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"), "text").join(common.small(ids), "at").join(asked, "at").select("at", "one", "text", "keys", "hot")
     texts = common.stored(texts, "texts")
     kept = common.stored(covered(texts, repeated_windows(texts, size), size).dropDuplicates(["at", "one"]), "kept")
     states = classes.join(kept.select("one", F.col("at").alias("first"), "n_removed", "kept_sha256"), ["one", "first"], "left").select("one", "two", "first", "n_removed", "kept_sha256")
