@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, jaccard, language, packing, pieces, sampling, substrings, token_files, tokens
+from tessera.llm import audio, jaccard, language, licenses, packing, pieces, sampling, substrings, token_files, tokens, toolcalls
 from tessera.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,19 @@ def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digests(documents(spark, sf_dir))
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = substrings.remove_repeats(documents(spark, sf_dir), 20)
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokens.path("byte_bpe_50k.json"))
 
@@ -50,12 +58,67 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_fingerprints, op3_sentencepiece, op4_language, op5_audio, op7_substrings, op9_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_fingerprints, op3_sentencepiece, op4_language, op5_audio, op6_tool_calls, op7_substrings, op8_licenses, op9_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op7_substrings": OP7_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op6_tool_calls": OP6_SQL, "op7_substrings": OP7_SQL, "op8_licenses": op8_sql()}
+
+
+def op8_sql() -> str:
+    """The scan in SQL, with the templates' vectors as rows."""
+    idf, vectors = licenses.weights(licenses.TEMPLATES)
+    rows = ", ".join(f"('{n}', '{t}', {w!r}, {idf[t]!r})" for n, v in vectors.items() for t, w in v.items())
+    return rf"""
+WITH v(licence, token, weight, idf) AS (VALUES {rows}), i AS (SELECT DISTINCT token, idf FROM v),
+f AS (
+  SELECT doc_id, text, coalesce(source, 'none') || '/' || CASE WHEN p = '' THEN '' ELSE array_to_string(string_split(p, ''), '/') || '/' END || doc_id AS path
+  FROM (SELECT *, regexp_replace(CAST(abs(doc_id) // 10 AS VARCHAR), '0+$', '') AS p FROM documents)
+),
+l AS (SELECT path, x, unnest(range(0, len(x))) AS line, unnest(x) AS raw FROM (SELECT path, string_split(text, chr(10)) AS x FROM f)),
+k AS (SELECT path, line, line = len(x) - 1 AS last, unnest(regexp_split_to_array(lower(raw), '{licenses.BETWEEN}')) AS token FROM l WHERE raw ilike '%licen%'),
+n AS (SELECT path, line, last, token, count(*) AS n FROM k WHERE token <> '' GROUP BY ALL),
+w AS (SELECT n.*, n * coalesce(idf, {licenses.unknown_idf(licenses.TEMPLATES)!r}) AS w FROM n LEFT JOIN i USING (token)),
+m AS (SELECT path, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+s AS (
+  SELECT path, line, last, licence, round(dot / norm, 6) AS score FROM (SELECT path, line, last, licence, sum(w * weight) AS dot FROM w JOIN v USING (token) GROUP BY ALL) JOIN m USING (path, line)
+),
+o AS (SELECT * FROM s WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, line, licence) = 1),
+d AS (
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, * FROM o WHERE last AND line > 0 QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY path) = 1
+),
+g AS (SELECT f.doc_id, f.path, o.licence, o.score, regexp_replace(f.path, '/?[^/]*$', '') AS dir FROM f LEFT JOIN o USING (path)),
+h AS (
+  SELECT g.path, d.path AS p, d.licence, d.score FROM g JOIN d ON g.dir = d.dir OR starts_with(g.dir, d.dir || '/') QUALIFY row_number() OVER (PARTITION BY g.path ORDER BY length(d.dir) DESC) = 1
+)
+SELECT g.doc_id, g.path, coalesce(g.licence, h.licence) AS licence, coalesce(g.score, h.score) AS score,
+  CASE WHEN g.licence IS NOT NULL THEN 'own' WHEN h.p IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN g.licence IS NOT NULL THEN g.path ELSE h.p END AS source_path
+FROM g LEFT JOIN h USING (path)
+"""
+
 
+OP6_SQL = r"""
+WITH RECURSIVE u AS (SELECT conv_id, turn, min(text) AS text, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY ALL),
+a AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+d AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) AS depth FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+  UNION ALL SELECT u.conv_id, u.turn, d.depth + 1 FROM d JOIN u ON u.conv_id = d.conv_id AND u.turn = d.turn + 2
+),
+c AS (
+  SELECT u.*, d.depth, len(list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda w: w <> '')) AS words,
+    CASE WHEN d.depth > 0 THEN 'call_' || u.conv_id || '_' || (u.turn - 2) END AS after
+  FROM u JOIN d USING (conv_id, turn)
+),
+j AS (SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.turn, a.turn) AS turn, c.* EXCLUDE (conv_id, turn), a.content, a.n AS n_results FROM c FULL JOIN a USING (conv_id, turn))
+SELECT 'call_' || conv_id || '_' || turn AS call_id, CASE WHEN n IS NULL THEN NULL WHEN after IS NULL THEN 'open' ELSE 'follow_up' END AS name, after,
+  CASE WHEN n IS NOT NULL AND n_results IS NOT NULL THEN 'linked' WHEN n IS NOT NULL THEN 'no result' ELSE 'no call' END AS state,
+  CASE WHEN n IS NULL THEN NULL WHEN length(text) < 1 OR length(text) > 4000 THEN 'range text' WHEN after IS NULL AND turn > 1 THEN 'range turn' WHEN words < 1 OR words > 120 THEN 'range words' END AS problem,
+  depth, CAST(coalesce(n, 0) AS BIGINT) AS n_calls, CAST(coalesce(n_results, 0) AS BIGINT) AS n_results,
+  CASE WHEN n IS NOT NULL THEN '{' || CASE WHEN after IS NULL THEN '' ELSE '"after":"' || after || '",' END || '"arguments":{' || CASE WHEN after IS NULL THEN '' ELSE '"after":"' || after || '",' END
+    || '"text":' || to_json(text) || ',"turn":' || turn || ',"words":' || words || '},"call_id":"call_' || conv_id || '_' || turn || '","name":"' || CASE WHEN after IS NULL THEN 'open' ELSE 'follow_up' END || '"'
+    || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END || '}' END AS message
+FROM j
+"""
 
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
