@@ -34,8 +34,6 @@ WIDTH = 1.38
 TELLING = 2
 #: Entries that a task gathers before it sends them off, and documents of a tile.
 ENTRIES, TILE = 1_500_000, 400
-#: A table of so many ids at most (16 bytes each) is broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -216,13 +214,18 @@ def sketched(docs: DataFrame, measure: Measure) -> DataFrame:
     return common.stored(out, "sketches")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df to be broadcast if a count shows that it has few rows; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as 64-bit words: a power of two of bits, at least twice the set's size.
+
+    XOR of its halves is the sketch of half the width."""
+    width = max(64, 1 << int(2 * len(h) - 1).bit_length())
+    bits = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 def against_pivots(docs: DataFrame, assigned: DataFrame, measure: Measure) -> DataFrame:
-    """Links (a, b) among assigned(doc_id, pivot): each document's set against its pivot's.
+    """Stored rows a, b: links among assigned(doc_id, pivot), each document's set held against its pivot's; and
+    rows a, n, sketch for every document of assigned (b is null).
 
     A pivot with many documents is repeated for every few hundred of them, so no task gets them all.
     """
@@ -231,26 +234,30 @@ def against_pivots(docs: DataFrame, assigned: DataFrame, measure: Measure) -> Da
     salted = assigned.join(count, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), "shares").alias("share"), F.lit(1).alias("turn"))
     heads = count.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("turn"))
     wanted = common.stored(salted.unionByName(heads), "pivots")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(_small(wanted), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(common.small(wanted), "doc_id")
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for batch in batches:
-            for run in common.slices(batch, "text"):
+            for run in common.slices(batch):
                 h, n = words.shingle_sets(*common.utf8(run.column(4)), measure.size)
-                ends, links = np.cumsum(n), []
+                ends, links, drawn = np.cumsum(n), [], []
                 for i, (pivot, share, turn, doc) in enumerate(zip(*(run.column(k).to_pylist() for k in range(4)), strict=True)):
                     mine = h[ends[i] - n[i] : ends[i]]
                     if turn == 0:
                         at, own = (pivot, share), mine.copy()
                     elif at == (pivot, share) and doc != pivot and similar(own, mine, measure):
                         links.append((doc, pivot))
-                if links:
-                    a, b = zip(*links, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    if turn or not share:
+                        drawn.append((doc, len(mine), sketch(mine).tobytes()))
+                a, b = zip(*links, strict=True) if links else ((), ())
+                d, k, x = zip(*drawn, strict=True) if drawn else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a + d, pa.int64()), pa.array(b + (None,) * len(d), pa.int64()), pa.array((None,) * len(a) + k, pa.int64()), pa.array((None,) * len(a) + x, pa.binary())], names=["a", "b", "n", "sketch"]
+                )
 
     rows = rows.select("pivot", "share", "turn", "doc_id", "text").repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share", "turn")
-    return rows.mapInArrow(held, "a long, b long")
+    return common.stored(rows.mapInArrow(held, "a long, b long, n long, sketch binary"), "pivots")
 
 
 def similar(x: np.ndarray, y: np.ndarray, measure: Measure) -> bool:
@@ -263,50 +270,53 @@ def similar(x: np.ndarray, y: np.ndarray, measure: Measure) -> bool:
     return measure.den * common_ones >= measure.num * (a + b - common_ones)
 
 
-def within_keys(docs: DataFrame, groups: DataFrame, measure: Measure) -> DataFrame:
-    """Links (a, b) that join different components among groups(key, doc_id, component): all pairs of a key, tile by tile.
+def within_keys(groups: DataFrame, sketches: DataFrame, measure: Measure, forest: bool) -> DataFrame:
+    """Pairs (a, b) of different components among groups(key, doc_id, component) whose sketches allow a link, tile by tile.
 
-    Sizes and 256-bit parity sketches leave out most pairs; those of one component, or joined meanwhile, are
-    not looked at. What is given back is a forest, not all links.
+    sketches has doc_id, n and sketch. No pair of a key that links is left out, unless forest asks for pairs that
+    would join all components at once, the likeliest first.
     """
     count = groups.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     t, u = F.col("tile"), F.col("other")
     tiled = groups.join(count, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    wanted = common.stored(tiled.select("key", F.least(t, u).alias("x"), F.greatest(t, u).alias("y"), "doc_id", "component"), "tiles")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(_small(wanted), "doc_id").select("key", "x", "y", "doc_id", "component", "text")
-
-    def joined(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        doc, comp = (table[k].to_pylist() for k in ("doc_id", "component"))
-        column = table["text"].combine_chunks()
-        sets, n = [], []
-        for run in common.slices(pa.RecordBatch.from_arrays([column], names=["text"])):
-            h, k = words.shingle_sets(*common.utf8(run.column(0)), measure.size)
-            sets += np.split(h, np.cumsum(k)[:-1])
-            n += k.tolist()
-        n = np.array(n)
-        bits = np.zeros((len(n), 256), np.uint8)
-        for i, s in enumerate(sets):
-            bits[i] = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
-        root = {c: c for c in comp}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        out = []
-        packed = np.packbits(bits, axis=1).view(np.uint64)
-        for i in range(len(n)):
-            far = np.bitwise_count(packed[i + 1 :] ^ packed[i]).sum(axis=1)
-            for j in (np.flatnonzero(far <= measure.most(n[i], n[i + 1 :])) + i + 1).tolist():
-                if find(comp[i]) != find(comp[j]) and similar(sets[i], sets[j], measure):
-                    root[find(comp[j])] = find(comp[i])
-                    out.append((doc[i], doc[j]))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return rows.groupBy("key", "x", "y").applyInArrow(joined, "a long, b long")
+    rows = tiled.select("key", F.least(t, u).alias("x"), F.greatest(t, u).alias("y"), "doc_id", "component").join(sketches, "doc_id")
+
+    def allowed(table: pa.Table) -> pa.Table:
+        doc, comp, n = (np.asarray(table[k].combine_chunks()) for k in ("doc_id", "component", "n"))
+        drawn = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["sketch"].combine_chunks()]
+        width = min(map(len, drawn))
+        rows = np.zeros((len(drawn), width), np.uint64)
+        for i, x in enumerate(drawn):
+            rows[i] = np.bitwise_xor.reduce(x.reshape(-1, width), axis=0)
+        a, b, score = [], [], []
+        for i in range(len(n) - 1):
+            far = np.bitwise_count(rows[i + 1 :] ^ rows[i]).sum(axis=1)
+            small, large = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+            most = measure.most(n[i], n[i + 1 :])
+            j = np.flatnonzero((far <= most) & (comp[i + 1 :] != comp[i]) & (measure.den * small >= measure.num * large))
+            a.append(np.full(len(j), i))
+            b.append(j + i + 1)
+            score.append(far[j] / most[j])
+        a, b, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, score))
+        if forest:
+            root = {c: c for c in comp.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            keep = []
+            for k in np.argsort(score, kind="stable").tolist():
+                x, y = find(int(comp[a[k]])), find(int(comp[b[k]]))
+                if x != y:
+                    root[y] = x
+                    keep.append(k)
+            a, b = a[keep].astype(np.int64), b[keep].astype(np.int64)
+        return pa.table({"a": np.maximum(doc[a], doc[b]), "b": np.minimum(doc[a], doc[b])})
+
+    return rows.groupBy("key", "x", "y").applyInArrow(allowed, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -335,12 +345,16 @@ def join(docs: DataFrame, measure: Measure) -> DataFrame:
     groups = common.stored(members.join(chosen.select("key", "pivot"), "key"), "groups")
     # Each document against one pivot: that of its key with the smallest one.
     assigned = groups.where("doc_id <> pivot").groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
-    links = common.stored(against_pivots(docs, assigned, measure), "links")
+    told = against_pivots(docs, assigned, measure)
+    links, sketches = told.where("b is not null").select("a", "b"), told.where("b is null").select(F.col("a").alias("doc_id"), "n", "sketch").dropDuplicates(["doc_id"])
     same = common.stored(components(links), "components")
-    # Keys whose documents are still in several components.
-    now = groups.select("key", "doc_id").join(same.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = common.stored(within_keys(docs, now.join(open_keys, "key"), measure), "links")
-    if not rest.isEmpty():
-        same = common.stored(components(links.unionByName(rest)), "components")
-    return classes.join(_small(same.withColumnRenamed("node", "rep")), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # Keys whose documents are still in several components: first pairs that may join them, then all that are left.
+    for forest in (True, False):
+        now = groups.select("key", "doc_id").join(common.small(same.withColumnRenamed("node", "doc_id")), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        pairs = common.stored(within_keys(now.join(open_keys, "key"), sketches, measure, forest), "pairs")
+        if pairs.isEmpty():
+            break
+        links = links.unionByName(against_pivots(docs, pairs.toDF("doc_id", "pivot"), measure).where("b is not null").select("a", "b"))
+        same = common.stored(components(links), "components")
+    return classes.join(common.small(same.withColumnRenamed("node", "rep")), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

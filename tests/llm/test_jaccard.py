@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import jaccard, queries, words
+from tessera.llm import common, jaccard, queries, words
 from tessera.llm.components import components
 
 MEASURE = jaccard.Measure(4, 85, 100)
@@ -104,9 +105,12 @@ def test_tiles_and_forest(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in jaccard.join(docs, MEASURE).collect()), key=str) == brute(rows)
     groups = spark.createDataFrame([(1, i, i) for i in range(60)], "key long, doc_id long, component long")
-    found = components(jaccard.within_keys(docs, groups, MEASURE)).collect()
-    expected = {d: c for d, _, c in brute(rows)}
-    assert {r.node: r.component for r in found} == {d: c for d, c in expected.items() if list(expected.values()).count(c) > 1}
+    sets = [words.shingle_sets(*common.utf8(pa.array([t])), 4)[0] for _, t in rows]
+    sketches = spark.createDataFrame([(i, len(h), bytearray(jaccard.sketch(h).tobytes())) for i, h in enumerate(sets)], "doc_id long, n long, sketch binary")
+    every = {(r.a, r.b) for r in jaccard.within_keys(groups, sketches, MEASURE, False).collect()}
+    assert every >= {(a, b) for a in range(60) for b in range(a) if jaccard.similar(sets[a], sets[b], MEASURE)}
+    forest = [(r.a, r.b) for r in jaccard.within_keys(groups, sketches, MEASURE, True).collect()]
+    assert set(forest) <= every and forest
 
 
 def test_components(spark):
