@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import posixpath
 import re
 import xml.etree.ElementTree as ET
@@ -19,6 +20,12 @@ _DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 _ERRORS = {"#DIV/0!": "#Div0", "#N/A": "#NA", "#NAME?": "#Name", "#NULL!": "#Null", "#NUM!": "#Num", "#REF!": "#Ref", "#VALUE!": "#Value", "#GETTING_DATA": "#GettingData"}
 
 
+#: The plain forms of what stands inside sheetData; a sheet with anything else is left to the XML parser.
+_ROW = rb'<row(?: r="(?P<row>\d+)")?(?P<rest>(?: [A-Za-z:0-9]+="[^"<&]*")*)\s*(?P<empty>/?)>'
+_CELL = rb'<c r="(?P<col>[A-Z]{1,3})(?P<line>\d+)"(?: s="(?P<style>\d+)")?(?: t="(?P<kind>[a-zA-Z]+)")?(?:/>|>(?:<f>(?P<formula>[^<]*)</f>)?(?:<v>(?P<v>[^<]*)</v>|<is><t(?: xml:space="preserve")?>(?P<inline>[^<]*)</t></is>)?</c>)'
+_PLAIN = re.compile(rb"\s*(?:" + _ROW + rb"|(?P<end></row>)|" + _CELL + rb")\s*")
+
+
 class Encrypted(ValueError):
     pass
 
@@ -36,6 +43,19 @@ def _true(x: str | None) -> bool:
     return x in ("1", "true", "on")
 
 
+def _plain_text(x: bytes) -> str:
+    """Character data as a parser gives it."""
+    if b"&" not in x and b"\r" not in x:
+        return x.decode()
+    return ET.fromstring(b"<t>" + x + b"</t>").text or ""
+
+
+def _unescaped(x: bytes) -> str:
+    """The same for text of cells, in which _xHHHH_ stands for a character."""
+    t = _plain_text(x)
+    return re.sub(r"_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), t) if "_x" in t else t
+
+
 def _texts(e: ET.Element) -> str:
     """The text runs below an element, without phonetic ones."""
     out = []
@@ -160,10 +180,68 @@ class Workbook:
         stream = self.open(part)
         if stream is None:
             return
+        with stream:
+            raw = stream.read()
+        plain = self.plain_sheet(raw)
+        yield from plain if plain is not None else self.parsed_sheet(raw)
+
+    def plain_sheet(self, raw: bytes) -> list[tuple[int, int, str, str, bool, bool]] | None:
+        """sheet() by one regular expression that must take all of sheetData, piece by piece; None if it doesn't."""
+        head, open_, rest = raw.partition(b"<sheetData>")
+        body, close, tail = rest.partition(b"</sheetData>")
+        if not open_ or not close or b"encoding" in head[:100] and b"utf-8" not in head[:100].lower() or b"<!" in raw[:1000] or raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            return None
+        try:
+            hidden_columns = [(int(e.get("min", 0)), int(e.get("max", 0))) for e in ET.fromstring(head.lstrip(b"\xef\xbb\xbf") + b"<sheetData></sheetData>" + tail).iter() if _local(e.tag) == "col" and _true(e.get("hidden"))]
+        except ET.ParseError:
+            return None
+        out: list[tuple] = []
+        at, hidden, inside, columns, strings = 0, False, False, {}, None
+        for m in _PLAIN.finditer(body):
+            if m.start() != at:
+                return None
+            at = m.end()
+            col, line, style, kind, formula, v, inline = m.group("col", "line", "style", "kind", "formula", "v", "inline")
+            if col is None:
+                if m["end"]:
+                    inside = False
+                else:
+                    inside, hidden = not m["empty"], re.search(rb' hidden="(?:1|true|on)"', m["rest"]) is not None
+                continue
+            if not inside:
+                return None
+            place = columns.get(col)
+            if place is None:
+                k = split_a1(col.decode() + "1")[1]
+                place = columns[col] = (k, any(a <= k <= b for a, b in hidden_columns))
+            if kind == b"s" and v is not None:
+                if strings is None:
+                    strings = self.strings
+                text = strings[int(v)]
+            elif kind is None and style is None and v is not None:
+                text = v.decode() if v.isdigit() and len(v) < 15 and (v[0] != 48 or v == b"0") else number_text(float(v))
+            elif inline is not None:
+                if kind != b"inlineStr":
+                    return None
+                text = _unescaped(inline)
+            else:
+                if kind == b"inlineStr":
+                    return None
+                text = self.value((kind or b"n").decode(), style.decode() if style else None, None if v is None else _plain_text(v), None)
+            if text:
+                if formula is None:
+                    out.append((int(line), place[0], DISPLAY, text, hidden, place[1]))
+                else:
+                    if formula:
+                        out.append((int(line), place[0], FORMULA, _plain_text(formula), hidden, place[1]))
+                    out.append((int(line), place[0], CACHED, text, hidden, place[1]))
+        return out if at == len(body) and not inside else None
+
+    def parsed_sheet(self, raw: bytes) -> Iterator[tuple[int, int, str, str, bool, bool]]:
         hidden_columns: list[tuple[int, int]] = []
         row, col, hidden = 0, 0, False
         shared: dict[str, str] = {}
-        with stream:
+        with io.BytesIO(raw) as stream:
             for event, e in ET.iterparse(stream, ("start", "end")):
                 name = _local(e.tag)
                 if event == "start":

@@ -204,3 +204,19 @@ def test_stream(spark, tmp_path):
     q = watch(spark, str(tmp_path), SearchOptions(("needle",))).writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.cell, len(r.submatches)) for r in spark.sql("select * from found").collect()) == [("A1", 1), ("B1", 2)]
+
+
+def test_plain_and_parsed_sheets_agree(tmp_path):
+    from tessera.sources.workbook import Workbook
+
+    path = tmp_path / "p.xlsx"
+    cells = {(1, 1): "a & <b>", (1, 2): 7, (2, 30): 0.25, (3, 1): True, (3, 2): date(2020, 1, 2), (3, 3): Formula("A1&\"x\"", "r & s"), (4, 1): Error("#N/A"), (5, 1): Rich(["x", "y"]), (6, 1): -12, (6, 2): 10**16, (7, 1): "line\nfeed", (8, 1): "_x0041_"}
+    for inline in (False, True):
+        write_workbook(path, [Sheet("S", cells, hidden_rows={3, 9}, hidden_columns={2})], inline=inline)
+        with open(path, "rb") as f:
+            book = Workbook(f)
+            raw = book.open("xl/worksheets/sheet1.xml").read()
+            plain = book.plain_sheet(raw)
+            assert plain == list(book.parsed_sheet(raw)) and len(plain) == 13
+            for odd in (raw.replace(b"<f>", b'<f ca="1">'), raw.replace(b"</row>", b"<x/></row>", 1), raw.replace(b"<sheetData>", b"<sheetData >"), raw.replace(b'<c r="A1"', b"<c"), raw.replace(b"</sheetData>", b"<!-- x --></sheetData>")):
+                assert book.plain_sheet(odd) is None
