@@ -104,7 +104,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, sequence_id, group_id = tokens.Encoder(tokenizer, False), TaskContext.get().partitionId() << 36, TaskContext.get().partitionId() << 36
+        encoder, sequence_id, group_id = tokens.encoder(tokenizer, False), TaskContext.get().partitionId() << 36, TaskContext.get().partitionId() << 36
         for batch in batches:
             for run in common.slices(batch):
                 ids, n = encoder.ids(run.column(1).to_pylist())

@@ -144,7 +144,7 @@ def write(docs: DataFrame, tokenizer: str, folder_name: str = "token-files") ->
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, encoder = TaskContext.get().partitionId(), 0, tokens.Encoder(tokenizer, True)
+        part, number, encoder = TaskContext.get().partitionId(), 0, tokens.encoder(tokenizer, True)
         doc_ids, lengths, ids, size = [], [], [], 0
 
         def closed() -> pa.RecordBatch:

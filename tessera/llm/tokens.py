@@ -11,6 +11,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 
@@ -110,3 +111,9 @@ class Encoder:
         total = np.concatenate(([0], np.cumsum(each)))
         ends = np.concatenate(([0], np.cumsum([len(x) for x in cuts], dtype=np.int64)))
         return ids, total[ends[1:]] - total[ends[:-1]]
+
+
+@cache
+def encoder(file: str, drops_space: bool) -> Encoder:
+    """One for all tasks of a worker, so that a cut is encoded once."""
+    return Encoder(file, drops_space)
