@@ -103,16 +103,22 @@ def read_file(path: str, options: ReadOptions) -> Iterator[tuple]:
         yield from delimited.cells(raw, kind, options.encoding)
 
 
-def file_rows(path: str, file_seq: int, options: ReadOptions) -> Iterator[tuple]:
-    """Rows of CELLS; a file that fails anywhere gives one row that says why."""
-    rows = []
+def file_batches(path: str, file_seq: int, options: ReadOptions) -> Iterator[pa.RecordBatch]:
+    """Batches of CELLS of one file; a file that fails anywhere gives one row that says why."""
+    schema = to_arrow_schema(CELLS)
+    error = None
     try:
-        for seq, (sheet, i, row, col, cell, layer, text, a, b, c) in enumerate(read_file(path, options)):
-            rows.append((path, file_seq, sheet, i, row, col, cell, layer, text, seq, a, b, c, None, None))
+        rows = list(read_file(path, options))
     except (workbook.Encrypted, zipfile.BadZipFile, ParseError, OSError, ValueError, KeyError, IndexError, NotImplementedError, RuntimeError, EOFError) as e:
         kind = "encrypted" if isinstance(e, workbook.Encrypted) else "io" if isinstance(e, OSError) else "parse"
-        rows = [(path, file_seq, *[None] * 11, f"{kind}: {e}", kind)]
-    yield from rows
+        rows, error = [(None,) * 10], (f"{kind}: {e}", kind)
+    for first in range(0, len(rows), BATCH):
+        part = rows[first : first + BATCH]
+        n = len(part)
+        own = dict(zip(("sheet", "sheet_idx", "row", "col", "cell", "layer", "text", "hidden_sheet", "hidden_row", "hidden_col"), zip(*part, strict=True), strict=True))
+        one = {"path": path, "file_seq": file_seq, "error": error and error[0], "error_class": error and error[1]}
+        columns = {f.name: pa.array(own[f.name], f.type) if f.name in own else pa.repeat(pa.scalar(one[f.name], f.type), n) if f.name in one else pa.array(range(first, first + n) if not error else [None], f.type) for f in schema}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), schema=schema)
 
 
 class _Files(InputPartition):
@@ -143,16 +149,8 @@ class _Reader(DataSourceReader):
         return out or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(CELLS)
-        held: list[tuple] = []
         for seq, path in partition.files:
-            for row in file_rows(path, seq, self.options):
-                held.append(row)
-                if len(held) == BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-                    held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            yield from file_batches(path, seq, self.options)
 
 
 class CellsSource(DataSource):

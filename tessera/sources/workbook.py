@@ -206,7 +206,8 @@ class Workbook:
                 if m["end"]:
                     inside = False
                 else:
-                    inside, hidden = not m["empty"], re.search(rb' hidden="(?:1|true|on)"', m["rest"]) is not None
+                    inside, rest_ = not m["empty"], m["rest"]
+                    hidden = b"hidden" in rest_ and re.search(rb' hidden="(?:1|true|on)"', rest_) is not None
                 continue
             if not inside:
                 return None

@@ -7,25 +7,21 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.matching import has_hit, with_submatches
 from tessera.functions.patterns import compile_pattern
 from tessera.model import CELLS, SearchOptions
-from tessera.sources.files import EXTENSIONS, file_rows
+from tessera.sources.files import EXTENSIONS, file_batches
 
 
 def watch(spark: SparkSession, folder: str, options: SearchOptions) -> DataFrame:
     """A streaming DataFrame of the matching cells of new files below folder. Stateless, without context rows."""
     pattern, read = compile_pattern(spark, options.patterns, options.case, options.fixed, options.word), options.read
-    schema = to_arrow_schema(CELLS)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                rows = list(file_rows(path, 0, read))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield from file_batches(path, 0, read)
 
     listed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder).select(F.url_decode(F.regexp_replace(F.replace("path", F.lit("+"), F.lit("%2B")), "^file:/*", "/")).alias("path"))
     listed = listed.where(F.lower(F.regexp_extract("path", r"(\.[^.]+)$", 1)).isin(*EXTENSIONS))
