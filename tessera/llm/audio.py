@@ -146,6 +146,7 @@ def store(docs: DataFrame) -> DataFrame:
                 raw = [(t or "").encode() for t in run.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([run.column(0).cast(pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array([wav(payload(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
+    common.bounded(docs)
     return common.stored(docs.select("doc_id", "text").mapInArrow(media, "doc_id long, n_bytes long, media binary"), "media")
 
 

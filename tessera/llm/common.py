@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one numpy pass works on; bounds a worker's memory whatever the batch holds.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,19 @@ def dropped(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of an Arrow batch: with texts of a few KB, several MB in the JVM and in the worker.
+BATCH_ROWS = 2_000
+
+
+def bounded(df: DataFrame) -> SparkSession:
+    """df's session, with Arrow batches of at most BATCH_ROWS rows, so that a worker's memory is bounded."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,6 +84,15 @@ def slices(batch: pa.RecordBatch, text: str = "text", chars: int = SLICE_CHARS)
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers live on from task to task."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ WIDTH = 1.38
 #: Blocks of fewer shingles count as saying little.
 TELLING = 2
 #: Entries that a task gathers before it sends them off, and documents of a tile.
-ENTRIES, TILE = 1_500_000, 400
+ENTRIES, TILE = 1_000_000, 400
 
 
 @dataclass(frozen=True)
@@ -137,8 +137,7 @@ def sketched(docs: DataFrame, measure: Measure) -> DataFrame:
 
     A task sends a key's first document only, so that a reducer sees a key once for each run of documents.
     """
-    spark = docs.sparkSession
-    parts = common.partitions(spark)
+    parts = common.partitions(common.bounded(docs))
     buckets = min(60_000, 2 * parts)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

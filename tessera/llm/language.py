@@ -207,12 +207,14 @@ def predict(docs: DataFrame, network: Network | None, keep: list[str] | None = N
     (default doc_id) come first; text is read, lang and source are not.
     """
     keep = keep or ["doc_id"]
+    common.bounded(docs)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    there = keep.index("text") if "text" in keep else len(keep)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in common.slices(batch, "text to read"):
-                column = run.column(run.num_columns - 1)
+            for run in common.slices(batch, batch.schema.names[there]):
+                column = run.column(there)
                 letters = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\pL"), False))
                 names, score = np.full(run.num_rows, UNKNOWN, object), np.zeros(run.num_rows)
                 if network and run.num_rows:
@@ -222,7 +224,8 @@ def predict(docs: DataFrame, network: Network | None, keep: list[str] | None = N
                     score[letters] = np.clip(p[np.arange(len(p)), best][letters], 0, 1)
                 yield pa.RecordBatch.from_arrays([*(run.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("text to read")).mapInArrow(predicted, f"{schema}, lang_pred string, score double")
+    read = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("text to read"))
+    return read.mapInArrow(predicted, f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -126,4 +126,5 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
                 sequence_id += len(sequences)
                 group_id += max(groups) + 1
 
+    common.bounded(docs)
     return docs.select("doc_id", "text").mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long")

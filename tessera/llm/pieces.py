@@ -156,6 +156,7 @@ def encode(docs: DataFrame, file: str, dropout: float = DROPOUT, seed: int = SEE
                 ids = known.ids(run.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([run.column(0).cast(pa.int64()), run.column(1), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "text", "ids"])
 
+    common.bounded(docs)
     return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, text string, ids binary")
 
 

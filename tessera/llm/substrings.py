@@ -28,7 +28,7 @@ from tessera.llm.fm_index import FMIndex
 
 ANCHOR = 8
 #: Keys that a task gathers before it sends them off; words of a shard's index, and of segments before they are sent.
-ENTRIES, SHARD_WORDS = 1_500_000, 1_000_000
+ENTRIES, SHARD_WORDS = 1_000_000, 700_000
 #: Documents with a key beyond which its windows are dealt out one by one.
 HOT = 2_000
 #: A null doc_id counts as this one, after all others.
@@ -86,7 +86,7 @@ def _several(key: np.ndarray, of: np.ndarray, repeated: bool) -> tuple[np.ndarra
 def anchored(docs: DataFrame, size: int) -> DataFrame:
     """Stored rows of two kinds: for every document (key null) at, doc_id, one, two, n_words and the digest of its
     words; for every key that comes several times, key and one of a document that has it."""
-    parts = common.partitions(docs.sparkSession)
+    parts = common.partitions(common.bounded(docs))
     buckets = min(60_000, 2 * parts)
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("a", pa.binary()), ("b", pa.binary())])
 

@@ -138,7 +138,7 @@ def write(docs: DataFrame, tokenizer: str, folder_name: str = "token-files") ->
     Rows: part (range partition), number (file within it), tokens, file (binary). Null texts are empty,
     a null doc_id sorts first; every document ends with id 1. An empty table gives no file.
     """
-    parts = common.partitions(docs.sparkSession)
+    parts = common.partitions(common.bounded(docs))
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

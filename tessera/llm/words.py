@@ -23,7 +23,7 @@ def _powers_of(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 1 << 23:
+        if n <= 1 << 21:
             _powers[base] = have
     return have[:n]
 
