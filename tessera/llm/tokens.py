@@ -21,6 +21,8 @@ from tessera.llm.common import spread
 KEPT = 400_000
 #: White space to Python's str methods and re, but not to the tokenizers library.
 ODD = re.compile("[\x1c-\x1f]")
+#: Marks that no tokenizer here joins to letters before them.
+MARKS = frozenset(",.!?;:")
 WITH_SPACE = re.compile(r"\s*\S+|\s+")
 
 
@@ -96,15 +98,41 @@ class Encoder:
             return [text]
         return text.split() if self.drops_space else WITH_SPACE.findall(text)
 
-    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
+    def _encode(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(cuts), 20_000):
+            part = cuts[start : start + 20_000]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(e.ids, np.uint32))
             counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
         return np.concatenate(ids), np.concatenate(counts)
 
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A cut of letters with one mark behind them is two pieces to both tokenizers, the mark by itself; and a
+        tokenizer that drops space doesn't tell ASCII capitals. So few new cuts need the library."""
+        index, parts, sizes, local = self.table.index, [], [], {}
+        for cut in new:
+            stem = cut.lower() if self.drops_space and cut.isascii() else cut
+            mark = stem[-1] if len(stem) > 1 and stem[-1] in MARKS and stem[:-1].lstrip().isalpha() else ""
+            pieces = (stem[:-1], mark) if mark else (stem,)
+            for piece in pieces:
+                parts.append(local.setdefault(piece, len(local)))
+            sizes.append(len(pieces))
+        known = len(self.table.counts)
+        names = list(local)
+        at = np.array([k if (k := index.get(x)) is not None and k < known else -1 for x in names], np.int64)
+        fresh = np.flatnonzero(at < 0)
+        ids, counts = self._encode([names[i] for i in fresh.tolist()])
+        all_counts = np.concatenate([np.array(self.table.counts, np.int64), counts])
+        all_ids = np.concatenate([np.array(self.table.flat, np.uint32), ids])
+        at[fresh] = known + np.arange(len(fresh))
+        starts = np.cumsum(all_counts) - all_counts
+        of = at[np.array(parts, np.int64)]
+        each = all_counts[of]
+        ends = np.cumsum(sizes)
+        total = np.concatenate(([0], np.cumsum(each)))
+        return all_ids[spread(starts[of], each)], total[ends] - total[ends - np.array(sizes)]
+
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         cuts = [self._cuts(t) for t in texts]
         ids, each = self.table.ids(cuts)
