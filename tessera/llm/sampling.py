@@ -100,12 +100,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = near.withColumn("edited", F.when(F.col("copy") == 0, F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("next").substr(F.lit(1), cut))))
-    bodies = rows.select("bucket", "place", "copy", F.posexplode(F.when(F.col("copy") == 0, F.array("text", "edited")).otherwise(F.array("text"))).alias("which", "body"))
-    by = ["bucket", "place", "copy", "which"]
+    bodies = rows.select("bucket", "place", "copy", "doc_id", F.posexplode(F.when(F.col("copy") == 0, F.array("text", "edited")).otherwise(F.array("text"))).alias("which", "body"))
+    # doc_id goes along only to make the exchange of texts the same as for base, so that it is used twice
+    by = ["bucket", "place", "copy", "doc_id", "which"]
     drawn = samples(terms(bodies, by, "body"), by, "h", "n")
     value = F.shiftleft("slot", 24).bitwiseOR(F.col("sample"))
     mine, other = (F.collect_list(F.when((F.col("which") == k) & F.col("slot").isNotNull(), value)).alias(name) for k, name in ((0, "mine"), (1, "other")))
-    marks = drawn.groupBy("bucket", "place", "copy").agg(mine, other)
+    marks = drawn.groupBy("bucket", "place", "copy", "doc_id").agg(mine, other)
     order = Window.partitionBy("bucket").orderBy("place")
     marks = marks.withColumn("following", F.lead("mine").over(order)).where("copy = 0")
     marks = marks.select("bucket", "place", "mine", "other", likeness("mine", "other").alias("near_edited"), likeness("mine", "following").alias("near_next"))
