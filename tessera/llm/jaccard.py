@@ -34,6 +34,8 @@ WIDTH = 1.38
 TELLING = 2
 #: Entries that a task gathers before it sends them off, and documents of a tile.
 ENTRIES, TILE = 1_000_000, 400
+#: Pairs for each document of a tile up to which all are verified at once.
+PAIRS = 4
 
 
 @dataclass(frozen=True)
@@ -214,10 +216,10 @@ def sketched(docs: DataFrame, measure: Measure) -> DataFrame:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """The parity sketch of a set, as 64-bit words: a power of two of bits, at least twice the set's size.
+    """The parity sketch of a set, as 64-bit words: a power of two of bits, at least the set's size.
 
     XOR of its halves is the sketch of half the width."""
-    width = max(64, 1 << int(2 * len(h) - 1).bit_length())
+    width = max(64, 1 << int(len(h) - 1).bit_length()) if len(h) else 64
     bits = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
@@ -272,8 +274,9 @@ def similar(x: np.ndarray, y: np.ndarray, measure: Measure) -> bool:
 def within_keys(groups: DataFrame, sketches: DataFrame, measure: Measure, forest: bool) -> DataFrame:
     """Pairs (a, b) of different components among groups(key, doc_id, component) whose sketches allow a link, tile by tile.
 
-    sketches has doc_id, n and sketch. No pair of a key that links is left out, unless forest asks for pairs that
-    would join all components at once, the likeliest first.
+    sketches has doc_id, n and sketch. No pair of a key that links is left out, but with forest, if a tile has more
+    than PAIRS pairs for each of its documents: then it gives those that would join all components at once, the
+    likeliest first, and a row key (a and b are null), as its other pairs are still to be looked at.
     """
     count = groups.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     t, u = F.col("tile"), F.col("other")
@@ -297,7 +300,9 @@ def within_keys(groups: DataFrame, sketches: DataFrame, measure: Measure, forest
             b.append(j + i + 1)
             score.append(far[j] / most[j])
         a, b, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, score))
-        if forest:
+        whole = pa.array([], pa.int64())
+        if forest and len(a) > PAIRS * len(n):
+            whole = pa.array([table["key"][0].as_py()], pa.int64())
             root = {c: c for c in comp.tolist()}
 
             def find(c):
@@ -313,9 +318,14 @@ def within_keys(groups: DataFrame, sketches: DataFrame, measure: Measure, forest
                     root[y] = x
                     keep.append(k)
             a, b = a[keep].astype(np.int64), b[keep].astype(np.int64)
-        return pa.table({"a": np.maximum(doc[a], doc[b]), "b": np.minimum(doc[a], doc[b])})
+        a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+        return pa.table({
+            "key": pa.concat_arrays([whole, pa.nulls(len(a), pa.int64())]),
+            "a": pa.concat_arrays([pa.nulls(len(whole), pa.int64()), pa.array(np.maximum(doc[a], doc[b]), pa.int64())]),
+            "b": pa.concat_arrays([pa.nulls(len(whole), pa.int64()), pa.array(np.minimum(doc[a], doc[b]), pa.int64())]),
+        })
 
-    return rows.groupBy("key", "x", "y").applyInArrow(allowed, "a long, b long").distinct()
+    return rows.groupBy("key", "x", "y").applyInArrow(allowed, "key long, a long, b long").distinct()
 
 
 def join(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -347,13 +357,20 @@ def join(docs: DataFrame, measure: Measure) -> DataFrame:
     told = against_pivots(docs, assigned, measure)
     links, sketches = told.where("b is not null").select("a", "b"), told.where("b is null").select(F.col("a").alias("doc_id"), "n", "sketch").dropDuplicates(["doc_id"])
     same = common.stored(components(links), "components")
-    # Keys whose documents are still in several components: first pairs that may join them, then all that are left.
+    # Keys whose documents are still in several components: all pairs that may link, or of tiles with very many
+    # first those that may join the components, and then all that are left.
+    left = None
     for forest in (True, False):
         now = groups.select("key", "doc_id").join(common.small(same.withColumnRenamed("node", "doc_id")), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        pairs = common.stored(within_keys(now.join(open_keys, "key"), sketches, measure, forest), "pairs")
+        if left is not None:
+            open_keys = open_keys.join(left, "key", "left_semi")
+        found = common.stored(within_keys(now.join(open_keys, "key"), sketches, measure, forest), "pairs")
+        pairs, left = found.where("key is null").select("a", "b"), found.where("key is not null").select("key").distinct()
         if pairs.isEmpty():
             break
         links = links.unionByName(against_pivots(docs, pairs.toDF("doc_id", "pivot"), measure).where("b is not null").select("a", "b"))
         same = common.stored(components(links), "components")
+        if left.isEmpty():
+            break
     return classes.join(common.small(same.withColumnRenamed("node", "rep")), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
