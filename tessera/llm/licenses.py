@@ -6,8 +6,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import add, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -48,16 +50,11 @@ def unknown_idf(templates: dict[str, str]) -> float:
     return math.log(1 + len(templates)) + 1
 
 
-def anchors(vectors: dict[str, dict[str, float]], least: float) -> list[str]:
-    """Tokens of which a line needs one: by Cauchy and Schwarz, the others of a template reach no cosine of `least`."""
-    out = set()
-    for v in vectors.values():
-        mass = 0.0
-        for t, x in sorted(v.items(), key=lambda e: (e[1], e[0])):
-            mass += x * x
-            if mass >= least * least * (1 - 1e-9):
-                out.add(t)
-    return sorted(out)
+def reachable(low: Column, vectors: dict[str, dict[str, float]], least: float) -> Column:
+    """Whether a line in lower case holds enough of a template's tokens: by Cauchy and Schwarz its cosine is at most
+    the norm of the template's part that it has. A token counts as held wherever its letters stand, which only adds lines."""
+    held = [reduce(add, (F.when(low.contains(t), w * w).otherwise(0.0) for t, w in sorted(v.items()))) >= least * least - 1e-9 for v in vectors.values()]
+    return reduce(or_, held)
 
 
 def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -67,12 +64,8 @@ def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: floa
     The templates' vectors are as large as the templates, however many files there are; they are broadcast."""
     idf, vectors = weights(templates)
     spark = files.sparkSession
-    needed = [F.col("low").contains(a) for a in anchors(vectors, least)]
-    some = needed[0]
-    for n in needed[1:]:
-        some = some | n
     lines = files.select("path", F.posexplode(F.split(F.col("text"), "\n")).alias("line", "raw"), F.size(F.split(F.col("text"), "\n")).alias("lines"))
-    lines = lines.withColumn("low", F.lower("raw")).where(some).select("path", "line", (F.col("line") == F.col("lines") - 1).alias("last"), "low")
+    lines = lines.withColumn("low", F.lower("raw")).where(reachable(F.col("low"), vectors, least)).select("path", "line", (F.col("line") == F.col("lines") - 1).alias("last"), "low")
     found = lines.select("path", "line", "last", F.explode(F.split("low", BETWEEN)).alias("token")).where("token <> ''")
     found = found.groupBy("path", "line", "last", "token").agg(F.count("*").alias("n"))
     table = spark.createDataFrame([(t, idf[t], [(name, v[t]) for name, v in vectors.items() if t in v]) for t in idf], "token string, idf double, of array<struct<name: string, weight: double>>")

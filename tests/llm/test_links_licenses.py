@@ -76,8 +76,24 @@ def test_odd_files(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
-def test_lines_without_an_anchor_reach_no_template():
+def test_no_line_is_left_out_that_reaches_a_template(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
     idf, vectors = licenses.weights(licenses.TEMPLATES)
-    needed = set(licenses.anchors(vectors, licenses.LEAST))
-    for v in vectors.values():
-        assert sum(x * x for t, x in v.items() if t not in needed) < licenses.LEAST**2
+    rng = random.Random(2)
+    lines = []
+    for text in licenses.TEMPLATES.values():
+        w = text.split()
+        lines += [" ".join(x for x in w if rng.random() > d) + " " + " ".join(rng.choices(["the", "x", "mit", "by"], k=k)) for d in (0, 0.1, 0.3, 0.6) for k in (0, 1, 3) for _ in range(5)]
+    df = spark.createDataFrame([(x.lower(),) for x in lines], "low string")
+    kept = [r.k for r in df.select(licenses.reachable(F.col("low"), vectors, licenses.LEAST).alias("k")).collect()]
+    for x, k in zip(lines, kept, strict=True):
+        v = {t: n * idf.get(t, licenses.unknown_idf(licenses.TEMPLATES)) for t, n in Counter(licenses.tokens(x)).items()}
+        norm = math.sqrt(sum(y * y for y in v.values())) or 1
+        best = max(sum(y * t.get(z, 0) for z, y in v.items()) / norm for t in vectors.values())
+        assert k or best < licenses.LEAST
+    assert not all(kept)
