@@ -226,13 +226,14 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 def against_pivots(docs: DataFrame, assigned: DataFrame, measure: Measure) -> DataFrame:
     """Stored rows a, b: links among assigned(doc_id, pivot), each document's set held against its pivot's; and
-    rows a, n, sketch for every document of assigned (b is null).
+    rows a, n, sketch for every document of assigned and every pivot (b is null). A document that is its own pivot is
+    only sketched.
 
     A pivot with many documents is repeated for every few hundred of them, so no task gets them all.
     """
     parts = common.partitions(docs.sparkSession)
     count = assigned.groupBy("pivot").agg(F.ceil(F.count("*") / TILE).alias("shares"))
-    salted = assigned.join(count, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), "shares").alias("share"), F.lit(1).alias("turn"))
+    salted = assigned.where("doc_id <> pivot").join(count, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), "shares").alias("share"), F.lit(1).alias("turn"))
     heads = count.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("turn"))
     wanted = common.stored(salted.unionByName(heads), "pivots")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(common.small(wanted), "doc_id")
@@ -352,8 +353,8 @@ def join(docs: DataFrame, measure: Measure) -> DataFrame:
     sums = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(h).alias("s"), F.min("doc_id").alias("pivot"))
     chosen = sums.where("n > 1").groupBy("n", "s", "pivot").agg(F.min("key").alias("key"))
     groups = common.stored(members.join(chosen.select("key", "pivot"), "key"), "groups")
-    # Each document against one pivot: that of its key with the smallest one.
-    assigned = groups.where("doc_id <> pivot").groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
+    # Each document against one pivot: that of its key with the smallest one, itself if it is the pivot of all its keys.
+    assigned = groups.groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
     told = against_pivots(docs, assigned, measure)
     links, sketches = told.where("b is not null").select("a", "b"), told.where("b is null").select(F.col("a").alias("doc_id"), "n", "sketch").dropDuplicates(["doc_id"])
     same = common.stored(components(links), "components")
