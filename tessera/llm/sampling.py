@@ -1,12 +1,19 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A document's terms are its words in lower case, weighing 1 + ln(count). A weight is cut into nested pieces of
-1 and a rest below 1, which leaves sums of minima and maxima over terms as they are, and every piece is put
-into one of SLOTS slots by hash. In a slot each piece draws, from hashes of itself, r and c ~ Gamma(2, 1) and
-b ~ U(0, 1); with t = floor(ln(w)/r + b) and ln a = ln c - r (t - b) - r, the piece of the least a is the
-slot's sample and (piece, t) its value. Two documents have the same value in a slot with the probability of
-their generalised Jaccard similarity over the slot's pieces, so the share of equal slots among those that
-either fills estimates the similarity of the documents. No piece weighs over 1, so no slot outweighs others.
+A document's terms are its words in lower case, weighing 1 + ln(count). A weight is cut into nested pieces, the
+k-th of ln(k / (k - 1)) and the first of 1: a word that comes n times has pieces 1 to n, so sums of minima and
+maxima over terms are sums over the pieces of both and of either document, and a piece weighs the same wherever it
+is. In each of SLOTS samples every piece draws, from hashes of itself, an exponential variable with its weight as
+the rate; the piece of the least draw is the sample. Of the pieces of two documents, one has the least
+draw with a probability in proportion to its weight, and the samples are equal if and only if both hold it: with the
+probability of the generalised Jaccard similarity, whatever the weights and however few the words. So the share of
+equal samples estimates it without bias. A piece's draws are stratified: of the SLOTS equal parts of (0, 1), each
+sample has another one, in an order by hash. A sample's part is any with the same probability, and pieces are
+independent of each other, which is all that the above needs; it makes the estimate vary less.
+
+A draw that is above DEEP / (distinct words) is left out. Weights sum up to the number of distinct words at least, so
+no draw is left in a sample, with exp(-DEEP) as the probability at most (1e-14 for a whole text): less than what
+the rounding of the draws does.
 """
 
 from __future__ import annotations
@@ -24,6 +31,9 @@ BROADCAST_ROWS = 200_000
 #: Documents that a task should get at about, as far as 8 times the shuffle partitions allow.
 TASK_DOCS = 800
 LOWEST = -(1 << 63)
+DEEP = 36.0
+TOP = 2.0**63
+PART_BITS = 63 - (SLOTS.bit_length() - 1)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -56,31 +66,36 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.select("bucket", F.row_number().over(order).alias("place"), "copy", "doc_id", "text", F.lead("text").over(order).alias("next"))
 
 
-def _unit(bits: Column) -> Column:
-    """A number in (0, 1) from 32 bits."""
-    return (bits.cast("double") + 0.5) / 4294967296.0
-
-
-def samples(terms: DataFrame, by: list[str], hash_: str, count: str) -> DataFrame:
-    """terms(by..., hash_, count) to by..., slot, sample: a slot's value in 24 bits. Rows without a hash get slot null."""
-    weight = 1 + F.log(count)
-    pieces = terms.select(*by, F.col(hash_).alias("h"), weight.alias("all"), F.explode(F.sequence(F.lit(1), F.ceil(weight).cast("int"))).alias("i"))
-    a, b, c = (F.xxhash64("h", "i", F.lit(k)) for k in (1, 2, 3))
-    drawn = pieces.select(*by, "h", "i", F.least(F.lit(1.0), F.col("all") - F.col("i") + 1).alias("w"), a.alias("a"), b.alias("b"), c.alias("c"))
-    high, low = (lambda x: _unit(F.shiftrightunsigned(x, 32))), (lambda x: _unit(F.col(x).bitwiseAND(F.lit(0xFFFFFFFF))))
-    drawn = drawn.select(*by, "h", "i", "w", (-F.log(high("a") * low("a"))).alias("r"), (-F.log(high("b") * low("b"))).alias("g"), high("c").alias("u"), F.col("c").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot"))
-    drawn = drawn.withColumn("t", F.floor(F.log("w") / F.col("r") + F.col("u")))
-    height = F.log("g") - F.col("r") * (F.col("t") - F.col("u")) - F.col("r")
-    packed = F.shiftleft(((height + 128) * 1073741824.0).cast("long"), 24).bitwiseOR(F.xxhash64("h", "i", "t").bitwiseAND(F.lit(0xFFFFFF)))
-    drawn = drawn.select(*by, F.when(F.col("h").isNotNull(), F.col("slot")).alias("slot"), packed.alias("packed"))
+def samples(terms: DataFrame, by: list[str], hash_: str, count: str, distinct: str) -> DataFrame:
+    """terms(by..., hash_, count, distinct) to by..., slot, sample: a slot's value in 24 bits. distinct is the number of
+    hashes of the same document. A document without hashes gets slot null."""
+    deep = DEEP / F.greatest(F.col(distinct), F.lit(1))
+    pieces = terms.select(*by, F.col(hash_).alias("h"), deep.alias("deep"), F.explode(F.sequence(F.lit(1), F.when(F.col(hash_).isNull(), 1).otherwise(F.col(count)).cast("int"))).alias("k"))
+    pieces = pieces.select(*by, F.xxhash64("h", "k").alias("piece"), F.col("h").isNull().alias("none"), "deep", F.when(F.col("k") == 1, 1.0).otherwise(-F.log1p(-1.0 / F.col("k"))).alias("weight"))
+    # hashes of 63 bits below this are draws up to deep
+    # hashes of 63 bits up to this are draws up to deep
+    pieces = pieces.withColumn("below", F.when(F.col("none"), 0).otherwise((-F.expm1(-F.col("deep") * F.col("weight")) * TOP).cast("long")))
+    # the piece's draw of rank part goes to the sample (a * part + b) mod SLOTS, for an odd a and any b by its hash
+    drawn = pieces.select("*", F.explode(F.sequence(F.lit(0), F.shiftrightunsigned("below", PART_BITS).cast("int"))).alias("part"))
+    drawn = drawn.withColumn("u", F.shiftleft(F.col("part").cast("long"), PART_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64("piece", "part"), 64 - PART_BITS)))
+    drawn = drawn.where((F.col("u") <= F.col("below")) | F.col("none"))
+    a, b = F.shiftrightunsigned("piece", 30).bitwiseAND(F.lit(SLOTS - 1)).bitwiseOR(F.lit(1)), F.shiftrightunsigned("piece", 40)
+    drawn = drawn.withColumn("slot", (a * F.col("part") + b).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
+    height = -F.log1p(-F.least((F.col("u") + 0.5) / TOP, F.lit(1 - 2.0**-53))) / F.col("weight") / F.col("deep")
+    packed = F.shiftleft(F.least(height * 2.0**38, F.lit(2.0**38)).cast("long"), 24).bitwiseOR(F.col("piece").bitwiseAND(F.lit(0xFFFFFF)))
+    drawn = drawn.select(*by, F.when(~F.col("none"), F.col("slot")).alias("slot"), packed.alias("packed"))
     return drawn.groupBy(*by, "slot").agg(F.min("packed").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("sample"))
 
 
 def terms(rows: DataFrame, by: list[str], text: str) -> DataFrame:
-    """by..., h, n: the words of each text by hash with their counts, and one row with h null for every text."""
+    """by..., h, n, distinct: the words of each text by hash with their counts and the number of distinct ones, and one
+    row with h null for every text."""
     # the space makes split() end with an empty string, so that a text without words has a row too
-    word = rows.select(*by, F.explode(F.split(F.concat(F.lower(text), F.lit(" ")), "[\\x20\\x09-\\x0D]+")).alias("word"))
-    return word.select(*by, F.when(F.col("word") != "", F.xxhash64("word")).alias("h")).groupBy(*by, "h").agg(F.count("*").alias("n"))
+    split = rows.select(*by, F.split(F.concat(F.lower(text), F.lit(" ")), "[\\x20\\x09-\\x0D]+").alias("words"))
+    # beside explode() it would be worked out for every word
+    split = split.withColumn("distinct", F.size(F.array_distinct("words")) - 1)
+    word = split.select(*by, "distinct", F.explode("words").alias("word"))
+    return word.select(*by, "distinct", F.when(F.col("word") != "", F.xxhash64("word")).alias("h")).groupBy(*by, "distinct", "h").agg(F.count("*").alias("n"))
 
 
 def likeness(x: str, y: str) -> Column:
@@ -103,7 +118,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     bodies = rows.select("bucket", "place", "copy", "doc_id", F.posexplode(F.when(F.col("copy") == 0, F.array("text", "edited")).otherwise(F.array("text"))).alias("which", "body"))
     # doc_id goes along only to make the exchange of texts the same as for base, so that it is used twice
     by = ["bucket", "place", "copy", "doc_id", "which"]
-    drawn = samples(terms(bodies, by, "body"), by, "h", "n")
+    drawn = samples(terms(bodies, by, "body"), by, "h", "n", "distinct")
     value = F.shiftleft("slot", 24).bitwiseOR(F.col("sample"))
     mine, other = (F.collect_list(F.when((F.col("which") == k) & F.col("slot").isNotNull(), value)).alias(name) for k, name in ((0, "mine"), (1, "other")))
     marks = drawn.groupBy("bucket", "place", "copy", "doc_id").agg(mine, other)

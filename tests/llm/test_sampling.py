@@ -56,6 +56,15 @@ def test_estimate_is_unbiased(spark):
     assert abs(sum(errors) / 200) < 0.02
 
 
+@pytest.mark.parametrize("words,often", [(10, (3, 2)), (40, (3, 2)), (10, (8, 7)), (2, (5, 1))])
+def test_estimate_is_unbiased_for_short_repetitive_texts(spark, words, often):
+    """Pairs of the same words, each coming often[0] times in the one text and often[1] times in the other."""
+    rows = [(2 * i + k, " ".join(f"p{i}w{j}" for j in range(words) for _ in range(often[1 - k]))) for i in range(150) for k in (0, 1)]
+    got = {r.doc_id: r.near_next for r in sampling.fingerprints(make(spark, rows)).collect()}
+    errors = [got[2 * i + 1] - similarity(rows[2 * i + 1][1], rows[2 * i][1]) for i in range(150)]
+    assert abs(sum(errors) / 150) < 0.02
+
+
 def test_odd_rows(spark):
     rows = [(4, None), (3, ""), (3, "same id"), (2, " \n"), (1, "a b c"), (0, "a b c"), (None, "no id"), (9, "word " * 30_000), (8, "张三 ÉÉ é" * 10)]
     got = sampling.fingerprints(make(spark, rows)).collect()
