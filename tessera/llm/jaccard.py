@@ -175,10 +175,10 @@ def sketched(docs: DataFrame, measure: Measure) -> DataFrame:
                 null = ~np.asarray(run.column(0).is_valid())
                 raw = [np.concatenate([doc, null.astype(np.int64)]).tobytes(), n.astype(np.int64).tobytes(), one.tobytes(), two.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([int(doc[0]) % buckets if len(doc) else 0, 0, *raw], schema.types, strict=True)], schema=schema)
-                # repeated sets of a run send their keys once: the digest joins them
+                # repeated sets of a run send their keys once, by a row that has an id: the digest joins them
                 lead = np.zeros(len(n), bool)
-                lead[np.unique(one ^ mixed(two), return_index=True)[1]] = True
-                lead &= ~null
+                known = np.flatnonzero(~null)
+                lead[known[np.unique((one ^ mixed(two))[known], return_index=True)[1]]] = True
                 key, of = keys(h[lead[of]], np.where(lead, n, 0), measure)
                 if len(key):
                     held.append((key, doc[of]))

@@ -81,6 +81,14 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (3, 3), (3, 3), (5, 3)]
 
 
+def test_a_null_id_before_an_equal_set_takes_no_links(spark):
+    base = [f"n{i}" for i in range(80)]
+    near = " ".join(["other", *base[1:]])
+    rows = [(None, " ".join(base)), (5, " ".join(base)), (3, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in jaccard.join(docs, MEASURE).collect()), key=str) == sorted([(None, 77, None), (5, 77, 3), (3, 77, 3)], key=str)
+
+
 @pytest.mark.parametrize("num,seed", [(85, 1), (80, 2), (95, 3)])
 def test_every_pair_that_links_shares_a_key(num, seed):
     rng, m = np.random.default_rng(seed), jaccard.Measure(4, num, 100)
