@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 from functools import cache
@@ -79,6 +80,12 @@ class Table:
         return np.array(self.flat, np.uint32)[spread(starts[at], each)], each
 
 
+def _letters(x: str) -> bool:
+    """Whether x is letters, behind any white space, and still is when composed and in lower case."""
+    x = x.lstrip()
+    return x.isalpha() and (x.isascii() or unicodedata.normalize("NFC", x).lower().isalpha())
+
+
 class Encoder:
     """ids(texts) gives the ids of many texts end to end and the number of each."""
 
@@ -87,7 +94,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        #: How all strings begin that the library takes as one token before anything else: none holds white space.
+        self.special = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.drops_space = drops_space
         self.table = Table(self._learn, kept)
 
@@ -109,12 +117,14 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A cut of letters with one mark behind them is two pieces to both tokenizers, the mark by itself; and a
-        tokenizer that drops space doesn't tell ASCII capitals. So few new cuts need the library."""
-        index, parts, sizes, local = self.table.index, [], [], {}
+        tokenizer that drops space doesn't tell ASCII capitals. So few new cuts need the library. Letters whose
+        lower case has a combining mark are more pieces, and strings of special tokens are told by case."""
+        index, parts, sizes, local, special = self.table.index, [], [], {}, self.special
         for cut in new:
-            stem = cut.lower() if self.drops_space and cut.isascii() else cut
-            mark = stem[-1] if len(stem) > 1 and stem[-1] in MARKS and stem[:-1].lstrip().isalpha() else ""
-            pieces = (stem[:-1], mark) if mark else (stem,)
+            pieces = (cut,)
+            if not special or special not in cut:
+                stem = cut.lower() if self.drops_space and cut.isascii() else cut
+                pieces = (stem[:-1], stem[-1]) if len(stem) > 1 and stem[-1] in MARKS and _letters(stem[:-1]) else (stem,)
             for piece in pieces:
                 parts.append(local.setdefault(piece, len(local)))
             sizes.append(len(pieces))

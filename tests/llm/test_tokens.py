@@ -20,9 +20,7 @@ def table(spark, rows):
 def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.path(name))
 
 
 def reference_ids(name, text):
@@ -38,6 +36,29 @@ def test_encoder_equals_the_library(spark, sf_dir, name, drops):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [reference_ids(name, t)[:-1] for t in part]
 
 
+FUZZ = ["İ", "I", "\u0307", "\u0301", "e", "É", "ß", "ﬁ", "Σ", "ΑΣ", "K", "Å", "ö", "o\u0308", "한", "ᄒ", "ᅡ", "あ\u3099", "ा", "क", "張", "🎉", "👩\u200d", "7", "٣", "½", "²", "'s", "'LL", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "<", "\u0338", ",", ".", "!", "?", ";", ":", "…", "\u037e", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u2003", "\u200b", "\u3000", "a", "word", "The", "_", "-"]
+
+
+@pytest.mark.parametrize("name,drops", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_equals_the_library_on_random_strings(name, drops):
+    rng, e = random.Random(name), tokens.Encoder(tokens.path(name), drops, kept=3000)
+    texts = ["".join(rng.choices(FUZZ, k=rng.randint(1, 12))) for _ in range(30_000)]
+    texts += ["".join(chr(rng.choice((rng.randrange(0x20, 0xD800), rng.randrange(0x20, 0x600)))) for _ in range(rng.randint(1, 5))) + rng.choice(",.!?;: ") for _ in range(30_000)]
+    expected = [x.ids for x in library(name).encode_batch(texts, add_special_tokens=False)]
+    for k in range(0, len(texts), 2_000):
+        ids, n = e.ids(texts[k : k + 2_000])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == expected[k : k + 2_000]
+
+
+@pytest.mark.parametrize("name,drops", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_every_letter_with_a_mark_behind_it(name, drops):
+    texts = [f"{chr(c)}," for c in range(0x30, 0x30000) if chr(c).isalpha()]
+    ids, n = tokens.Encoder(tokens.path(name), drops).ids(texts)
+    expected = [x.ids for x in library(name).encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, x, y in zip(texts, np.split(ids, np.cumsum(n)[:-1]), expected, strict=True) if x.tolist() != y]
+    assert not wrong
+
+
 def test_packed_uses_each_token_once():
     rng = random.Random(5)
     for case in ([], [1], [2048], [2049], [300, 300, 300], [rng.randint(1, 5000) for _ in range(400)], [7] * 1000):
