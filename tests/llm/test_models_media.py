@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -18,24 +19,61 @@ def texts_of(spark, sf_dir, n=80):
     return [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(n).collect()] + [t or "" for _, t in ODD_DOCS]
 
 
-def test_without_dropout_equals_the_library(spark, sf_dir):
+ODD_WORDS = ["▁ literal ▁▁ bar", " ", "\n \n", "a\x00b", "\U0010ffff", "      deep", "x    \n   y  ", "張三李四" * 30, "=" * 150, "a" * 64, "b" * 63, "c" * 65, "\u0301" * 5, "thanedble " * 40]
+
+
+def library():
     from sentencepiece import SentencePieceProcessor
 
-    texts = texts_of(spark, sf_dir)
-    assert [x.tolist() for x in pieces.Encoder(FILE, dropout=0, kept=100).ids(texts)] == SentencePieceProcessor(model_file=FILE).encode(texts, num_threads=1)
+    return SentencePieceProcessor(model_file=FILE)
+
+
+def test_without_dropout_equals_the_library(spark, sf_dir):
+    texts = texts_of(spark, sf_dir) + [t for t in ODD_WORDS if "▁" not in t]
+    assert [x.tolist() for x in pieces.Encoder(FILE, dropout=0).ids(texts)] == library().encode(texts, num_threads=1)
+
+
+def naive(text, dropout, seed):
+    """Merge-dropout word by word, looking at all pairs again after every step."""
+    sp = library()
+    score = {sp.id_to_piece(i): (sp.get_score(i), i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    salt, out = pieces._mixed(zlib.crc32((" " + text).encode()) + (seed << 32)), []
+    for k, word in enumerate(re.findall(" *[^ \n]+| +|\n", " " + text)):
+        key, skipped = pieces._mixed(salt + k), set()
+        parts = [("\ue000" if c == "▁" else c.replace(" ", "▁"), i) for i, c in enumerate(word)]
+        while True:
+            found = [(-score[a + b][0], i, n) for n, ((a, i), (b, _)) in enumerate(zip(parts, parts[1:])) if a + b in score and (a, i, b) not in skipped]
+            if not found:
+                break
+            _, i, n = min(found)
+            (a, _), (b, _) = parts[n : n + 2]
+            if pieces._mixed(key + pieces._mixed((score[a + b][1] << 32) + (len(a) << 24) + i + 1)) / 2.0**64 < dropout:
+                skipped.add((a, i, b))
+            else:
+                parts[n : n + 2] = [(a + b, i)]
+        for p, _ in parts:
+            out += [score[p][1]] if p in score else [sp.piece_to_id(f"<0x{x:02X}>") for x in p.replace("\ue000", "▁").encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout,seed", [(0.1, pieces.SEED), (0.5, 3)])
+def test_dropout_equals_a_naive_agenda(spark, sf_dir, dropout, seed):
+    texts = [*ODD_WORDS, *(t[:1500] for t in texts_of(spark, sf_dir, 12))]
+    for t, ids in zip(texts, pieces.Encoder(FILE, dropout, seed).ids(texts), strict=True):
+        assert ids.tolist() == (naive(t, dropout, seed) if t else [])
 
 
 def test_dropout_varies_and_is_lossless(spark, sf_dir):
-    texts = [*texts_of(spark, sf_dir), "▁ literal ▁▁ bar", " ", "\n \n", "a\x00b", "\U0010ffff"]
-    encoder, again, decoder = pieces.Encoder(FILE), pieces.Encoder(FILE, kept=10), pieces.Decoder(FILE)
+    texts = [*texts_of(spark, sf_dir), *ODD_WORDS]
+    encoder, decoder = pieces.Encoder(FILE), pieces.Decoder(FILE)
     ids = encoder.ids(texts)
     assert [decoder.text(x) for x in ids] == texts
-    assert all((a == b).all() for a, b in zip(ids, again.ids(texts), strict=True))
-    plain = pieces.Encoder(FILE, dropout=0).ids(texts)
-    assert sum(map(len, ids)) > sum(map(len, plain))
-    m = encoder.model
-    assert len({tuple(m.word(" thanedble", v)) for v in range(40)}) > 2 and all(pieces.Encoder(FILE, seed=s).ids(["x"]) for s in (1, 2))
-    assert len(m.word(" thanedble", dropout=1.0)) == len(" thanedble")
+    assert all((a == encoder.ids([t])[0]).all() for a, t in zip(ids, texts, strict=True))
+    assert sum(map(len, ids)) > sum(map(len, pieces.Encoder(FILE, dropout=0).ids(texts)))
+    # one word of a text is segmented in many ways, more of them the more often it comes
+    spelt = "".join(encoder.model.spelt[i].decode() + "|" for i in encoder.ids(["thanedble " * 2000])[0]).split("| ")
+    assert len(set(spelt[:200])) < len(set(spelt)) and len(set(spelt)) > 30
+    assert len(pieces.Encoder(FILE, dropout=1.0).ids(["thanedble"])[0]) == len(" thanedble")
 
 
 def test_sentencepiece_query(spark, sf_dir):
