@@ -30,6 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind those that a column has already (in any case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, outlives an executor."""
     spark = df.sparkSession

@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A step of the network reads STEP bytes, whose embeddings stand side by side; every step (position) gets a
-distribution over the languages, and a document's probabilities are the means over all its positions.
-The network is trained in numpy by backpropagation through time, on the driver, on a bounded sample of
-labelled rows; prediction reads only the text.
+A forward and a backward state read a text byte by byte; every byte (position) gets a distribution over the
+languages from both, and a document's probabilities are the means over all its positions. So that many states can
+be computed at once, texts are read in windows: each state begins CONTEXT bytes before the window that it labels.
+The network is trained in numpy by backpropagation through time, on the driver, on a bounded sample of labelled
+rows; prediction reads only the text.
 """
 
 from __future__ import annotations
@@ -18,126 +19,136 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-STEP = 4
-#: Steps of a window: texts are read in windows of STEPS * STEP bytes, states starting at zero.
-STEPS = 32
-WIDTH = STEP * STEPS
-EMBED, HIDDEN = 8, 12
-#: Bound of the training sample: about so many labelled documents, and so many windows of each.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 2_000, 12
-ITERATIONS, BATCH, RATE = 300, 256, 0.01
+#: Bytes that a window labels, and bytes that its states read before.
+WIDTH, CONTEXT = 256, 32
+#: What a state reads beyond the ends of a text.
+OUTSIDE = 256
+HIDDEN = 12
+#: Windows whose states are computed at once.
+TOGETHER = 1_024
+#: Bounds of the training sample: about so many labelled documents of each language, of each at most so many windows,
+#: evenly over its text, and their width.
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_WIDTH = 500, 12, 64
+ITERATIONS, BATCH, RATE = 400, 128, 0.02
 UNKNOWN = "und"
 
 
-def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of byte strings end to end: bytes (windows, STEPS, STEP), filled with 0; whether a step has a byte; the string of each."""
+def windows(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of byte strings end to end: bytes (windows, CONTEXT + width + CONTEXT), OUTSIDE where there are none;
+    how many bytes each labels; the string of each."""
     sizes = np.diff(at)
-    each = -(-sizes // WIDTH)
+    each = -(-sizes // width)
     of = np.repeat(np.arange(len(sizes)), each)
-    first = common.spread(np.zeros(len(sizes), np.int64), each) * WIDTH
-    left = np.minimum(WIDTH, sizes[of] - first)
-    out = np.zeros((len(of), WIDTH), np.uint8)
-    inside = np.arange(WIDTH) < left[:, None]
-    out[inside] = raw
-    return out.reshape(-1, STEPS, STEP), inside.reshape(-1, STEPS, STEP)[:, :, 0], of
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    first = common.spread(np.zeros(len(sizes), np.int64), each) * width
+    place = first[:, None] + np.arange(-CONTEXT, width + CONTEXT)
+    inside = (place >= 0) & (place < sizes[of][:, None])
+    out = np.full(place.shape, OUTSIDE, np.int64)
+    out[inside] = raw[(place + at[:-1][of][:, None])[inside]]
+    return out, np.minimum(width, sizes[of] - first), of
 
 
 class Network:
+    """Parameters p, by direction f and b: in (3 HIDDEN, 257) for the byte that is read, re (3 HIDDEN, HIDDEN) for the
+    state before, each for update, reset and candidate; out (languages, HIDDEN); and bias (languages, 1)."""
+
     def __init__(self, languages: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
-        draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.languages = languages
-        self.p = {"embed": rng.standard_normal((256, EMBED)).astype(np.float32) * 0.5, "out": draw(2 * HIDDEN, len(languages)), "out_b": np.zeros(len(languages), np.float32)}
+        self.p = {"bias": np.zeros((len(languages), 1), np.float32)}
         for d in "fb":
-            self.p |= {f"in_{d}": draw(STEP * EMBED, 3 * HIDDEN), f"in_b_{d}": np.zeros(3 * HIDDEN, np.float32), f"re_{d}": draw(HIDDEN, 3 * HIDDEN)}
-
-    def _run(self, d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (STEPS, windows, HIDDEN) from inputs (STEPS, windows, 3 HIDDEN), in reading order of direction d."""
-        h, re, out = np.zeros((x.shape[1], HIDDEN), np.float32), self.p[f"re_{d}"], np.empty((x.shape[0], x.shape[1], HIDDEN), np.float32)
-        for t in range(x.shape[0]) if d == "f" else range(x.shape[0] - 1, -1, -1):
-            g = h @ re
-            zr = _sigmoid(x[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(x[t, :, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
+            self.p[f"in_{d}"] = (0.5 * rng.standard_normal((3 * HIDDEN, OUTSIDE + 1))).astype(np.float32)
+            self.p[f"re_{d}"] = (rng.standard_normal((3 * HIDDEN, HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32)
+            self.p[f"out_{d}"] = (rng.standard_normal((len(languages), HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32)
+
+    def _run(self, d: str, b: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """What a direction adds to the scores (width, languages, windows) of the bytes (steps, windows) that are labelled."""
+        read, re, out = self.p[f"in_{d}"], self.p[f"re_{d}"], self.p[f"out_{d}"]
+        steps = b.shape[0] - CONTEXT  # the context on the far side isn't read
+        y = np.empty((steps - CONTEXT, len(out), b.shape[1]), re.dtype)
+        h = np.zeros((HIDDEN, b.shape[1]), re.dtype)
+        x, g = np.empty((3 * HIDDEN, b.shape[1]), re.dtype), np.empty((3 * HIDDEN, b.shape[1]), re.dtype)
+        for k in range(steps):
+            t = k if d == "f" else b.shape[0] - 1 - k
             if keep is not None:
-                keep.append((t, h, z, r, n, g[:, 2 * HIDDEN :]))
-            h = n + z * (h - n)
-            out[t] = h
-        return out
-
-    def _inputs(self, d: str, b: np.ndarray) -> np.ndarray:
-        w = self.p[f"in_{d}"].reshape(STEP, EMBED, -1)
-        tables = [self.p["embed"] @ w[k] for k in range(STEP)]
-        tables[0] = tables[0] + self.p[f"in_b_{d}"]
-        bytes_first = b.transpose(1, 2, 0)
-        x = np.empty((b.shape[1], b.shape[0], 3 * HIDDEN), np.float32)
-        for t in range(b.shape[1]):
-            np.take(tables[0], bytes_first[t, 0], axis=0, out=x[t])
-            for k in range(1, STEP):
-                x[t] += tables[k][bytes_first[t, k]]
-        return x
+                x, g = np.empty_like(x), np.empty_like(g)
+            read.take(b[t], axis=1, out=x, mode="clip")
+            np.matmul(re, h, out=g)
+            zr, n = x[: 2 * HIDDEN], x[2 * HIDDEN :]
+            zr += g[: 2 * HIDDEN]
+            zr *= 0.5  # the sigmoid of twice this
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            z, r = zr[:HIDDEN], zr[HIDDEN:]
+            n += r * g[2 * HIDDEN :]
+            np.tanh(n, out=n)
+            new = h - n
+            new *= z
+            new += n
+            if keep is not None:
+                keep.append((t, h, z, r, n, g[2 * HIDDEN :], new))
+            h = new
+            if k >= CONTEXT:
+                np.matmul(out, h, out=y[t - CONTEXT])
+        return y
 
     def positions(self, b: np.ndarray) -> np.ndarray:
-        """Probabilities (STEPS, windows, languages) of every position."""
-        states = np.concatenate([self._run(d, self._inputs(d, b)) for d in "fb"], axis=2)
-        y = states @ self.p["out"] + self.p["out_b"]
-        y = np.exp(y - y.max(axis=2, keepdims=True))
-        return y / y.sum(axis=2, keepdims=True)
+        """Probabilities (width, languages, windows) of every labelled byte of windows (windows, steps)."""
+        b = np.ascontiguousarray(b.T)
+        y = self._run("f", b) + self._run("b", b) + self.p["bias"]
+        y = np.exp(y - y.max(axis=1, keepdims=True))
+        return y / y.sum(axis=1, keepdims=True)
 
     def documents(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Probabilities of byte strings end to end; an empty one gets zeros."""
-        out, steps = np.zeros((len(at) - 1, len(self.languages))), np.zeros(len(at) - 1)
-        b, there, of = windows(raw, at)
-        for a in range(0, len(b), 4096):
-            p = self.positions(b[a : a + 4096]) * there[a : a + 4096].T[:, :, None]
-            np.add.at(out, of[a : a + 4096], p.sum(axis=0, dtype=np.float64))
-            np.add.at(steps, of[a : a + 4096], there[a : a + 4096].sum(axis=1))
-        return out / np.maximum(steps, 1)[:, None]
-
-    def gradients(self, b: np.ndarray, there: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Probabilities of byte strings end to end, the means over their bytes; an empty one gets zeros."""
+        out = np.zeros((len(at) - 1, len(self.languages)))
+        b, n, of = windows(raw, at)
+        for a in range(0, len(b), TOGETHER):
+            last = slice(a, a + TOGETHER)
+            there = np.arange(WIDTH)[:, None] < n[last]
+            p = np.einsum("tlw,tw->lw", self.positions(b[last]), there.astype(np.float32), dtype=np.float64)
+            np.add.at(out, of[last], p.T)
+        return out / np.maximum(np.diff(at), 1)[:, None]
+
+    def gradients(self, b: np.ndarray, n: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over positions, weighted by language, and its gradients: backpropagation through time."""
+        b = np.ascontiguousarray(b.T)
         kept: dict[str, list] = {"f": [], "b": []}
-        states = np.concatenate([self._run(d, self._inputs(d, b), kept[d]) for d in "fb"], axis=2)
-        y = states @ self.p["out"] + self.p["out_b"]
-        y = np.exp(y - y.max(axis=2, keepdims=True))
-        y /= y.sum(axis=2, keepdims=True)
-        w = (there.T * weight[label]).astype(np.float32)
+        y = sum(self._run(d, b, kept[d]) for d in "fb") + self.p["bias"]
+        y = np.exp(y - y.max(axis=1, keepdims=True))
+        y /= y.sum(axis=1, keepdims=True)
+        w = ((np.arange(len(y))[:, None] < n) * weight[label]).astype(y.dtype)
         w /= w.sum()
-        rows = np.arange(len(label))
-        loss = -float((np.log(y[:, rows, label] + 1e-9) * w).sum())
-        dy = y * w[:, :, None]
-        dy[:, rows, label] -= w
-        flat = dy.reshape(-1, dy.shape[2])
-        grad = {"out": states.reshape(-1, 2 * HIDDEN).T @ flat, "out_b": flat.sum(0), "embed": np.zeros_like(self.p["embed"])}
-        ds = dy @ self.p["out"].T
-        x = self.p["embed"][b].transpose(1, 0, 2, 3).reshape(STEPS * len(b), STEP * EMBED)
-        demb = np.zeros((STEPS * len(b), STEP * EMBED), np.float32)
-        for k, d in enumerate("fb"):
-            re, dre, carried = self.p[f"re_{d}"], np.zeros_like(self.p[f"re_{d}"]), np.zeros((len(b), HIDDEN), np.float32)
-            dx = np.empty((STEPS, len(b), 3 * HIDDEN), np.float32)
-            for t, h, z, r, n, g in reversed(kept[d]):
-                dh = ds[t, :, k * HIDDEN : (k + 1) * HIDDEN] + carried
-                dn = dh * (1 - z) * (1 - n * n)
-                dx[t, :, :HIDDEN] = dh * (h - n) * z * (1 - z)
-                dx[t, :, HIDDEN : 2 * HIDDEN] = dn * g * r * (1 - r)
-                dx[t, :, 2 * HIDDEN :] = dn
-                dg = dx[t].copy()
-                dg[:, 2 * HIDDEN :] *= r
-                dre += h.T @ dg
-                carried = dh * z + dg @ re.T
-            flat = dx.reshape(-1, 3 * HIDDEN)
-            grad[f"re_{d}"], grad[f"in_{d}"], grad[f"in_b_{d}"] = dre, x.T @ flat, flat.sum(0)
-            demb += flat @ self.p[f"in_{d}"].T
-        which = b.transpose(1, 0, 2).ravel()
-        for e in range(EMBED):
-            grad["embed"][:, e] = np.bincount(which, weights=demb.reshape(-1, EMBED)[:, e], minlength=256)
+        column = np.arange(len(label))
+        loss = -float((np.log(y[:, label, column] + 1e-9) * w).sum())
+        dy = y * w[:, None, :]
+        dy[:, label, column] -= w
+        grad = {"bias": dy.sum((0, 2))[:, None]}
+        for d in "fb":
+            re, out = self.p[f"re_{d}"], self.p[f"out_{d}"]
+            dre, dout, carried = np.zeros_like(re), np.zeros_like(out), np.zeros((HIDDEN, b.shape[1]), re.dtype)
+            dx, which = np.empty((3 * HIDDEN, len(kept[d]), b.shape[1]), re.dtype), np.empty((len(kept[d]), b.shape[1]), np.int64)
+            for k in range(len(kept[d]) - 1, -1, -1):
+                t, h, z, r, c, g, new = kept[d][k]
+                dh = carried
+                if k >= CONTEXT:
+                    dh = dh + out.T @ dy[t - CONTEXT]
+                    dout += dy[t - CONTEXT] @ new.T
+                dc = dh * (1 - z) * (1 - c * c)
+                x = dx[:, k]
+                x[:HIDDEN] = dh * (h - c) * z * (1 - z)
+                x[HIDDEN : 2 * HIDDEN] = dc * g * r * (1 - r)
+                x[2 * HIDDEN :] = dc
+                dg = np.concatenate([x[: 2 * HIDDEN], dc * r])
+                dre += dg @ h.T
+                carried = dh * z + re.T @ dg
+                which[k] = b[t]
+            flat = which.ravel()
+            grad[f"in_{d}"] = np.stack([np.bincount(flat, weights=row.ravel(), minlength=OUTSIDE + 1) for row in dx]).astype(re.dtype)
+            grad[f"re_{d}"], grad[f"out_{d}"] = dre, dout
         return loss, grad
 
-    def train(self, b: np.ndarray, there: np.ndarray, label: np.ndarray, iterations: int = ITERATIONS, seed: int = 11) -> list[float]:
+    def train(self, b: np.ndarray, n: np.ndarray, label: np.ndarray, iterations: int = ITERATIONS, seed: int = 11) -> list[float]:
         """Adam; languages weigh alike however many rows they have."""
         rng, losses = np.random.default_rng(seed), []
         weight = (1 / np.maximum(1, np.bincount(label, minlength=len(self.languages)))).astype(np.float32)
@@ -145,7 +156,7 @@ class Network:
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for i in range(1, iterations + 1):
             rows = rng.integers(0, len(b), min(BATCH, len(b)))
-            loss, grad = self.gradients(b[rows], there[rows], label[rows], weight)
+            loss, grad = self.gradients(b[rows], n[rows], label[rows], weight)
             losses.append(loss)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             rate = RATE * (1 - 0.9 * i / iterations)
@@ -162,51 +173,59 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """lang and text of about per_language documents of each language, those whose hash is lowest, that can be learnt from:
+    not held out, with an id, a language and a text. Repeated rows count once, so that no language gets many more."""
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0)).select("lang", "text", F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 40)).alias("hash"))
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not counts:
+        return usable.select("lang", "text").limit(0)
+    below = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 40, -(-(per_language << 40) // n)))))
+    return usable.where(F.col("hash") < below[F.col("lang")]).groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, iterations: int = ITERATIONS) -> Network | None:
-    """A network trained on documents that are not held out and have a language; None if there are none.
+    """A network trained on sample(docs, sample_docs), of which every document gives at most SAMPLE_WINDOWS windows of
+    SAMPLE_WIDTH bytes, evenly over its whole text: a few MB come to the driver. None if there is nothing to learn from.
 
-    The sample is those rows whose hash is lowest, about sample_docs of them, and SAMPLE_WINDOWS windows of
-    each, evenly over its whole text: at most a few MB come to the driver.
+    Null ids, languages and texts and empty texts are not learnt from; extra columns aren't read.
     """
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0))
-    n = usable.select("doc_id").count()
-    if not n:
-        return None
-    share = min(1.0, sample_docs / n)
-    rows = usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) < F.lit(max(1, int(share * 1_000_000)) if share < 1 else 1_000_000))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, found = [], []
-            for text, lang in zip(batch.column(0), batch.column(1), strict=True):
+            langs, labels, found = [], [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = text.as_py().encode()
-                n = -(-len(raw) // WIDTH)
-                for k in sorted({i * n // SAMPLE_WINDOWS for i in range(SAMPLE_WINDOWS)}):
-                    found.append(raw[k * WIDTH : (k + 1) * WIDTH])
-                    names.append(lang.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], names=["lang", "window"])
-
-    sample = rows.select("text", "lang").limit(4 * sample_docs).mapInArrow(cut, "lang string, window binary").toArrow()
-    if not sample.num_rows:
+                b, size, _ = windows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SAMPLE_WIDTH)
+                for k in sorted({i * len(b) // SAMPLE_WINDOWS for i in range(SAMPLE_WINDOWS)}):
+                    langs.append(lang)
+                    labels.append(int(size[k]))
+                    found.append(b[k].astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(labels, pa.int64()), pa.array(found, pa.binary())], names=["lang", "n", "bytes"])
+
+    common.bounded(docs)
+    got = sample(docs, sample_docs).mapInArrow(cut, "lang string, n long, bytes binary").toArrow()
+    if not got.num_rows:
         return None
-    langs = np.array(sample["lang"].to_pylist())
-    languages = sorted(set(langs.tolist()))
-    found = sample["window"].to_pylist()
-    order = sorted(range(len(found)), key=lambda i: (found[i], langs[i]))  # the order of tasks doesn't matter
-    raw = np.frombuffer(b"".join(found[i] for i in order), np.uint8)
-    b, there, _ = windows(raw, np.concatenate(([0], np.cumsum([len(found[i]) for i in order]))))
+    rows = sorted(zip(got["bytes"].to_pylist(), got["lang"].to_pylist(), got["n"].to_pylist(), strict=True))  # the order of tasks doesn't matter
+    languages = sorted({r[1] for r in rows})
+    b = np.frombuffer(b"".join(r[0] for r in rows), "<u2").reshape(len(rows), -1).astype(np.int64)
     network = Network(languages)
-    network.train(b, there, np.searchsorted(languages, langs[order]), iterations)
+    network.train(b, np.array([r[2] for r in rows]), np.searchsorted(languages, np.array([r[1] for r in rows])), iterations)
     return network
 
 
-def predict(docs: DataFrame, network: Network | None, keep: list[str] | None = None) -> DataFrame:
-    """docs with lang_pred and score, the mean probability of that language over all positions.
+def predict(docs: DataFrame, network: Network | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep (default doc_id) of docs, and two more of the given names: the language, and the mean
+    probability of it over all positions.
 
-    "und" with score 0 for a null text, one without letters, or without a network. The columns in keep
-    (default doc_id) come first; text is read, lang and source are not.
+    "und" with score 0 for a null or empty text, one without letters, or without a network. A row for every row,
+    repeated ones alike; texts are read whole, however long. lang and source are not read unless kept. A name in keep
+    must not be one of the two names.
     """
     keep = keep or ["doc_id"]
+    if {k.lower() for k in keep} & {k.lower() for k in names}:
+        raise ValueError(f"columns {keep} clash with {names}")
     common.bounded(docs)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     there = keep.index("text") if "text" in keep else len(keep)
@@ -216,18 +235,19 @@ def predict(docs: DataFrame, network: Network | None, keep: list[str] | None = N
             for run in common.slices(batch, batch.schema.names[there]):
                 column = run.column(there)
                 letters = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\pL"), False))
-                names, score = np.full(run.num_rows, UNKNOWN, object), np.zeros(run.num_rows)
+                found, score = np.full(run.num_rows, UNKNOWN, object), np.zeros(run.num_rows)
                 if network and run.num_rows:
                     p = network.documents(*common.utf8(column))
                     best = p.argmax(axis=1)
-                    names[letters] = np.array(network.languages, object)[best[letters]]
+                    found[letters] = np.array(network.languages, object)[best[letters]]
                     score[letters] = np.clip(p[np.arange(len(p)), best][letters], 0, 1)
-                yield pa.RecordBatch.from_arrays([*(run.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(run.column(i) for i in range(len(keep))), pa.array(found, pa.string()), pa.array(score)], names=[*keep, *names])
 
     read = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("text to read"))
-    return read.mapInArrow(predicted, f"{schema}, lang_pred string, score double")
+    return read.mapInArrow(predicted, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """The rows of op4: doc_id, held_out, lang_pred, score."""
+    """The rows of op4: doc_id, held_out, lang_pred, score; one for every row of docs, null ids too (not held out). An
+    empty table gives none."""
     return predict(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
