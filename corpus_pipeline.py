@@ -22,8 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the network knows; a null lang gets the predicted one."""
     columns = docs.columns
     named = docs.where(F.col("doc_id").isNotNull())
-    found = language.predict(named, language.fit(named), columns).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    predicted, score = common.free_names(columns, "predicted", "score")
+    found = language.predict(named, language.fit(named), columns, (predicted, score)).where((F.col(predicted) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", predicted)).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
