@@ -1,30 +1,38 @@
 """Token ids by a public tokenizer file, through the tokenizers library, with a table of pieces already encoded.
 
-A text is cut where the tokenizer's own pre-tokenizer always cuts: before white space that follows
-something else. The ids of the cuts, end to end, are the ids of the whole text, so that every distinct
-cut is encoded once and looked up from then on.
+Texts are cut where the tokenizer's own pre-tokenizer always cuts: at white space, and between a letter and a mark
+such as a comma. The ids of the pieces, end to end, are the ids of the whole text, so that every distinct piece is
+encoded once, by the library, and looked up by its 64-bit hash from then on. Cutting and looking up are done for
+all pieces of a slice of text at once.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
-from array import array
-from collections.abc import Callable
 from functools import cache
+from itertools import chain
 
 import numpy as np
-
-from tessera.llm.common import spread
-
-#: Distinct cuts kept by a worker; beyond it those that came once are forgotten, which changes no result.
-KEPT = 400_000
-#: White space to Python's str methods and re, but not to the tokenizers library.
-ODD = re.compile("[\x1c-\x1f]")
-#: Marks that no tokenizer here joins to letters before them.
-MARKS = frozenset(",.!?;:")
-WITH_SPACE = re.compile(r"\s*\S+|\s+")
+import pyarrow as pa
+
+from tessera.llm import common
+from tessera.llm.common import mixed, spread
+from tessera.llm.words import prefix_hashes
+
+#: Distinct pieces kept by a worker; beyond it those that came once are forgotten, which changes no result.
+KEPT = 500_000
+#: Classes of bytes: white space of ASCII, letters (ASCII, and of two bytes below U+0100), marks, and all else.
+SPACE, LETTER, MARK, OTHER = range(4)
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+_CLASS[list(b",.!?;:")] = MARK
+#: Bytes of letters below U+0100 in UTF-8 (of other characters too, of which isalpha() tells them).
+_LETTERS = bytes([*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)])
+#: How byte-level tokenizers spell the bytes that are no printable characters of their own, in order from U+0100 on.
+_SPELT = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def path(name: str) -> str:
@@ -33,57 +41,67 @@ def path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Index(dict):
-    def __init__(self, known=()):
-        super().__init__(known)
-        self.new: list[str] = []
-
-    def __missing__(self, cut: str) -> int:
-        self[cut] = at = len(self)
-        self.new.append(cut)
-        return at
-
-
 class Table:
-    """The ids of cuts met so far; learn(cuts) gives the ids of new ones end to end and the number of each."""
-
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int = KEPT):
-        self.learn, self.kept = learn, kept
-        self.index, self.flat, self.counts, self.used = _Index(), array("I"), array("I"), np.zeros(0, np.int64)
-
-    def _renew(self) -> None:
-        counts, flat = np.array(self.counts, np.int64), np.array(self.flat, np.uint32)
-        keep = np.flatnonzero(self.used > 1)
-        starts = np.cumsum(counts) - counts
-        words = list(self.index)
-        self.index = _Index((words[k], i) for i, k in enumerate(keep.tolist()))
-        self.flat = array("I", flat[spread(starts[keep], counts[keep])].tobytes())
-        self.counts = array("I", counts[keep].astype(np.uint32).tobytes())
-        self.used = np.ones(len(keep), np.int64)
-
-    def ids(self, cuts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of lists of cuts end to end, and how many each cut has."""
-        if len(self.index) > self.kept:
-            self._renew()
-        at = [np.array(list(map(self.index.__getitem__, x)), np.int64) for x in cuts]
-        new, self.index.new = self.index.new, []
-        if new:
-            ids, counts = self.learn(new)
-            self.flat.frombytes(ids.astype(np.uint32).tobytes())
-            self.counts.frombytes(counts.astype(np.uint32).tobytes())
-        at = np.concatenate([np.zeros(0, np.int64), *at])
-        self.used = np.concatenate([self.used, np.zeros(len(self.index) - len(self.used), np.int64)])
-        self.used += np.bincount(at, minlength=len(self.index))
-        counts = np.array(self.counts, np.int64)
-        starts = np.cumsum(counts) - counts
-        each = counts[at]
-        return np.array(self.flat, np.uint32)[spread(starts[at], each)], each
-
-
-def _letters(x: str) -> bool:
-    """Whether x is letters, behind any white space, and still is when composed and in lower case."""
-    x = x.lstrip()
-    return x.isalpha() and (x.isascii() or unicodedata.normalize("NFC", x).lower().isalpha())
+    """Ids by 64-bit key, in an open-addressing table that is probed for many keys at once."""
+
+    def __init__(self, kept: int = KEPT):
+        self.kept, self.bits = kept, max(8, int(3 * kept).bit_length())
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot_key = np.zeros(1 << self.bits, np.uint64)
+        self.slot_entry = np.full(1 << self.bits, -1, np.int32)
+        self.keys, self.first, self.counts, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 for unknown ones."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.slot_entry[at]
+        rest = np.flatnonzero((out >= 0) & (self.slot_key[at] != keys))
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            out[rest] = self.slot_entry[at]
+            more = (out[rest] >= 0) & (self.slot_key[at] != keys[rest])
+            rest, at = rest[more], at[more]
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New entries, of keys that differ and are unknown."""
+        n = len(self.keys)
+        if n + len(keys) > 1 << (self.bits - 1):
+            self.bits = int(n + len(keys)).bit_length() + 1
+            self.slot_key, self.slot_entry = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+            self._place(self.keys, np.arange(n))
+        self._place(keys, n + np.arange(len(keys)))
+        ends = np.cumsum(counts)
+        self.first = np.concatenate([self.first, len(self.flat) + ends - counts])
+        self.flat = np.concatenate([self.flat, ids])
+        self.keys, self.counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
+        self.used = np.concatenate([self.used, np.zeros(len(keys), np.int64)])
+
+    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        at, left = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.slot_entry[at[left]] < 0]
+            self.slot_entry[at[free]] = entries[free]
+            self.slot_key[at[free]] = keys[free]
+            left = left[self.slot_entry[at[left]] != entries[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def get(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries end to end, and how many each has. The table forgets rare entries afterwards if it is full."""
+        counts = self.counts[entries]
+        ids = self.flat[spread(self.first[entries], counts)]
+        self.used += np.bincount(entries, minlength=len(self.keys))
+        if len(self.keys) > self.kept:
+            keep = np.flatnonzero(self.used > 1)
+            keep = keep if len(keep) <= self.kept // 2 else keep[np.argsort(-self.used[keep], kind="stable")[: self.kept // 2]]
+            keys, flat, each = self.keys[keep], self.flat[spread(self.first[keep], self.counts[keep])], self.counts[keep]
+            self._clear()
+            self.add(keys, flat, each)
+        return ids, counts
 
 
 class Encoder:
@@ -94,64 +112,109 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        #: How all strings begin that the library takes as one token before anything else: none holds white space.
-        self.special = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        self.model = self.tokenizer.model
+        #: How all strings begin that the library takes as one token before anything else. A text with it is one piece.
+        self.special = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()]).encode()
         self.drops_space = drops_space
-        self.table = Table(self._learn, kept)
-
-    def _cuts(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if ODD.search(text):
-            return [text]
-        return text.split() if self.drops_space else WITH_SPACE.findall(text)
-
-    def _encode(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for start in range(0, len(cuts), 20_000):
-            part = cuts[start : start + 20_000]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(e.ids, np.uint32))
-            counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
-        return np.concatenate(ids), np.concatenate(counts)
-
-    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A cut of letters with one mark behind them is two pieces to both tokenizers, the mark by itself; and a
-        tokenizer that drops space doesn't tell ASCII capitals. So few new cuts need the library. Letters whose
-        lower case has a combining mark are more pieces, and strings of special tokens are told by case."""
-        index, parts, sizes, local, special = self.table.index, [], [], {}, self.special
-        for cut in new:
-            pieces = (cut,)
-            if not special or special not in cut:
-                stem = cut.lower() if self.drops_space and cut.isascii() else cut
-                pieces = (stem[:-1], stem[-1]) if len(stem) > 1 and stem[-1] in MARKS and _letters(stem[:-1]) else (stem,)
-            for piece in pieces:
-                parts.append(local.setdefault(piece, len(local)))
-            sizes.append(len(pieces))
-        known = len(self.table.counts)
-        names = list(local)
-        at = np.array([k if (k := index.get(x)) is not None and k < known else -1 for x in names], np.int64)
-        fresh = np.flatnonzero(at < 0)
-        ids, counts = self._encode([names[i] for i in fresh.tolist()])
-        all_counts = np.concatenate([np.array(self.table.counts, np.int64), counts])
-        all_ids = np.concatenate([np.array(self.table.flat, np.uint32), ids])
-        at[fresh] = known + np.arange(len(fresh))
-        starts = np.cumsum(all_counts) - all_counts
-        of = at[np.array(parts, np.int64)]
-        each = all_counts[of]
-        ends = np.cumsum(sizes)
-        total = np.concatenate(([0], np.cumsum(each)))
-        return all_ids[spread(starts[of], each)], total[ends] - total[ends - np.array(sizes)]
-
-    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        cuts = [self._cuts(t) for t in texts]
-        ids, each = self.table.ids(cuts)
+        self.table = Table(kept)
+
+    def _classes(self, raw: np.ndarray) -> np.ndarray:
+        classes = _CLASS[raw]
+        two = np.flatnonzero(raw[:-1] == 0xC3)
+        two = two[(raw[two + 1] != 0x97) & (raw[two + 1] != 0xB7)]  # signs of multiplication and division
+        classes[two] = classes[two + 1] = LETTER
+        return classes
+
+    def _pieces(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts end to end: first byte and end of every piece, and the pieces of each text."""
+        n = len(raw)
+        self.classes = classes = self._classes(raw)
+        before, now = classes[:-1], classes[1:]
+        edge = np.zeros(n + 1, bool)
+        edge[1:n] = (before ^ now) == (LETTER ^ MARK)  # of these classes only those two differ so, beside space and other
+        edge[1:n] &= (before != SPACE) & (now != SPACE)
+        from_space = (before == SPACE) != (now == SPACE)
+        if self.drops_space:
+            edge[1:n] |= from_space
+        else:
+            to_space = from_space & (now == SPACE)
+            # other white space, of two or three bytes, belongs to the space behind it
+            odd = np.flatnonzero(to_space & (raw[:-1] >= 0x80)) + 1
+            two, three = raw[odd - 2], raw[np.maximum(odd - 3, 0)]
+            to_space[odd[(two == 0xC2) | ((two < 0xC0) & (three >= 0xE1) & (three <= 0xE3))] - 1] = False
+            edge[1:n] |= to_space
+        edge[at[at < n]] = True
+        body = raw.tobytes() if self.special else b""
+        whole = []
+        k = body.find(self.special) if self.special else -1
+        while k >= 0:
+            text = int(np.searchsorted(at, k, side="right")) - 1
+            whole.append(text)
+            edge[at[text] + 1 : at[text + 1]] = False
+            k = body.find(self.special, at[text + 1])
+        starts = np.flatnonzero(edge[:n])
+        ends = np.append(starts[1:], n)
+        if self.drops_space:
+            keep = classes[starts] != SPACE
+            keep |= np.isin(starts, at[whole])
+            starts, ends = starts[keep], ends[keep]
+        return starts, ends, at[whole]
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces end to end and how many each has. Letters below U+0100 (in lower case, or behind a space) go
+        straight to the library's model, as neither the normaliser nor the pre-tokenizer changes more than their
+        spelling of bytes."""
+        ids: list[list[int]] = [[]] * len(pieces)
+        slow, tokenize = [], self.model.tokenize
+        for i, piece in enumerate(pieces):
+            stem = piece if self.drops_space or piece[:1] != b" " else piece[1:]
+            if stem.isalpha():
+                spelt = stem.decode() if len(stem) == len(piece) else "Ġ" + stem.decode()
+            elif stem.translate(None, _LETTERS) or not (text := stem.decode()).isalpha() or (self.drops_space and text != text.lower()):
+                slow.append(i)
+                continue
+            else:
+                spelt = piece.decode("latin-1").translate(_SPELT)
+            ids[i] = [t.id for t in tokenize(spelt)]
+        for a in range(0, len(slow), 20_000):
+            part = slow[a : a + 20_000]
+            e = self.tokenizer.encode([pieces[i].decode() for i in part], is_pretokenized=True, add_special_tokens=False)
+            found, of = e.ids, np.array(e.word_ids, np.int64)
+            cuts = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
+            for i, x, y in zip(part, cuts[:-1], cuts[1:], strict=True):
+                ids[i] = found[x:y]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.array(list(chain.from_iterable(ids)), np.uint32), counts
+
+    def ids(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        raw, at = common.utf8(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+        starts, ends, whole = self._pieces(raw, at)
+        same = raw
+        if self.drops_space:
+            # such a tokenizer doesn't tell ASCII capitals, but for special tokens, and where a capital may be composed
+            # with what follows and then has another lower case
+            same = _LOWER[raw]
+            odd = np.concatenate(([0], np.cumsum((raw >= 0x80) & (self.classes == OTHER), dtype=np.int32)))
+            told = (odd[ends] > odd[starts]) | np.isin(starts, whole)
+            place = spread(starts[told], ends[told] - starts[told])
+            same[place] = raw[place]
+        keys = np.maximum(prefix_hashes(same)(starts, ends), np.uint64(1))
+        entries = self.table.find(keys)
+        unknown = np.flatnonzero(entries < 0)
+        if len(unknown):
+            new, first = np.unique(keys[unknown], return_index=True)
+            body, first = same.tobytes(), unknown[first]
+            self.table.add(new, *self._learn([body[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]))
+            entries[unknown] = self.table.find(keys[unknown])
+        ids, each = self.table.get(entries)
         total = np.concatenate(([0], np.cumsum(each)))
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in cuts], dtype=np.int64)))
-        return ids, total[ends[1:]] - total[ends[:-1]]
+        edges = total[np.searchsorted(starts, at)]
+        return ids, np.diff(edges)
 
 
 @cache
 def encoder(file: str, drops_space: bool) -> Encoder:
-    """One for all tasks of a worker, so that a cut is encoded once."""
+    """One for all tasks of a worker, so that a piece is encoded once."""
     return Encoder(file, drops_space)

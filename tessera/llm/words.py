@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from tessera.llm.common import mixed
@@ -48,11 +50,16 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     if len(raw):
         after[-1] = False
     ends = np.flatnonzero(inside[:-1] & ~after) + 1
+    n = np.diff(np.searchsorted(starts, at))
+    return prefix_hashes(raw)(starts, ends), starts, ends, n
+
+
+def prefix_hashes(raw: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives the hashes of the bytes between given places."""
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_RANDOM[raw] * _powers_of(_BASE, len(raw)), out=total[1:])
-    h = (total[ends] - total[starts]) * _powers_of(_INVERSE, len(raw) + 1)[starts]
-    n = np.diff(np.searchsorted(starts, at))
-    return mixed(h + (ends - starts).astype(np.uint64)), starts, ends, n
+    inverse = _powers_of(_INVERSE, len(raw) + 1)
+    return lambda starts, ends: mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def runs(hashes: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
