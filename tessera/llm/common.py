@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,14 @@ def free_names(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def file_system(uri: str):
+    """pyarrow's file system of a place that all machines reach, and the path in it."""
+    from pyarrow import fs
+
+    uri = re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "/", uri))
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, outlives an executor."""
     spark = df.sparkSession

@@ -107,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         encoder, sequence_id, group_id = tokens.encoder(tokenizer, False), TaskContext.get().partitionId() << 36, TaskContext.get().partitionId() << 36
         for batch in batches:
             for run in common.slices(batch):
-                ids, n = encoder.ids(run.column(1).to_pylist())
+                ids, n = encoder.ids(run.column(1))
                 ids = memoryview(np.insert(ids, np.cumsum(n), END_ID).astype("<u4").tobytes())
                 n = n + 1
                 first = (np.cumsum(n) - n).tolist()

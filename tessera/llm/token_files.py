@@ -2,22 +2,25 @@
 
 A file holds whole documents in ascending doc_id order. Its layout, all little-endian:
 
-    magic "TRA1", crc32 of what follows (u32)
-    documents, symbols, blocks, tokens of a block, lanes (u32 each), tokens (u64)
-    doc_id of every document (i64), whether it is null (u8), its tokens (u64)
-    symbols (u32) and their frequencies (u32), which add up to 2**20: one static table for all blocks
-    directory, the checkpoints: first word of every block (u64), words (u32), crc32 of its token ids (u32)
-    end states of the lanes of every block (u64)
+    magic "TRA2", bytes of the header (u32), crc32 of the header (u32)
+    header:
+      documents, symbols, blocks, tokens of a block, lanes (u32 each), tokens (u64)
+      doc_id of every document (i64), whether it is null (u8), its tokens (u64)
+      symbols (u32) and their frequencies (u32), which add up to 2**20: one static table for all blocks
+      directory, the checkpoints: first word of every block (u64), words (u32), crc32 of its token ids (u32)
+      end states of the lanes of every block (u64)
     words (u32)
 
-Every block is decoded by itself from its checkpoint: 32 interleaved lanes take turns token by token.
+Every block is decoded by itself from its checkpoint: 32 interleaved lanes take turns token by token. A reader needs
+the header and the words of the blocks that it wants, so several tasks read a file at once.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, tokens
 
-MAGIC, BITS, LANES, BLOCK, LOW = b"TRA1", 20, 32, 16_384, np.uint64(1 << 31)
-#: A file is closed after the document that brings it to so many tokens.
-FILE_TOKENS = 2_000_000
+MAGIC, BITS, LANES, BLOCK, LOW = b"TRA2", 20, 32, 16_384, np.uint64(1 << 31)
+#: A file is closed after the document that brings it to so many tokens; a task reads the documents that begin in so
+#: many tokens of it.
+FILE_TOKENS, READ_TOKENS = 2_000_000, 32 * BLOCK
 END_ID = 1
 
 
@@ -76,7 +80,7 @@ def encode(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> b
     words = out.transpose(1, 0, 2)[sent]
     each = sent.sum((1, 2))
     sums = [zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) for b in range(blocks)]
-    body = b"".join([
+    header = b"".join([
         struct.pack("<5IQ", len(doc_ids), len(symbols), blocks, BLOCK, LANES, len(ids)),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
         np.array([d is None for d in doc_ids], "u1").tobytes(),
@@ -87,73 +91,117 @@ def encode(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> b
         each.astype("<u4").tobytes(),
         np.array(sums, "<u4").tobytes(),
         x.astype("<u8").tobytes(),
-        words.astype("<u4").tobytes(),
     ])
-    return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
-
-
-def decode(file: bytes, blocks: range | None = None) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Documents, their numbers of tokens, the ids; with blocks, the ids of those blocks only."""
-    if file[:4] != MAGIC or zlib.crc32(file[8:]) != struct.unpack("<I", file[4:8])[0]:
-        raise ValueError("not a token file, or a damaged one")
-    n_docs, n_symbols, n_blocks, block, lanes, n_tokens = struct.unpack_from("<5IQ", file, 8)
-    at = 8 + 28
-
-    def taken(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        found = np.frombuffer(file, kind, n, at)
-        at += found.nbytes
-        return found
-
-    doc_ids, null, lengths = taken("<i8", n_docs), taken("u1", n_docs), taken("<u8", n_docs).astype(np.int64)
-    symbols, freq = taken("<u4", n_symbols), taken("<u4", n_symbols)
-    first_word, _, sums = taken("<u8", n_blocks), taken("<u4", n_blocks), taken("<u4", n_blocks)
-    x = taken("<u8", n_blocks * lanes).reshape(n_blocks, lanes)
-    words = np.append(np.frombuffer(file, "<u4", -1, at), np.uint32(0)).astype(np.uint64)
-    chosen = blocks if blocks is not None else range(n_blocks)
-    x, pointer = x[chosen.start : chosen.stop].astype(np.uint64), first_word[chosen.start : chosen.stop].astype(np.int64)
-    slots = np.repeat(np.arange(n_symbols), freq)
-    f64, c64 = freq.astype(np.uint64), (np.cumsum(freq, dtype=np.int64) - freq).astype(np.uint64)
-    out = np.zeros((len(chosen), block // lanes, lanes), np.uint32)
-    mask = np.uint64((1 << BITS) - 1)
-    for s in range(block // lanes if len(chosen) else 0):
-        slot = x & mask
-        which = slots[slot.astype(np.int64)]
-        out[:, s] = symbols[which]
-        x = f64[which] * (x >> np.uint64(BITS)) + slot - c64[which]
-        low = x < LOW
-        rank = np.cumsum(low, axis=1)
-        x = np.where(low, (x << np.uint64(32)) | words[np.where(low, pointer[:, None] + rank - 1, -1)], x)
-        pointer = pointer + rank[:, -1]
-    flat = out.reshape(-1)[: n_tokens - chosen.start * block]
-    for i, b in enumerate(chosen):
-        if zlib.crc32(flat[i * block : (i + 1) * block].astype("<u4").tobytes()) != sums[b]:
-            raise ValueError(f"block {b} is damaged")
-    return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], lengths, flat
-
-
-def write(docs: DataFrame, tokenizer: str, folder_name: str = "token-files") -> DataFrame:
-    """Token files of docs(doc_id, text), in ascending doc_id order over the range partitions.
-
-    Rows: part (range partition), number (file within it), tokens, file (binary). Null texts are empty,
-    a null doc_id sorts first; every document ends with id 1. An empty table gives no file.
+    return MAGIC + struct.pack("<II", len(header), zlib.crc32(header)) + header + words.astype("<u4").tobytes()
+
+
+class TokenFile:
+    """A token file behind read_at(bytes, offset), such as that of an open pyarrow file."""
+
+    def __init__(self, read_at: Callable[[int, int], bytes]):
+        self.read_at = read_at
+        head = read_at(12, 0)
+        size, crc = struct.unpack("<II", head[4:]) if len(head) == 12 else (0, 0)
+        header = read_at(size, 12)
+        if head[:4] != MAGIC or zlib.crc32(header) != crc:
+            raise ValueError("not a token file, or a damaged one")
+        n_docs, n_symbols, n_blocks, self.block, self.lanes, self.n_tokens = struct.unpack_from("<5IQ", header)
+        at, self.first_byte = 28, 12 + size
+
+        def taken(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            found = np.frombuffer(header, kind, n, at)
+            at += found.nbytes
+            return found
+
+        doc_ids, null = taken("<i8", n_docs), taken("u1", n_docs)
+        self.doc_ids = pa.array(doc_ids, mask=null.astype(bool))
+        self.lengths = taken("<u8", n_docs).astype(np.int64)
+        self.symbols, self.freq = taken("<u4", n_symbols), taken("<u4", n_symbols)
+        self.words, self.sizes, self.sums = taken("<u8", n_blocks).astype(np.int64), taken("<u4", n_blocks).astype(np.int64), taken("<u4", n_blocks)
+        self.states = taken("<u8", n_blocks * self.lanes).reshape(n_blocks, self.lanes).astype(np.uint64)
+
+    def ids(self, blocks: range | None = None) -> np.ndarray:
+        """The token ids of the given blocks, or of all."""
+        chosen = blocks if blocks is not None else range(len(self.sums))
+        if not len(chosen):
+            return np.zeros(0, np.uint32)
+        first, last = self.words[chosen.start], self.words[chosen.stop - 1] + self.sizes[chosen.stop - 1]
+        raw = self.read_at(int(4 * (last - first)), int(self.first_byte + 4 * first))
+        if len(raw) != 4 * (last - first):
+            raise ValueError("a token file is cut short")
+        words = np.append(np.frombuffer(raw, "<u4"), np.uint32(0)).astype(np.uint64)
+        x, pointer = self.states[chosen.start : chosen.stop], self.words[chosen.start : chosen.stop] - first
+        slots = np.repeat(np.arange(len(self.freq)), self.freq)
+        f64, c64 = self.freq.astype(np.uint64), (np.cumsum(self.freq, dtype=np.int64) - self.freq).astype(np.uint64)
+        steps, mask = self.block // self.lanes, np.uint64((1 << BITS) - 1)
+        out = np.zeros((len(chosen), steps, self.lanes), np.uint32)
+        for s in range(steps):
+            slot = x & mask
+            which = slots[slot.astype(np.int64)]
+            out[:, s] = self.symbols[which]
+            x = f64[which] * (x >> np.uint64(BITS)) + slot - c64[which]
+            low = x < LOW
+            rank = np.cumsum(low, axis=1)
+            x = np.where(low, (x << np.uint64(32)) | words[np.where(low, np.minimum(pointer[:, None] + rank - 1, len(words) - 1), -1)], x)
+            pointer = pointer + rank[:, -1]
+        flat = out.reshape(-1)[: self.n_tokens - chosen.start * self.block]
+        for i, b in enumerate(chosen):
+            if (x[i] != LOW).any() or zlib.crc32(flat[i * self.block : (i + 1) * self.block].astype("<u4").tobytes()) != self.sums[b]:
+                raise ValueError(f"block {b} is damaged")
+        return flat
+
+    def documents(self, begin: int, end: int) -> tuple[slice, np.ndarray, np.ndarray]:
+        """Of the documents whose first token is one of begin to end: which they are, their ids end to end, and the first
+        token of each in the file."""
+        ends = np.cumsum(self.lengths)
+        starts = ends - self.lengths
+        a, b = np.searchsorted(starts, [begin, end])
+        if a == b:
+            return slice(a, b), np.zeros(0, np.uint32), starts[a:b]
+        low = int(starts[a]) // self.block
+        ids = self.ids(range(low, -(-int(ends[b - 1]) // self.block)))
+        return slice(a, b), ids[starts[a] - low * self.block : ends[b - 1] - low * self.block], starts[a:b]
+
+
+def opened(file: bytes) -> TokenFile:
+    return TokenFile(lambda n, at: file[at : at + n])
+
+
+def write(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
+    """Writes docs(doc_id, text) as token files below folder (default: a new one in the shared folder), in ascending
+    order of doc_id over the range partitions; documents of one doc_id come in the order of a hash of their texts.
+
+    Gives a stored row for each file: part (range partition), number (file within it), path, tokens. Null texts are
+    empty, a null doc_id sorts first, repeated rows are documents of their own; every document ends with id 1. A
+    long text is held whole by one task, which closes its file behind it. An empty table gives no file. A task that
+    runs again writes the same files; each appears under its name once it is whole.
     """
-    parts = common.partitions(common.bounded(docs))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    spark = common.bounded(docs)
+    parts = common.partitions(spark)
+    folder = folder or f"{common.shared_folder(spark)}/tessera/token-files-{uuid.uuid4().hex}"
+    order = ["doc_id", "mark", "text"]
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).drop("mark")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        system, root = common.file_system(folder)
+        system.create_dir(root, recursive=True)
         part, number, encoder = TaskContext.get().partitionId(), 0, tokens.encoder(tokenizer, True)
         doc_ids, lengths, ids, size = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            made = encode(doc_ids, np.concatenate(lengths), np.concatenate(ids))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "tokens": pa.array([size], pa.int64()), "file": pa.array([made], pa.binary())})
+            path = f"{root}/part-{part:05}-{number:05}.tra"
+            draft = f"{path}.{uuid.uuid4().hex}"
+            with system.open_output_stream(draft) as out:
+                out.write(encode(doc_ids, np.concatenate(lengths), np.concatenate(ids)))
+            system.move(draft, path)
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "path": pa.array([f"{folder}/{path.rpartition('/')[2]}"]), "tokens": pa.array([size], pa.int64())})
 
         for batch in batches:
             for run in common.slices(batch):
-                found, n = encoder.ids(run.column(1).to_pylist())
+                found, n = encoder.ids(run.column(1))
                 lengths.append(n + 1)
                 ids.append(np.insert(found, np.cumsum(n), END_ID).astype(np.uint32))
                 doc_ids += run.column(0).to_pylist()
@@ -164,23 +212,27 @@ def write(docs: DataFrame, tokenizer: str, folder_name: str = "token-files") ->
         if doc_ids:
             yield closed()
 
-    made = ordered.mapInArrow(files, "part int, number int, tokens long, file binary")
-    return common.stored(made, folder_name, "none")
+    return common.stored(ordered.mapInArrow(files, "part int, number int, path string, tokens long"), "token-files")
 
 
 def read(files: DataFrame) -> DataFrame:
-    """The documents of token files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """The documents of token files(part, number, path, tokens): doc_id, start (ids of all documents before it),
+    n_tokens, ids_crc32. No files, no rows. A file is read by a task for every READ_TOKENS of it, from the checkpoints."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, file in zip(*(batch.column(i) for i in range(3)), strict=True):
-                doc_ids, lengths, ids = decode(file.as_buffer())
-                ends = np.cumsum(lengths)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                sums = [zlib.crc32(raw[4 * int(e - n) : 4 * int(e)]) for e, n in zip(ends, lengths, strict=True)]
+            for part, number, path, chunk in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                system, place = common.file_system(path)
+                with system.open_input_file(place) as source:
+                    file = TokenFile(lambda n, at, source=source: source.read_at(n, at))
+                    which, ids, starts = file.documents(chunk * READ_TOKENS, (chunk + 1) * READ_TOKENS)
+                lengths = file.lengths[which]
+                raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(lengths)
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+                m = len(lengths)
                 yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([part.as_py()] * len(doc_ids), pa.int32()), "number": pa.array([number.as_py()] * len(doc_ids), pa.int32()), "doc_id": pa.array(doc_ids, pa.int64()),
-                    "before": pa.array(ends - lengths), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(sums, pa.int64()),
+                    "part": pa.repeat(pa.scalar(part, pa.int32()), m), "number": pa.repeat(pa.scalar(number, pa.int32()), m), "doc_id": file.doc_ids[which],
+                    "before": pa.array(starts), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(sums, pa.int64()),
                 })
 
     # One row a range partition comes to the driver: as many as shuffle partitions, however large the input.
@@ -196,9 +248,11 @@ def read(files: DataFrame) -> DataFrame:
         .join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
         .select("part", "number", (F.col("base") + F.coalesce(F.sum("tokens").over(in_part), F.lit(0))).alias("first"))
     )
-    back = files.select("part", "number", "file").mapInArrow(documents, "part int, number int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    chunks = files.select("part", "number", "path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / READ_TOKENS))).alias("chunk"))
+    back = chunks.repartition(common.partitions(spark), "path", "chunk").mapInArrow(documents, "part int, number int, doc_id long, before long, n_tokens long, ids_crc32 long")
     return back.join(starts, ["part", "number"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The rows of op10: docs written by write() and read back by read(), a row for every row of docs."""
     return read(write(docs, tokenizer))

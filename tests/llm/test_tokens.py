@@ -106,14 +106,30 @@ def test_rans_round_trip(n, kinds):
     rng = np.random.default_rng(n)
     ids = (rng.zipf(1.3, n) % kinds).astype(np.uint32) if n else np.zeros(0, np.uint32)
     file = token_files.encode([4, None], np.array([n // 3, n - n // 3]), ids)
-    docs, lengths, back = token_files.decode(file)
-    assert docs == [4, None] and lengths.tolist() == [n // 3, n - n // 3] and (back == ids).all()
+    back = token_files.opened(file)
+    assert back.doc_ids.to_pylist() == [4, None] and back.lengths.tolist() == [n // 3, n - n // 3] and (back.ids() == ids).all()
     if n > token_files.BLOCK:
-        assert (token_files.decode(file, range(1, 2))[2] == ids[token_files.BLOCK : 2 * token_files.BLOCK]).all()
-    damaged = bytearray(file)
-    damaged[-1] ^= 1
-    with pytest.raises(ValueError):
-        token_files.decode(bytes(damaged))
+        assert (back.ids(range(1, 2)) == ids[token_files.BLOCK : 2 * token_files.BLOCK]).all()
+    for at in (-1, 20) if n else (20,):
+        damaged = bytearray(file)
+        damaged[at] ^= 1
+        with pytest.raises(ValueError):
+            token_files.opened(bytes(damaged)).ids()
+
+
+def test_documents_of_a_file_are_read_from_its_checkpoints():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 9_000, 60)
+    lengths[7] = 70_000
+    ids = (rng.zipf(1.5, lengths.sum()) % 500).astype(np.uint32)
+    file, at = token_files.opened(token_files.encode(list(range(60)), lengths, ids)), 0
+    for first in range(0, len(ids), 50_000):
+        which, found, starts = file.documents(first, first + 50_000)
+        assert which.start == at and (starts == (np.cumsum(lengths) - lengths)[which]).all()
+        if which.stop > at:
+            assert (found == ids[starts[0] : starts[-1] + lengths[which.stop - 1]]).all()
+        at = which.stop
+    assert at == 60
 
 
 def expected_files(texts):
@@ -128,9 +144,14 @@ def expected_files(texts):
 def test_token_files(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op10_token_files(spark, sf_dir).collect())) == expected_files(docs)
-    odd = [x for x in ODD_DOCS if x != (3, "again")]
-    got = token_files.token_files(table(spark, odd), tokens.path("word_bpe_49k.json")).collect()
-    assert sorted(map(tuple, got), key=lambda r: r[1]) == expected_files(odd)
+    got = sorted(map(tuple, token_files.token_files(table(spark, ODD_DOCS), tokens.path("word_bpe_49k.json")).collect()), key=lambda r: r[1])
+    assert got in [expected_files(x) for x in (ODD_DOCS, ODD_DOCS[::-1])]  # two documents have one doc_id
+    files = token_files.write(table(spark, [*ODD_DOCS, (50, "many words " * 400_000)]), tokens.path("word_bpe_49k.json"))
+    for f in files.collect():  # files that anything can open
+        file = token_files.opened(open(f.path.removeprefix("file:"), "rb").read())
+        assert len(file.ids()) == f.tokens == file.lengths.sum()
+    back = {r.doc_id: r for r in token_files.read(files).collect()}
+    assert back[50].n_tokens == 800_001 and len(back) == len({d for d, _ in ODD_DOCS}) + 1
     repeated = token_files.token_files(table(spark, [(2, "x y"), (2, "x y"), (1, "z")]), tokens.path("word_bpe_49k.json"))
     assert sorted(r.start for r in repeated.collect()) == [0, 2, 5]
     assert token_files.token_files(table(spark, []), tokens.path("word_bpe_49k.json")).count() == 0
