@@ -3,13 +3,15 @@
 A payload is stored as a WAV file (unsigned 8-bit samples at 24 kHz). Features: polyphase resampling to
 16 kHz (two phases of a windowed sinc), log-mel energies of overlapped 25 ms frames every 10 ms, and
 segments by hysteresis on frame energy. Each segment has its time span and a tensor of fixed shape
-(TENSOR: equal parts of the span x mel bands), which tensors() gives as an Arrow fixed-shape tensor.
+(TENSOR: equal parts of the span x mel bands). Spans and tensors are stored in Arrow files, one for each task, with
+tensors as Arrow's fixed-shape tensor type, and what comes out of them is read from there.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -17,7 +19,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm import common
 
@@ -27,8 +28,8 @@ OUT_RATE = RATE * UP // DOWN
 FRAME, HOP, FFT, BANDS = 400, 160, 512, 40
 TAPS = 12
 TENSOR = (8, BANDS)
-#: Decibels above the mean frame energy at which a segment begins, and below it at which it ends.
-BEGIN_DB, END_DB = 0.05, -0.05
+#: Decibels above the quiet tenth of the frames at which a segment begins, and below which it ends.
+BEGIN_DB, END_DB = 6.0, 3.0
 #: Frames worked on at once.
 BLOCK = 8_192
 
@@ -112,11 +113,11 @@ def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(energy: np.ndarray, begin: float = BEGIN_DB, end: float = END_DB) -> list[tuple[int, int]]:
-    """Spans of frames: one begins when the energy rises to mean + begin, and ends when it falls below mean + end.
+    """Spans of frames: one begins when the energy rises to the floor + begin, and ends when it falls below the floor + end.
 
-    Sound without a rise (such as a constant one) is a single span.
+    The floor is the energy that a tenth of the frames don't reach. Sound without a rise is a single span.
     """
-    level = energy - energy.mean()
+    level = energy - np.partition(energy, len(energy) // 10)[len(energy) // 10]
     mark = np.where(level >= begin, 1, np.where(level < end, 0, -1))
     known = np.flatnonzero(mark >= 0)
     if not len(known) or not (mark == 1).any():
@@ -150,44 +151,96 @@ def store(docs: DataFrame) -> DataFrame:
     return common.stored(docs.select("doc_id", "text").mapInArrow(media, "doc_id long, n_bytes long, media binary"), "media")
 
 
-SPAN = "start_s double, end_s double, tensor array<float>"
+#: A tensor in Arrow files: half precision, as log-mel energies have few digits that count.
+TENSOR_TYPE = pa.fixed_shape_tensor(pa.float16(), TENSOR)
+SPANS = pa.schema([("document", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", TENSOR_TYPE)])
+DIGESTS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+_DDL = {pa.int64(): "long", pa.string(): "string"}
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Of media(doc_id, n_bytes, media): digests of what is stored, the mean log-mel energies, the segments."""
-    span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", pa.list_(pa.float32()))])
+def features(media: DataFrame, folder: str | None = None) -> DataFrame:
+    """Stores the spans and tensors of media(doc_id, n_bytes, media) in Arrow files below folder (default: a new one in the
+    shared folder). Gives a stored row for each record batch of them: path, batch, and arrays of what its documents' stored
+    bytes are (DIGESTS). Null media are an empty payload's; repeated rows are documents of their own; a long sound is
+    worked on in blocks of frames. An empty table gives no rows."""
+    spark = media.sparkSession
+    folder = folder or f"{common.shared_folder(spark)}/tessera/tensors-{uuid.uuid4().hex}"
+
+    def described(x) -> tuple[tuple, list[tuple[int, int]], np.ndarray]:
+        file = x.as_py() if x.is_valid else wav(payload(b""))
+        samples = samples_of(file)
+        mels, energy = log_mel(resampled((samples.astype(np.float32) - 128) / 128))
+        spans = segments(energy)
+        return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(file), hashlib.sha256(file).hexdigest()), spans, pooled(mels, spans)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, root = common.file_system(folder)
+        system.create_dir(root, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05}.arrow"
+        draft, n = f"{root}/{name}.{uuid.uuid4().hex}", 0
+        with system.open_output_stream(draft) as out, pa.ipc.new_file(out, SPANS) as writer:
+            for batch in batches:
+                for run in common.slices(batch, "media"):
+                    rows = [described(x) for x in run.column(2)]
+                    spans = [(i, a * HOP / OUT_RATE, ((b - 1) * HOP + FRAME) / OUT_RATE) for i, (_, s, _) in enumerate(rows) for a, b in s]
+                    values = pa.array(np.concatenate([t for *_, t in rows]).astype(np.float16).ravel())
+                    tensors = pa.ExtensionArray.from_storage(TENSOR_TYPE, pa.FixedSizeListArray.from_arrays(values, TENSOR[0] * TENSOR[1]))
+                    document, start, end = zip(*spans, strict=True)
+                    writer.write_batch(pa.RecordBatch.from_arrays([pa.array(document, pa.int32()), pa.array(start), pa.array(end), tensors], schema=SPANS))
+                    columns = [run.column(0).to_pylist(), run.column(1).to_pylist(), *zip(*(d for d, *_ in rows), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int32()), *(pa.array([list(v)], pa.list_(t)) for v, t in zip(columns, DIGESTS.values(), strict=True))], names=["path", "batch", *DIGESTS])
+                    n += 1
+        system.move(draft, f"{root}/{name}")
+
+    ddl = ", ".join(f"{k} array<{_DDL[t]}>" for k, t in DIGESTS.items())
+    return common.stored(media.select("doc_id", "n_bytes", "media").mapInArrow(found, f"path string, batch int, {ddl}"), "tensors")
+
+
+def _batch(path: str, k: int) -> pa.RecordBatch:
+    system, place = common.file_system(path)
+    with system.open_input_file(place) as source:
+        return pa.ipc.open_file(source).get_batch(k)
+
+
+def spans(stored: DataFrame) -> DataFrame:
+    """Of the rows of features(): doc_id, start_s, end_s and tensor (TENSOR, row by row) of every span."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in common.slices(batch, "media"):
-                rows: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "mean_log_mel", "segments")}
-                for x in run.column(2):
-                    file = x.as_py() if x.is_valid else wav(payload(b""))
-                    samples = samples_of(file)
-                    mels, energy = log_mel(resampled((samples.astype(np.float32) - 128) / 128))
-                    spans = segments(energy)
-                    for k, v in zip(rows, (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(file), hashlib.sha256(file).hexdigest(), mels.mean(axis=0, dtype=np.float64).astype(np.float32)), strict=False):
-                        rows[k].append(v)
-                    rows["segments"].append([{"start_s": a * HOP / OUT_RATE, "end_s": ((b - 1) * HOP + FRAME) / OUT_RATE, "tensor": t.ravel()} for (a, b), t in zip(spans, pooled(mels, spans), strict=True)])
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float32()), pa.list_(span))
-                yield pa.RecordBatch.from_arrays([run.column(0), run.column(1), *(pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True))], names=["doc_id", "n_bytes", *rows])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(found, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mean_log_mel array<float>, segments array<struct<{SPAN}>>")
+            for path, k, ids in zip(*(batch.column(i) for i in range(3)), strict=True):
+                b = _batch(path.as_py(), k.as_py())
+                values = b.column(3).to_numpy_ndarray().reshape(b.num_rows, -1).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([ids.values.take(b.column(0)), b.column(1), b.column(2), pa.array(list(values), pa.list_(pa.float32()))], names=["doc_id", "start_s", "end_s", "tensor"])
 
+    return stored.select("path", "batch", "doc_id").mapInArrow(read, "doc_id long, start_s double, end_s double, tensor array<float>")
 
-def tensors(column: pa.Array) -> pa.FixedShapeTensorArray:
-    """The tensors of a column of segments, one for each span, as Arrow's fixed-shape tensor type."""
-    flat = pc_list(column)
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(flat.reshape(-1, *TENSOR)))
 
+def digests(stored: DataFrame) -> DataFrame:
+    """Of the rows of features() a row for each document: DIGESTS, feature, n_segments, last_end_s. feature is the mean of
+    the stored tensors, weighed by the lengths of their spans, in hundredths for every band, and the number of spans."""
 
-def pc_list(column: pa.Array) -> np.ndarray:
-    values = column.flatten().field("tensor").flatten()
-    return np.asarray(values, np.float32)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = _batch(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                columns = [batch.column(c)[i].values for c in range(2, 2 + len(DIGESTS))]
+                m, of = len(columns[0]), np.asarray(b.column(0))
+                seconds = np.asarray(b.column(2)) - np.asarray(b.column(1))
+                means = np.zeros((m, BANDS))
+                np.add.at(means, of, b.column(3).to_numpy_ndarray().mean(axis=1, dtype=np.float64) * seconds[:, None])
+                n, last = np.bincount(of, minlength=m), np.zeros(m)
+                np.maximum.at(last, of, np.asarray(b.column(2)))
+                hundredths = np.rint(means / np.bincount(of, weights=seconds, minlength=m)[:, None] * 100).astype(int)
+                feature = [",".join(map(str, x)) + f"|{k}" for x, k in zip(hundredths.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(feature), pa.array(n, pa.int32()), pa.array(last)], names=[*DIGESTS, "feature", "n_segments", "last_end_s"])
+
+    ddl = ", ".join(f"{k} {_DDL[t]}" for k, t in DIGESTS.items())
+    return stored.mapInArrow(read, f"{ddl}, feature string, n_segments int, last_end_s double")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """The rows of op5: features() with the feature string, the mean energies in hundredths and the number of spans."""
-    f = features(store(docs))
-    feature = F.concat(F.array_join(F.transform("mean_log_mel", lambda x: F.round(x * 100).cast("int").cast("string")), ","), F.lit("|"), F.size("segments").cast("string"))
-    return f.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.size("segments").alias("n_segments"), F.element_at("segments", -1)["end_s"].alias("last_end_s"))
+    """The rows of op5: sounds and features of docs(doc_id, text), stored and read back. Null texts are empty; a row for
+    every row of docs, equal for equal texts; other columns aren't read."""
+    return digests(features(store(docs)))

@@ -205,20 +205,60 @@ def test_resampling_keeps_a_tone_and_segments_find_a_burst():
     assert audio.pooled(mels, [(0, 99), (3, 4)]).shape == (2, *audio.TENSOR)
 
 
-def test_tensors_are_arrow_tensors(spark):
-    found = audio.features(audio.store(table(spark, [(1, "hello " * 300)]))).toArrow()
-    column = found["segments"].combine_chunks()
-    made = audio.tensors(column)
-    assert isinstance(made, pa.FixedShapeTensorArray) and made.type.shape == list(audio.TENSOR)
+def test_features_equal_a_direct_computation():
+    """Resampling by the definition (zeros between samples, a windowed sinc, every third), frames by a plain Fourier sum."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(1_501).astype(np.float32)
+    y = audio.resampled(x)
+    for k in [0, 1, 2, 7, 500, 501, 999]:
+        centre = k * 1.5
+        taps = np.arange(int(np.floor(centre)) - 5, int(np.floor(centre)) + 7)
+        t = taps - centre
+        h = np.sinc(t * 2 / 3) * (0.5 + 0.5 * np.cos(np.pi * t / 6))
+        assert abs(sum(w / h.sum() * x[i] for w, i in zip(h, taps) if 0 <= i < len(x)) - y[k]) < 1e-4
+    mels, energy = audio.log_mel(y)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = np.linspace(mel(20), mel(8000), 42)
+    for frame in (0, 2, len(mels) - 1):
+        part = np.zeros(400)
+        piece = y[frame * 160 : frame * 160 + 400]
+        part[: len(piece)] = piece
+        part *= np.hanning(400)
+        assert abs(10 * np.log10((part**2).mean() + 1e-9) - energy[frame]) < 1e-3
+        f = np.arange(257) * 16_000 / 512
+        power = np.abs(np.exp(-2j * np.pi * np.outer(np.arange(257), np.arange(400)) / 512) @ part) ** 2
+        hertz = 700 * (10 ** (edges / 2595) - 1)
+        for band in (0, 13, 39):
+            low, mid, high = hertz[band : band + 3]
+            w = np.clip(np.minimum((f - low) / (mid - low), (high - f) / (high - mid)), 0, None)
+            assert abs(np.log10(power @ w + 1e-6) - mels[frame, band]) < 1e-3
+
+
+def test_spans_are_stored_as_arrow_tensors(spark):
+    t = np.arange(24_000) / 24_000
+    sound = np.where((t > 0.3) & (t < 0.5), np.sin(2 * np.pi * 800 * t), 0.003 * np.sin(2 * np.pi * 50 * t))
+    file = audio.wav((128 + np.round(sound * 100)).astype(np.uint8).tobytes())
+    stored = audio.features(spark.createDataFrame([(7, 24_000, bytearray(file)), (8, 0, None), (8, 0, None)], "doc_id long, n_bytes long, media binary"))
+    spans = stored and sorted(map(tuple, audio.spans(stored).collect()))
+    assert [s[0] for s in spans] == [7, 8, 8] and abs(spans[0][1] - 0.29) < 0.03 and abs(spans[0][2] - 0.51) < 0.03 and len(spans[0][3]) == 320
+    for r in stored.collect():
+        with pa.ipc.open_file(r.path.removeprefix("file:")) as f:
+            column = f.get_batch(r.batch).column("tensor")
+            assert isinstance(column, pa.FixedShapeTensorArray) and column.type.shape == list(audio.TENSOR)
+    mels, _ = audio.log_mel(audio.resampled((audio.samples_of(file).astype(np.float32) - 128) / 128))
+    frames = [(round(spans[0][1] * 100), round((spans[0][2] - 0.025) * 100) + 1)]
+    assert np.allclose(np.array(spans[0][3]).reshape(audio.TENSOR), audio.pooled(mels, frames)[0], atol=5e-3)
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_segments_cover_what_rises(seed):
+def test_segments_equal_a_walk_frame_by_frame(seed):
     rng = random.Random(seed)
-    e = np.array([rng.gauss(0, 1) for _ in range(300)])
-    spans = audio.segments(e)
-    inside = np.zeros(300, bool)
-    for a, b in spans:
-        inside[a:b] = True
-    level = e - e.mean()
-    assert inside[level >= audio.BEGIN_DB].all() and not inside[level < audio.END_DB].any()
+    e = np.array([rng.gauss(0, 5) for _ in range(300)])
+    floor, on, expected = sorted(e)[30], False, []
+    for i, x in enumerate(e):
+        if not on and x - floor >= audio.BEGIN_DB:
+            on, first = True, i
+        elif on and x - floor < audio.END_DB:
+            on = False
+            expected.append((first, i))
+    assert audio.segments(e) == expected + [(first, 300)] * on
