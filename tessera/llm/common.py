@@ -93,6 +93,23 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows of one key that a join deals to one task at most, about.
+KEY_ROWS = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int = KEY_ROWS) -> DataFrame:
+    """The inner join on key, with the left rows of a frequent key dealt by a hash of column `by` to as many tasks as they
+    need, and the right rows of that key sent to each of them."""
+    shares, share = free_names([*left.columns, *right.columns], "shares", "share")
+    counts = stored(left.groupBy(key).agg(F.count("*").alias(shares)).where(F.col(shares) > rows).select(key, F.ceil(F.col(shares) / rows).alias(shares)), "frequent")
+    if counts.isEmpty():
+        return left.join(right, key)
+    n = F.coalesce(shares, F.lit(1))
+    dealt = left.join(small(counts), key, "left").withColumn(share, F.pmod(F.xxhash64(by), n)).drop(shares)
+    copies = right.join(small(counts), key, "left").withColumn(share, F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop(shares)
+    return dealt.join(copies, [key, share]).drop(share)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `chars` bytes of text; one longer text is a run of its own."""
     if not batch.num_rows:

@@ -109,15 +109,16 @@ c AS (
     CASE WHEN d.depth > 0 THEN 'call_' || u.conv_id || '_' || (u.turn - 2) END AS after
   FROM u JOIN d USING (conv_id, turn)
 ),
+o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY depth, 'call_' || conv_id || '_' || turn) AS position FROM c),
 j AS (SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.turn, a.turn) AS turn, c.* EXCLUDE (conv_id, turn), a.content, a.n AS n_results FROM c FULL JOIN a USING (conv_id, turn))
 SELECT 'call_' || conv_id || '_' || turn AS call_id, CASE WHEN n IS NULL THEN NULL WHEN after IS NULL THEN 'open' ELSE 'follow_up' END AS name, after,
   CASE WHEN n IS NOT NULL AND n_results IS NOT NULL THEN 'linked' WHEN n IS NOT NULL THEN 'no result' ELSE 'no call' END AS state,
   CASE WHEN n IS NULL THEN NULL WHEN length(text) < 1 OR length(text) > 4000 THEN 'range text' WHEN after IS NULL AND turn > 1 THEN 'range turn' WHEN words < 1 OR words > 120 THEN 'range words' END AS problem,
-  depth, CAST(coalesce(n, 0) AS BIGINT) AS n_calls, CAST(coalesce(n_results, 0) AS BIGINT) AS n_results,
-  CASE WHEN n IS NOT NULL THEN '{' || CASE WHEN after IS NULL THEN '' ELSE '"after":"' || after || '",' END || '"arguments":{' || CASE WHEN after IS NULL THEN '' ELSE '"after":"' || after || '",' END
+  depth, position, CAST(coalesce(n, 0) AS BIGINT) AS n_calls, CAST(coalesce(n_results, 0) AS BIGINT) AS n_results,
+  CASE WHEN n IS NOT NULL THEN '{' || CASE WHEN after IS NULL THEN '' ELSE '"after":["' || after || '"],' END || '"arguments":{' || CASE WHEN after IS NULL THEN '' ELSE '"after":"' || after || '",' END
     || '"text":' || to_json(text) || ',"turn":' || turn || ',"words":' || words || '},"call_id":"call_' || conv_id || '_' || turn || '","name":"' || CASE WHEN after IS NULL THEN 'open' ELSE 'follow_up' END || '"'
     || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END || '}' END AS message
-FROM j
+FROM j LEFT JOIN o USING (conv_id, turn)
 """
 
 OP1_SQL = r"""

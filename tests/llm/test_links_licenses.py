@@ -1,11 +1,12 @@
 """Tool calls and licences against SQL, and odd inputs."""
 
 import json
+import random
 
 import duckdb
 import pytest
 
-from tessera.llm import licenses, queries, toolcalls
+from tessera.llm import common, licenses, queries, toolcalls
 
 
 @pytest.mark.parametrize("name,table", [("op6_tool_calls", "conversations"), ("op8_licenses", "documents")])
@@ -31,21 +32,53 @@ def test_validation_and_canonical_json(spark):
         ("f", '{"n": 3}', None), ("f", '{"n": 0}', "range n"), ("f", '{"n": "3"}', "type n"), ("f", "{}", "missing n"), ("f", '{"n": null}', "missing n"), ("f", '{"n":1,"s":"abcd"}', "range s"),
         ("f", '{"n":1,"z":1,"y":2}', "unexpected y"), ("f", '{"n":1,"b":true,"x":1.5}', None), ("f", '{"n":1,"b":"true"}', "type b"), ("f", "{oops", "JSON"), ("f", "[1]", "JSON"), ("f", None, "JSON"), ("g", "{}", "tool"), (None, "{}", "tool"), ("f", '{"n":1,"x":2}', None),
     ]
-    calls = spark.createDataFrame([(f"c{i}", n, a, None) for i, (n, a, _) in enumerate(cases)], "call_id string, name string, arguments string, after string")
+    calls = spark.createDataFrame([(f"c{i}", "k", n, a, ["c1"] if i == 4 else None) for i, (n, a, _) in enumerate(cases)], "call_id string, conversation string, name string, arguments string, after array<string>")
     results = spark.createDataFrame([("c0", "done"), ("c0", "again"), ("c99", "lost"), (None, "x"), ("c1", None)], "call_id string, content string")
     got = {r.call_id: r for r in toolcalls.link(calls, results, SCHEMAS).collect()}
     assert [got[f"c{i}"].problem for i in range(len(cases))] == [p for _, _, p in cases]
     assert got["c99"].state == "no call" and got["c1"].state == "linked" and got["c2"].state == "no result" and len(got) == len(cases) + 1
     assert got["c0"].message == '{"arguments":{"n":3},"call_id":"c0","name":"f","result":"again"}' and got["c0"].n_results == 2
+    assert [i for i, _ in sorted(enumerate(cases), key=lambda c: got[f"c{c[0]}"].position)] == [*sorted((i for i in range(len(cases)) if i != 4), key=lambda i: f"c{i}"), 4]
+    assert '"after":["c1"]' in got["c4"].message and got["c99"].position is None
     row = spark.createDataFrame([('{"b": {"z": 1, "a": [1, {"d": 2, "c": "é\\n"}]}, "a": null}',)], "j string").select(toolcalls.canonical("j").alias("j")).first().j
     assert row == json.dumps(json.loads('{"b": {"z": 1, "a": [1, {"d": 2, "c": "é\\n"}]}, "a": null}'), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def walked(after):
+    """Depths by looking at every call again until nothing changes."""
+    depth, known = {}, {c: {a for a in x or () if a in after} for c, x in after.items()}
+    while True:
+        new = {c: 1 + max((depth[a] for a in x), default=-1) for c, x in known.items() if c not in depth and x <= set(depth)}
+        if not new:
+            return {c: depth.get(c) for c in after}
+        depth |= new
+
+
 def test_depths(spark):
-    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(100)]
-    odd = [("x", "y"), ("y", "x"), ("z", "x"), ("self", "self"), ("lost", "nobody"), ("tree1", "n5"), ("tree2", "n5")]
-    got = {r.call_id: r.depth for r in toolcalls.depths(spark.createDataFrame(chain + odd, "call_id string, after string")).collect()}
-    assert got == {f"n{i}": i for i in range(100)} | {"x": None, "y": None, "z": None, "self": None, "lost": 0, "tree1": 6, "tree2": 6}
+    rng = random.Random(4)
+    after = {f"n{i}": [f"n{i - 1}"] if i else None for i in range(100)}
+    after |= {"x": ["y"], "y": ["x"], "z": ["x"], "self": ["self"], "lost": ["nobody", None], "tree1": ["n5"], "tree2": ["n5", "n5"], "half": ["x", "n3"], "wide": ["n7", "n90", "tree1", "nobody"], "on": ["wide"], "both": ["on", "n99", "wide"], "far": ["both"]}
+    after |= {f"r{i}": [f"r{rng.randrange(i)}" for _ in range(rng.randint(0, 3))] if i else [] for i in range(60)}
+    after |= {f"star{i}": ["n0"] for i in range(300)}
+    calls = spark.createDataFrame(list(after.items()), "call_id string, after array<string>")
+    assert {r.call_id: r.depth for r in toolcalls.depths(calls).collect()} == walked(after)
+    assert toolcalls.depths(calls.limit(0)).count() == 0
+
+
+def test_positions_are_a_topological_order_of_each_conversation(spark):
+    rows = [(f"c{i}", i % 3 if i < 900 else 7, i * 37 % 11) for i in range(1500)] + [("none", 1, None), ("nowhere", None, 0)]
+    got = {r.call_id: r.position for r in toolcalls.positions(spark.createDataFrame(rows, "call_id string, conversation long, depth long")).collect()}
+    for k in (0, 1, 2, 7, None):
+        order = sorted((d, c) for c, x, d in rows if x == k and d is not None)
+        assert [got[c] for _, c in order] == list(range(1, len(order) + 1))
+    assert "none" not in got
+
+
+def test_a_join_deals_frequent_keys_out(spark):
+    left = spark.createDataFrame([(i, 1 if i < 500 else i % 7) for i in range(600)] + [(9, None)], "x long, k long")
+    right = spark.createDataFrame([(k, f"v{k}", j) for k in range(5) for j in range(2)] + [(None, "no", 0)], "k long, share string, shares long")
+    got = sorted(map(tuple, common.spread_join(left, right, "k", "x", 50).select("k", "x", "share", "shares").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "x", "share", "shares").collect())) and len(got) > 1000
 
 
 def test_odd_conversations(spark):
