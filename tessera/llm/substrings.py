@@ -84,16 +84,16 @@ def _several(key: np.ndarray, of: np.ndarray, repeated: bool) -> tuple[np.ndarra
 
 
 def anchored(docs: DataFrame, size: int) -> DataFrame:
-    """Stored rows of two kinds: for every document (key null) at, doc_id, one, two, n_words and the digest of its
-    words; for every key that comes several times, key and one of a document that has it."""
+    """Stored rows of two kinds: for every document (key null) doc_id, one, two, n_words, the digest of its words and
+    xxhash64 of its text (mark); for every key that comes several times, key and one of a document that has it."""
     parts = common.partitions(common.bounded(docs))
     buckets = min(60_000, 2 * parts)
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("mark", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         n = len(rows)
         bucket, kind, a, b = zip(*rows, strict=True)
-        none = [pa.nulls(n, t) for t in schema.types[2:7]]
+        none = [pa.nulls(n, t) for t in schema.types[2:8]]
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), *none, pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,9 @@ def anchored(docs: DataFrame, size: int) -> DataFrame:
                 body = raw.tobytes()
                 sha = [hashlib.sha256(b" ".join(body[a:b].split())).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 m = run.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array((one % buckets).astype(np.int32)), pa.array(np.zeros(m, np.int32)), run.column(0), pa.array(one), pa.array(two), pa.array(n.astype(np.int64)), pa.array(sha), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
+                # documents only pass through: those with the same words are dealt out as well
+                dealt = (mixed(one.view(np.uint64) + np.arange(m, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(np.zeros(m, np.int32)), run.column(0), pa.array(one), pa.array(two), pa.array(n.astype(np.int64)), pa.array(sha), run.column(2), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
                 _, key, place, of = windows(hashes, n, size)
                 first = np.zeros(m, bool)
                 first[np.unique(one, return_index=True)[1]] = True  # equal texts of a run send their keys once
@@ -133,10 +135,10 @@ def anchored(docs: DataFrame, size: int) -> DataFrame:
             yield flush()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "one", "two", "n_words", "sha"]
+        names = ["key", "doc_id", "one", "two", "n_words", "sha", "mark"]
 
         def members(key: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
-            none = [pa.nulls(len(key), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())]
+            none = [pa.nulls(len(key), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(key), none[0], pa.array(of), *none[1:]], names=names)
 
         entries = []
@@ -144,9 +146,9 @@ def anchored(docs: DataFrame, size: int) -> DataFrame:
             kind = np.asarray(batch.column(1))
             docs_ = batch.filter(pa.array(kind == 0))
             if docs_.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(docs_.num_rows, pa.int64()), *(docs_.column(i) for i in range(2, 7))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(docs_.num_rows, pa.int64()), *(docs_.column(i) for i in range(2, 8))], names=names)
             for i in np.flatnonzero(kind > 0).tolist():
-                key, of = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (7, 8))
+                key, of = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (8, 9))
                 if kind[i] == 1:
                     yield members(key, of)
                 else:
@@ -155,9 +157,9 @@ def anchored(docs: DataFrame, size: int) -> DataFrame:
             key, of, several = _several(np.concatenate([k for k, _ in entries]), np.concatenate([d for _, d in entries]), False)
             yield members(key[several], of[several])
 
-    ddl = "bucket int, kind int, doc_id long, one long, two long, n_words long, sha string, a binary, b binary"
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sent, ddl).repartition(parts, "bucket")
-    return common.stored(out.mapInArrow(met, "key long, doc_id long, one long, two long, n_words long, sha string"), "anchors")
+    ddl = "bucket int, kind int, doc_id long, one long, two long, n_words long, sha string, mark long, a binary, b binary"
+    out = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(sent, ddl).repartition(parts, "bucket")
+    return common.stored(out.mapInArrow(met, "key long, doc_id long, one long, two long, n_words long, sha string, mark long"), "anchors")
 
 
 def repeated_windows(texts: DataFrame, size: int) -> DataFrame:
@@ -266,7 +268,7 @@ def repeated_windows(texts: DataFrame, size: int) -> DataFrame:
         text = np.zeros(int((sizes + 1).sum()), np.uint64)  # a 0 ends every segment
         text[common.spread(begin, sizes)] = body[common.spread(first_word[segments], sizes)]
         index = FMIndex(text, size)
-        where, origin = index.first_occurrences(begin, sizes)
+        where, origin = index.repeats(text, begin, sizes)
         of, first = (np.searchsorted(begin, x, side="right") - 1 for x in (where, origin))
         a, b = segments[of], segments[first]
         s, t = start[a] + where - begin[of], start[b] + origin - begin[first]
@@ -320,10 +322,11 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> tuple[DataFrame, DataFram
     """docs(doc_id, text) to two tables: rows and kept.
 
     rows: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), state ("whole", "cut"
-    or "gone": all words removed), at and one (which name a text in kept). A row for every row of docs.
+    or "gone": all words removed), mark (xxhash64 of the text), at and one (which name a text in kept). A row for every
+    row of docs.
     kept: at, one, kept: the kept words of the documents in state "cut".
     Null texts have no words. Rows of one doc_id are one document: equal places in them aren't earlier. A null
-    doc_id comes after all others.
+    doc_id comes after all others. Long texts are taken whole; an empty table gives no rows; other columns aren't read.
     """
     found = anchored(docs, size)
     rows = found.where("key is null").drop("key").withColumn("at", F.coalesce("doc_id", F.lit(LAST)))
@@ -345,7 +348,7 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> tuple[DataFrame, DataFram
     return (
         out.select(
             "doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(gone, F.lit(NOTHING)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), state.alias("state"), "at", "one",
+            F.when(gone, F.lit(NOTHING)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), state.alias("state"), "mark", "at", "one",
         ),
         kept.select("at", "one", "kept"),
     )

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import queries, substrings
-from tessera.llm.fm_index import FMIndex
+from tessera.llm.fm_index import Bits, FMIndex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,15 +82,36 @@ def test_fm_index(k):
         length = np.array([len(p) for p in parts])
         begin = np.cumsum(length + 1) - length - 1
         index = FMIndex(text, k)
-        at, first = index.first_occurrences(begin, length)
-        seen = {}
+        at, first = index.repeats(text, begin, length)
+        seen, times = {}, {}
         for b, m in zip(begin, length, strict=True):
             for i in range(b, b + m - k + 1):
                 seen.setdefault(text[i : i + k].tobytes(), i)
-        assert len(at) == sum(m - k + 1 for m in length)
+                times[text[i : i + k].tobytes()] = times.get(text[i : i + k].tobytes(), 0) + 1
+        assert sorted(at.tolist()) == [i for b, m in zip(begin, length, strict=True) for i in range(b, b + m - k + 1) if times[text[i : i + k].tobytes()] > 1]
         assert all(seen[text[a : a + k].tobytes()] == f for a, f in zip(at.tolist(), first.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("share", [0.0, 0.001, 0.5, 0.999, 1.0])
+def test_bits(share):
+    rng = np.random.default_rng(7)
+    for n in (1, 63, 64, 65, 5000):
+        x = rng.random(n) < share
+        bits, at = Bits(x), np.arange(n + 1)
+        ones = np.concatenate(([0], np.cumsum(x)))
+        assert (bits.rank(at) == ones).all() and (bits.get(at[:-1]) == x).all()
+        assert (bits.select(np.arange(ones[-1])) == np.flatnonzero(x)).all() and (bits.select(ones[-1:]) >= n).all()
+
+
+@pytest.mark.parametrize("passages,share", [(300, 0.6), (10, 0.2)])
+def test_the_index_is_smaller_than_its_text(passages, share):
+    rng = np.random.default_rng(2)
+    words_ = rng.integers(1, 1 << 60, 20_000).astype(np.uint64)
+    of = [rng.choice(words_, 200) for _ in range(passages)]
+    text = np.concatenate([np.append(of[i], np.uint64(0)) for i in rng.integers(0, passages, 3000)])
+    assert FMIndex(text, 20).nbytes() < share * text.nbytes
+
+
 def test_query_against_sql(spark, sf_dir):
     import duckdb
 
