@@ -33,3 +33,24 @@ def test_odd_documents(spark):
             d = stage(spark, d, "")
         got = {r.doc_id for r in d.collect()}
         assert got == (set() if empty else {3, 6, 7})
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    """Different texts of one doc_id are different documents; names that the stages use are kept as they are."""
+    base = [f"{a} {b}" for a in ("the old cat", "a young dog", "my little house", "this green tree", "your long way") for b in ("sat on the mat", "ran over the hill", "went down to the sea", "looked at the moon", "came home again")]
+    one, two, three = (" ".join(base[k::3] * 2) for k in range(3))
+    near = one + " too"
+    extra = {"score": 1.5, "lang_pred": "x", "mark": 7, "state": "s", "node": 9, "component_id": 3, "key": "k", "at": 4, "predicted": "p", "first": 2, "bucket": 1}
+    rows = [(7, one), (7, two), (7, one), (3, near), (9, three), (9, three), (8, two + " " + " ".join(f"w{i}" for i in range(400)))]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t), *extra.values()) for d, t in rows], ["doc_id", "text", "lang", "source", "n_chars", *extra])
+    d = corpus_pipeline.language_id(spark, docs, "")
+    assert d.columns == docs.columns and d.count() == len(rows)
+    d = corpus_pipeline.near_duplicates(spark, d, "")
+    assert d.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in d.collect()) == sorted([(7, two), (3, near), (9, three), rows[-1]])
+    three_ = corpus_pipeline.repeated_passages(spark, d, "")
+    assert three_.columns == docs.columns
+    got = sorted((r.doc_id, len(r.text.split()), r.score, r.mark) for r in three_.collect())
+    left = {d: n - gone for d, n, gone, _ in removed_of([(r.doc_id, r.text) for r in d.collect()])}
+    assert got == sorted((d, n, 1.5, 7) for d, n in left.items()) and left[8] < 410
+    assert corpus_pipeline.packed(spark, three_, "").count() >= 4
