@@ -84,8 +84,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A table of so many ids at most, of 16 bytes each, is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A table of so many ids at most, of 32 bytes each in a hash table, is broadcast: 8 MB.
+BROADCAST_ROWS = 250_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -94,19 +94,25 @@ def small(df: DataFrame) -> DataFrame:
 
 
 #: Rows of one key that a join deals to one task at most, about.
-KEY_ROWS = 10_000
+KEY_ROWS = 2_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int = KEY_ROWS) -> DataFrame:
+def shares_of(counts: DataFrame, key: str, rows: int) -> DataFrame:
+    """Of counts(key, n) the keys of more than `rows` rows, stored, and how many tasks they are dealt to (shares)."""
+    return stored(counts.where(F.col("n") > rows).select(key, F.ceil(F.col("n") / rows).alias("shares")), "frequent")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int = KEY_ROWS, frequent: DataFrame | None = None) -> DataFrame:
     """The inner join on key, with the left rows of a frequent key dealt by a hash of column `by` to as many tasks as they
-    need, and the right rows of that key sent to each of them."""
-    shares, share = free_names([*left.columns, *right.columns], "shares", "share")
-    counts = stored(left.groupBy(key).agg(F.count("*").alias(shares)).where(F.col(shares) > rows).select(key, F.ceil(F.col(shares) / rows).alias(shares)), "frequent")
-    if counts.isEmpty():
+    need, and the right rows of that key sent to each of them. frequent is shares_of() the left rows, if known."""
+    if frequent is None:
+        frequent = shares_of(left.groupBy(key).agg(F.count("*").alias("n")), key, rows)
+    if frequent.isEmpty():
         return left.join(right, key)
-    n = F.coalesce(shares, F.lit(1))
-    dealt = left.join(small(counts), key, "left").withColumn(share, F.pmod(F.xxhash64(by), n)).drop(shares)
-    copies = right.join(small(counts), key, "left").withColumn(share, F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop(shares)
+    shares, share = free_names([*left.columns, *right.columns], "shares", "share")
+    frequent, n = small(frequent.withColumnRenamed("shares", shares)), F.coalesce(shares, F.lit(1).cast("long"))
+    dealt = left.join(frequent, key, "left").withColumn(share, F.pmod(F.xxhash64(by), n)).drop(shares)
+    copies = right.join(frequent, key, "left").withColumn(share, F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop(shares)
     return dealt.join(copies, [key, share]).drop(share)
 
 

@@ -232,9 +232,10 @@ def against_pivots(docs: DataFrame, assigned: DataFrame, measure: Measure) -> Da
     A pivot with many documents is repeated for every few hundred of them, so no task gets them all.
     """
     parts = common.partitions(docs.sparkSession)
-    count = assigned.groupBy("pivot").agg(F.ceil(F.count("*") / TILE).alias("shares"))
-    salted = assigned.where("doc_id <> pivot").join(count, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), "shares").alias("share"), F.lit(1).alias("turn"))
-    heads = count.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("turn"))
+    counts = assigned.groupBy("pivot").agg(F.count("*").alias("n"))
+    frequent, shares = common.small(common.shares_of(counts, "pivot", TILE)), F.coalesce("shares", F.lit(1).cast("long"))
+    salted = assigned.where("doc_id <> pivot").join(frequent, "pivot", "left").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), shares).alias("share"), F.lit(1).alias("turn"))
+    heads = counts.join(frequent, "pivot", "left").select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), F.lit(0).alias("turn"))
     wanted = common.stored(salted.unionByName(heads), "pivots")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(common.small(wanted), "doc_id")
 
@@ -279,9 +280,9 @@ def within_keys(groups: DataFrame, sketches: DataFrame, measure: Measure, forest
     than PAIRS pairs for each of its documents: then it gives those that would join all components at once, the
     likeliest first, and a row key (a and b are null), as its other pairs are still to be looked at.
     """
-    count = groups.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    t, u = F.col("tile"), F.col("other")
-    tiled = groups.join(count, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    frequent = common.small(common.shares_of(groups.groupBy("key").agg(F.count("*").alias("n")), "key", TILE))
+    t, u, tiles = F.col("tile"), F.col("other"), F.coalesce("shares", F.lit(1).cast("long"))
+    tiled = groups.join(frequent, "key", "left").withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     rows = tiled.select("key", F.least(t, u).alias("x"), F.greatest(t, u).alias("y"), "doc_id", "component").join(sketches, "doc_id")
 
     def allowed(table: pa.Table) -> pa.Table:
@@ -332,8 +333,9 @@ def within_keys(groups: DataFrame, sketches: DataFrame, measure: Measure, forest
 def join(docs: DataFrame, measure: Measure) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id.
 
-    A row for every row of docs. Documents without words link with nothing. Rows of one doc_id are one node.
-    A null doc_id is no node: its component_id is null.
+    A row for every row of docs. Documents without words (null, empty) link with nothing. Rows of one doc_id are one node.
+    A null doc_id is no node: its component_id is null. Long texts are taken whole; an empty table gives no rows; other
+    columns aren't read.
     """
     found = sketched(docs, measure)
     rows = found.where("key is null").drop("key")
@@ -351,8 +353,10 @@ def join(docs: DataFrame, measure: Measure) -> DataFrame:
     # Of keys with the same documents one is enough.
     h = F.xxhash64("doc_id").cast("decimal(20,0)")
     sums = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(h).alias("s"), F.min("doc_id").alias("pivot"))
-    chosen = sums.where("n > 1").groupBy("n", "s", "pivot").agg(F.min("key").alias("key"))
-    groups = common.stored(members.join(chosen.select("key", "pivot"), "key"), "groups")
+    chosen = common.stored(sums.where("n > 1").groupBy("n", "s", "pivot").agg(F.min("key").alias("key")), "chosen")
+    frequent = common.shares_of(chosen, "key", common.KEY_ROWS)
+    groups = common.stored(common.spread_join(members, chosen.select("key", "pivot"), "key", "doc_id", frequent=frequent), "groups")
+    common.dropped(members)
     # Each document against one pivot: that of its key with the smallest one, itself if it is the pivot of all its keys.
     assigned = groups.groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
     told = against_pivots(docs, assigned, measure)
@@ -366,7 +370,7 @@ def join(docs: DataFrame, measure: Measure) -> DataFrame:
         open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         if left is not None:
             open_keys = open_keys.join(left, "key", "left_semi")
-        found = common.stored(within_keys(now.join(open_keys, "key"), sketches, measure, forest), "pairs")
+        found = common.stored(within_keys(common.spread_join(now, open_keys, "key", "doc_id", frequent=frequent), sketches, measure, forest), "pairs")
         pairs, left = found.where("key is null").select("a", "b"), found.where("key is not null").select("key").distinct()
         if pairs.isEmpty():
             break
