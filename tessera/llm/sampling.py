@@ -1,19 +1,16 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A document's terms are its words in lower case, weighing 1 + ln(count). A weight is cut into nested pieces, the
-k-th of ln(k / (k - 1)) and the first of 1: a word that comes n times has pieces 1 to n, so sums of minima and
-maxima over terms are sums over the pieces of both and of either document, and a piece weighs the same wherever it
-is. In each of SLOTS samples every piece draws, from hashes of itself, an exponential variable with its weight as
-the rate; the piece of the least draw is the sample. Of the pieces of two documents, one has the least
-draw with a probability in proportion to its weight, and the samples are equal if and only if both hold it: with the
-probability of the generalised Jaccard similarity, whatever the weights and however few the words. So the share of
-equal samples estimates it without bias. A piece's draws are stratified: of the SLOTS equal parts of (0, 1), each
-sample has another one, in an order by hash. A sample's part is any with the same probability, and pieces are
-independent of each other, which is all that the above needs; it makes the estimate vary less.
-
-A draw that is above DEEP / (distinct words) is left out. Weights sum up to the number of distinct words at least, so
-no draw is left in a sample, with exp(-DEEP) as the probability at most (1e-14 for a whole text): less than what
-the rounding of the draws does.
+A document's terms are its words in lower case, of weight w = 1 + ln(count). In each of SLOTS samples every term draws,
+from hashes of itself and the sample, r and c from Gamma(2, 1) and b, evenly from (0, 1). With
+t = floor(ln(w) / r + b) and y = exp(r (t - b)), the sample is the term of the least a = c / (y exp(r)), with its t.
+Two documents have the same sample (term and t) with a probability of the generalised Jaccard similarity of their
+weights, so the share of equal samples estimates it without bias.
+
+r is drawn as the sum of two exponential variables, of which b is the second one's share: then r and b are as above, and
+for w = 1 (most words of a text) a = c u for an even u. So most draws that can't be the least are known by two
+products: those above DEEP / (distinct words) are left out. As a is exponential with rate w, and weights sum up to the
+number of distinct words at least, no draw is left in a sample with a probability of exp(-DEEP) at most (4e-11); such a
+sample has no value then.
 """
 
 from __future__ import annotations
@@ -24,67 +21,114 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 SLOTS = 64
-#: Neighbouring ids of one bucket, a power of two: documents that are sorted together.
-NEIGHBOURS = 256
-#: A table with a row for each bucket is broadcast up to so many rows of 24 bytes.
-BROADCAST_ROWS = 200_000
+#: Documents of neighbouring ids that are sorted together, at about; more where there would be more than BUCKETS groups.
+NEIGHBOURS, BUCKETS = 256, 100_000
 #: Documents that a task should get at about, as far as 8 times the shuffle partitions allow.
 TASK_DOCS = 800
 LOWEST = -(1 << 63)
-DEEP = 36.0
-TOP = 2.0**63
-PART_BITS = 63 - (SLOTS.bit_length() - 1)
+DEEP = 24.0
+
+
+def _floored(at: Column, bits: Column | int) -> Column:
+    bits = F.lit(bits) if isinstance(bits, int) else bits
+    return F.call_function("shiftleft", F.call_function("shiftright", at, bits), bits)
+
+
+class Buckets:
+    """Ranges of ids (at) with some NEIGHBOURS documents each, however uneven the ids are: ranges with many more are cut
+    into finer ones, and an id with many documents into ranges of a hash of their texts."""
+
+    def __init__(self, rows: DataFrame):
+        span = rows.agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).first()
+        self.n = span.n
+        self.per_bucket = max(NEIGHBOURS, -(-span.n // BUCKETS))
+        even = (span.high - span.low + 1) * self.per_bucket // span.n if span.n else 1
+        self.levels: list[tuple[int, DataFrame | None]] = [(min(62, max(0, even.bit_length() - 1)), None)]
+        self.hot_ids: DataFrame | None = None
+        while span.n:
+            bits = self.levels[-1][0]
+            many = self.of(rows).groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") > 16 * self.per_bucket)
+            many = common.stored(many.select("start", F.lit(True).alias("many")), "ranges")
+            if many.isEmpty():
+                break
+            if not bits:
+                self.hot_ids = many
+                break
+            self.levels.append((max(0, bits - 8), many))
+
+    def of(self, rows: DataFrame, hashed: bool = False) -> DataFrame:
+        """rows(at, ...) with start, the least id of the range; with hashed, sub too, of rows(mark), the hash of a text."""
+        out = rows.withColumn("start", _floored(F.col("at"), self.levels[0][0]))
+        for bits, many in self.levels[1:]:
+            out = out.join(common.small(many), "start", "left").withColumn("start", F.when(F.col("many"), _floored(F.col("at"), bits)).otherwise(F.col("start"))).drop("many")
+        if hashed and self.hot_ids:
+            return out.join(common.small(self.hot_ids), "start", "left").withColumn("sub", F.when(F.col("many"), F.shiftright("mark", 48).cast("int")).otherwise(0)).drop("many")
+        return out.withColumn("sub", F.lit(0)) if hashed else out
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows bucket, place, copy, doc_id, text, next: each document with the text of the next one in descending
-    order of doc_id; after the last comes the first. Null ids come last; of one id, rows come by their text.
+    """Rows start, sub, place, copy, doc_id, text, next: each document with the text of the next one in descending
+    order of doc_id; after the last comes the first. Null ids come last; of one id, rows come by a hash of their texts.
 
     Documents are dealt by ranges of ids; the first one of a range is copied (copy = 1) to the range that
     comes before it, so that one exchange brings all neighbours together.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.coalesce("doc_id", F.lit(LOWEST)))
-    bucket = F.shiftright("at", NEIGHBOURS.bit_length() - 1)
-    ids = rows.select("at").withColumn("bucket", bucket)
-    tops = ids.groupBy("bucket").agg(F.max("at").alias("top"), F.count("*").alias("n")).withColumn("area", F.shiftright("bucket", 12))
-    areas = tops.groupBy("area").agg(F.min("bucket").alias("first"))
-    # one row for each million ids
-    areas = areas.select("area", F.lead("first").over(Window.orderBy("area")).alias("next_area"))
-    lowest = ids.agg(F.min("bucket").alias("lowest"))
-    above = tops.withColumn("in_area", F.lead("bucket").over(Window.partitionBy("area").orderBy("bucket"))).join(areas, "area")
-    above = above.crossJoin(F.broadcast(lowest)).select("top", "n", F.coalesce("in_area", "next_area", "lowest").alias("goes"))  # lowest is one row
-    above = common.stored(above, "neighbours")
-    size = above.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("docs")).first()
+    buckets = Buckets(rows.select("at"))
+    hot = buckets.hot_ids is not None
+    rows = buckets.of(rows.withColumn("mark", F.xxhash64("text")), True)
+    ids = (rows if hot else buckets.of(rows.select("at"), False).withColumn("sub", F.lit(0))).select("at", "start", "sub")
+    tops = ids.groupBy("start", "sub").agg(F.max("at").alias("at"))
+    # each range goes on to the one before it: of the next higher ids, and the highest to the lowest. Ranges are looked
+    # at in areas of many, and areas by one row each, as few as there are thousands of ranges.
+    wide = tops.withColumn("area", _floored(F.col("start"), min(62, buckets.levels[0][0] + 12)))
+    first = F.min(F.struct("start", (-F.col("sub")).alias("down"))).alias("first")
+    areas = wide.groupBy("area").agg(first).select("area", F.lead("first").over(Window.orderBy("area")).alias("next_area"))
+    lowest = wide.agg(first)
+    in_area = F.lead(F.struct("start", (-F.col("sub")).alias("down"))).over(Window.partitionBy("area").orderBy("start", F.desc("sub")))
+    goes = wide.withColumn("in_area", in_area).join(areas, "area").crossJoin(F.broadcast(lowest)).withColumn("to", F.coalesce("in_area", "next_area", "first"))  # lowest is one row
+    goes = common.stored(goes.select("start", "sub", "at", F.struct(F.col("to.start").alias("start"), (-F.col("to.down")).alias("sub")).alias("to")), "neighbours")
+    # of several documents of the top id the first one is copied
+    top = rows.join(F.broadcast(goes) if goes.count() <= common.BROADCAST_ROWS else goes, ["start", "sub", "at"]).groupBy("to").agg(F.min(F.struct("mark", "text")).alias("one"), F.max("at").alias("at"))
+    copies = top.select("to.start", "to.sub", F.lit(1).alias("copy"), F.lit(None).cast("long").alias("doc_id"), "one.text", "at", "one.mark")
     parts = common.partitions(docs.sparkSession)
-    parts = max(parts, min(8 * parts, -(-size.docs // TASK_DOCS)))
-    above = above.select("top", "goes")
-    rows = rows.join(F.broadcast(above) if size.rows <= BROADCAST_ROWS else above, rows.at == above.top, "left").withColumn("bucket", bucket)
-    own, gone = F.struct("bucket", F.lit(0).alias("copy")), F.struct(F.col("goes").alias("bucket"), F.lit(1).alias("copy"))
-    rows = rows.select("doc_id", "text", "at", F.explode(F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, gone))).alias("to"))
-    rows = rows.select("doc_id", "text", "at", "to.bucket", "to.copy").repartition(parts, "bucket")
-    order = Window.partitionBy("bucket").orderBy("copy", F.desc("at"), F.xxhash64("text"), "text")
-    return rows.select("bucket", F.row_number().over(order).alias("place"), "copy", "doc_id", "text", F.lead("text").over(order).alias("next"))
+    parts = max(parts, min(8 * parts, -(-buckets.n // TASK_DOCS)))
+    rows = rows.select("start", "sub", F.lit(0).alias("copy"), "doc_id", "text", "at", "mark").unionByName(copies).repartition(parts, "start", "sub")
+    order = Window.partitionBy("start", "sub").orderBy("copy", F.desc("at"), "mark", "text")
+    return rows.select("start", "sub", F.row_number().over(order).alias("place"), "copy", "doc_id", "text", F.lead("text").over(order).alias("next"))
+
+
+def _uniform(bits: Column, width: int) -> Column:
+    """An even variable of (0, 1) from a number of so many bits."""
+    return (bits + 0.5) * 2.0**-width
 
 
 def samples(terms: DataFrame, by: list[str], hash_: str, count: str, distinct: str) -> DataFrame:
     """terms(by..., hash_, count, distinct) to by..., slot, sample: a slot's value in 24 bits. distinct is the number of
     hashes of the same document. A document without hashes gets slot null."""
-    deep = DEEP / F.greatest(F.col(distinct), F.lit(1))
-    pieces = terms.select(*by, F.col(hash_).alias("h"), deep.alias("deep"), F.explode(F.sequence(F.lit(1), F.when(F.col(hash_).isNull(), 1).otherwise(F.col(count)).cast("int"))).alias("k"))
-    pieces = pieces.select(*by, F.xxhash64("h", "k").alias("piece"), F.col("h").isNull().alias("none"), "deep", F.when(F.col("k") == 1, 1.0).otherwise(-F.log1p(-1.0 / F.col("k"))).alias("weight"))
-    # hashes of 63 bits below this are draws up to deep
-    # hashes of 63 bits up to this are draws up to deep
-    pieces = pieces.withColumn("below", F.when(F.col("none"), 0).otherwise((-F.expm1(-F.col("deep") * F.col("weight")) * TOP).cast("long")))
-    # the piece's draw of rank part goes to the sample (a * part + b) mod SLOTS, for an odd a and any b by its hash
-    drawn = pieces.select("*", F.explode(F.sequence(F.lit(0), F.shiftrightunsigned("below", PART_BITS).cast("int"))).alias("part"))
-    drawn = drawn.withColumn("u", F.shiftleft(F.col("part").cast("long"), PART_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64("piece", "part"), 64 - PART_BITS)))
-    drawn = drawn.where((F.col("u") <= F.col("below")) | F.col("none"))
-    a, b = F.shiftrightunsigned("piece", 30).bitwiseAND(F.lit(SLOTS - 1)).bitwiseOR(F.lit(1)), F.shiftrightunsigned("piece", 40)
-    drawn = drawn.withColumn("slot", (a * F.col("part") + b).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
-    height = -F.log1p(-F.least((F.col("u") + 0.5) / TOP, F.lit(1 - 2.0**-53))) / F.col("weight") / F.col("deep")
-    packed = F.shiftleft(F.least(height * 2.0**38, F.lit(2.0**38)).cast("long"), 24).bitwiseOR(F.col("piece").bitwiseAND(F.lit(0xFFFFFF)))
-    drawn = drawn.select(*by, F.when(~F.col("none"), F.col("slot")).alias("slot"), packed.alias("packed"))
-    return drawn.groupBy(*by, "slot").agg(F.min("packed").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("sample"))
+    h, log_w = F.col(hash_), F.log1p(F.log(F.col(count).cast("double")))
+    log_deep = F.log(F.lit(DEEP) / F.greatest(F.col(distinct), F.lit(1)))
+    terms = terms.select(*by, h.alias("h"), h.isNull().alias("none"), log_w.alias("log_w"), log_deep.alias("log_deep"), F.exp(log_deep + log_w).alias("deep"), (F.col(count) == 1).alias("plain"))
+    draws = terms.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("none"), 0).otherwise(SLOTS - 1))).alias("slot")).withColumn("bits", F.xxhash64("h", "slot"))
+    bits = F.col("bits")
+    u1, u2, u3 = _uniform(bits.bitwiseAND(F.lit(0xFFFFF)), 20), _uniform(F.shiftrightunsigned(bits, 20).bitwiseAND(F.lit(0xFFFFF)), 20), _uniform(F.shiftrightunsigned(bits, 40), 24)
+    draws = draws.withColumn("u12", u1 * u2).withColumn("u3", u3)
+    # c is at least 1 - u12, and a c u3 / w for a plain word
+    draws = draws.where(F.col("none") | ~F.col("plain") | ((1 - F.col("u12")) * F.col("u3") < F.col("deep")))
+    draws = draws.withColumn("u4", _uniform(F.shiftrightunsigned(F.xxhash64("bits"), 12), 52))
+    # of other words y exp(r) is at most w / (u3 u4)
+    draws = draws.where(F.col("none") | F.col("plain") | ((1 - F.col("u12")) * F.col("u3") * F.col("u4") < F.col("deep")))
+    draws = draws.withColumn("e1", -F.log("u3")).withColumn("e2", -F.log("u4"))
+    draws = draws.withColumn("r", F.col("e1") + F.col("e2"))
+    draws = draws.withColumn("t", F.when(F.col("plain"), F.lit(0).cast("long")).otherwise(F.floor((F.col("log_w") + F.col("e2")) / F.col("r"))))
+    # ln a = ln c - r (t - b) - r, in which r b = e2
+    log_a = F.log(-F.log("u12")) - F.col("r") * F.col("t") - F.col("e1")
+    draws = draws.withColumn("above", log_a - F.col("log_deep"))
+    draws = draws.where(F.col("none") | (F.col("above") <= 0))
+    value = F.xxhash64("h", "t").bitwiseAND(F.lit(0xFFFFFF))
+    packed = F.shiftleft(F.greatest((F.col("above") + 64.0) * 2.0**32, F.lit(0.0)).cast("long"), 24).bitwiseOR(value)
+    draws = draws.select(*by, F.when(~F.col("none"), F.col("slot")).alias("slot"), packed.alias("packed"))
+    return draws.groupBy(*by, "slot").agg(F.min("packed").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("sample"))
 
 
 def terms(rows: DataFrame, by: list[str], text: str) -> DataFrame:
@@ -99,10 +143,8 @@ def terms(rows: DataFrame, by: list[str], text: str) -> DataFrame:
 
 
 def likeness(x: str, y: str) -> Column:
-    """Of two fingerprints as arrays of slot << 24 | sample: equal slots among filled ones. Two empty ones are alike."""
-    slot = lambda c: F.transform(c, lambda v: F.shiftright(v, 24))
-    filled = F.size(x) + F.size(y) - F.size(F.array_intersect(slot(x), slot(y)))
-    return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / filled)
+    """Of two fingerprints as arrays of slot << 24 | sample: the share of equal samples. Two empty ones are alike."""
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y)))
 
 
 def spelt(x: str) -> Column:
@@ -110,20 +152,22 @@ def spelt(x: str) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """The rows of op2 for docs(doc_id, text); a null text is empty. One row for every row, repeated ones too."""
+    """The rows of op2 for docs(doc_id, text); a null text is empty. One row for every row, repeated ones too. Texts without
+    words have an empty fingerprint. Long texts are taken whole; an empty table gives no rows; other columns aren't read.
+    """
     near = with_next(docs)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = near.withColumn("edited", F.when(F.col("copy") == 0, F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("next").substr(F.lit(1), cut))))
-    bodies = rows.select("bucket", "place", "copy", "doc_id", F.posexplode(F.when(F.col("copy") == 0, F.array("text", "edited")).otherwise(F.array("text"))).alias("which", "body"))
+    bodies = rows.select("start", "sub", "place", "copy", "doc_id", F.posexplode(F.when(F.col("copy") == 0, F.array("text", "edited")).otherwise(F.array("text"))).alias("which", "body"))
     # doc_id goes along only to make the exchange of texts the same as for base, so that it is used twice
-    by = ["bucket", "place", "copy", "doc_id", "which"]
+    by = ["start", "sub", "place", "copy", "doc_id", "which"]
     drawn = samples(terms(bodies, by, "body"), by, "h", "n", "distinct")
     value = F.shiftleft("slot", 24).bitwiseOR(F.col("sample"))
     mine, other = (F.collect_list(F.when((F.col("which") == k) & F.col("slot").isNotNull(), value)).alias(name) for k, name in ((0, "mine"), (1, "other")))
-    marks = drawn.groupBy("bucket", "place", "copy", "doc_id").agg(mine, other)
-    order = Window.partitionBy("bucket").orderBy("place")
+    marks = drawn.groupBy("start", "sub", "place", "copy", "doc_id").agg(mine, other)
+    order = Window.partitionBy("start", "sub").orderBy("place")
     marks = marks.withColumn("following", F.lead("mine").over(order)).where("copy = 0")
-    marks = marks.select("bucket", "place", "mine", "other", likeness("mine", "other").alias("near_edited"), likeness("mine", "following").alias("near_next"))
-    base = rows.where("copy = 0").select("bucket", "place", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    return base.join(marks, ["bucket", "place"]).select("doc_id", "n_chars", "edited_sha256", spelt("mine").alias("fingerprint"), spelt("other").alias("edited_fingerprint"), "near_edited", "near_next")
+    marks = marks.select("start", "sub", "place", "mine", "other", likeness("mine", "other").alias("near_edited"), likeness("mine", "following").alias("near_next"))
+    base = rows.where("copy = 0").select("start", "sub", "place", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    return base.join(marks, ["start", "sub", "place"]).select("doc_id", "n_chars", "edited_sha256", spelt("mine").alias("fingerprint"), spelt("other").alias("edited_fingerprint"), "near_edited", "near_next")
