@@ -1,5 +1,5 @@
-"""License scans, in DataFrame operations only: sparse TF-IDF cosine of lines to templates, then inheritance from
-the nearest directory above that has a licence file, by joins on paths."""
+"""License scans, in DataFrame operations only: sparse TF-IDF cosine of lines, blocks of lines and whole files to
+templates, then inheritance from the nearest directory above that has a licence file, by joins on paths."""
 
 from __future__ import annotations
 
@@ -13,83 +13,122 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
+from tessera.llm.license_texts import templates as all_templates
 
-#: Short notices by which works name their licence.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-#: Least cosine of a line to a template.
+Templates = list[tuple[str, str]]
+#: Least cosine to a template.
 LEAST = 0.8
-#: Between tokens of a line in lower case.
-BETWEEN = r"[^a-z0-9.+\-]+|\.$|\.[^a-z0-9]"
+#: Between tokens of a text in lower case; between blocks of lines, of which a line without letters and digits is none.
+BETWEEN, BLANK = "[^a-z0-9]+", "\n([^A-Za-z0-9\n]*\n)+"
+#: Templates of up to so many tokens are looked at by the weights of those that a text holds, longer ones by their number.
+SHORT = 16
+#: Names of files that hold a licence.
+NAMED = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 
 
-def tokens(line: str) -> list[str]:
-    return [t for t in re.split(BETWEEN, line.lower()) if t]
+def tokens(text: str) -> list[str]:
+    return [t for t in re.split(BETWEEN, text.lower()) if t]
 
 
-def weights(templates: dict[str, str]) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
-    """Inverse document frequencies of the templates' tokens, and each template's unit vector."""
-    df = Counter(t for x in templates.values() for t in set(tokens(x)))
+def weights(templates: Templates) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
+    """Inverse document frequencies of the templates' tokens, and each template's licence and unit vector."""
+    df = Counter(t for _, x in templates for t in set(tokens(x)))
     idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in sorted(df.items())}
-    vectors = {}
-    for name, text in sorted(templates.items()):
+    vectors = []
+    for name, text in templates:
         v = {t: n * idf[t] for t, n in Counter(tokens(text)).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        vectors[name] = {t: x / norm for t, x in sorted(v.items())}
+        vectors.append((name, {t: x / norm for t, x in sorted(v.items())}))
     return idf, vectors
 
 
-def unknown_idf(templates: dict[str, str]) -> float:
+def unknown_idf(templates: Templates) -> float:
     return math.log(1 + len(templates)) + 1
 
 
-def reachable(low: Column, vectors: dict[str, dict[str, float]], least: float) -> Column:
-    """Whether a line in lower case holds enough of a template's tokens: by Cauchy and Schwarz its cosine is at most
-    the norm of the template's part that it has. A token counts as held wherever its letters stand, which only adds lines."""
-    held = [reduce(add, (F.when(low.contains(t), w * w).otherwise(0.0) for t, w in sorted(v.items()))) >= least * least - 1e-9 for v in vectors.values()]
-    return reduce(or_, held)
+def fewest(v: dict[str, float], least: float) -> int:
+    """How many of a template's tokens a text holds at least if its cosine is `least`: by Cauchy and Schwarz the cosine is
+    at most the norm of the template's part that the text holds."""
+    held, n = 0.0, 0
+    for x in sorted(v.values(), reverse=True):
+        if held >= least * least - 1e-9:
+            break
+        held, n = held + x * x, n + 1
+    return n
 
 
-def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """files(path, text) to path, line (from 0), last (whether it is the file's last line), licence, score: the best line
-    of each file whose cosine to a template is at least `least`. Ties go to the earliest line, then the first name.
+def reachable(words: Column, vectors: list[tuple[str, dict[str, float]]], least: float) -> Column:
+    """Whether a text of the given words holds enough tokens of a template."""
+    known = F.array_intersect(words, F.array(*(F.lit(t) for t in sorted({t for _, v in vectors for t in v}))))
+
+    def held(k: Column, v: dict[str, float]) -> Column:
+        many = F.size(F.array_intersect(k, F.array(*(F.lit(t) for t in v)))) >= fewest(v, least)
+        if len(v) > SHORT:
+            return many
+        return many & (reduce(add, (F.when(F.array_contains(k, t), w * w).otherwise(0.0) for t, w in v.items())) >= least * least - 1e-9)
+
+    kinds = {tuple(v): v for _, v in sorted(vectors, key=lambda x: tuple(x[1]))}
+    # one variable for the words that are known, so that they are found once and not for each template
+    return F.exists(F.array(known), lambda k: reduce(or_, (held(k, v) for v in kinds.values())))
+
+
+def words_of(text: Column) -> Column:
+    return F.split(F.lower(text), BETWEEN)
+
+
+def units(files: DataFrame) -> DataFrame:
+    """files(path, text) to path, mark (hash of the text), kind, place, last and raw: the lines of a text (kind 0), its blocks
+    of several lines without a blank one between them (1), and the whole of a text of several blocks (2); last: whether
+    no text comes behind a line or block, and some comes before it; or it is the whole."""
+    lines, blocks = F.split("text", "\n"), F.split("text", BLANK)
+
+    def of(kind: int, parts: Column, keep: Column | None = None) -> Column:
+        n = F.size(parts)
+        made = F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), ((i == n - 1) & (i > 0)).alias("last"), x.alias("raw")))
+        return made if keep is None else F.filter(made, lambda u: u["raw"].contains("\n"))
+
+    whole = F.when(F.size(blocks) > 1, F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).alias("place"), F.lit(True).alias("last"), F.col("text").alias("raw"))))
+    made = F.concat(of(0, lines), of(1, blocks, blocks), F.coalesce(whole, F.filter(of(0, lines), lambda _: F.lit(False))))
+    return files.select("path", F.xxhash64("text").alias("mark"), F.explode(made).alias("u")).select("path", "mark", "u.*")
+
+
+def notices(files: DataFrame, templates: Templates | None = None, least: float = LEAST) -> DataFrame:
+    """files(path, text) to path, kind, place, last, licence, score: the line, block or whole text of each file whose cosine
+    to a template is highest and at least `least`. Ties go to lines before blocks before wholes, then to the earliest,
+    then to the first name.
 
     The templates' vectors are as large as the templates, however many files there are; they are broadcast."""
+    templates = all_templates() if templates is None else templates
     idf, vectors = weights(templates)
     spark = files.sparkSession
-    lines = files.select("path", F.posexplode(F.split(F.col("text"), "\n")).alias("line", "raw"), F.size(F.split(F.col("text"), "\n")).alias("lines"))
-    lines = lines.withColumn("low", F.lower("raw")).where(reachable(F.col("low"), vectors, least)).select("path", "line", (F.col("line") == F.col("lines") - 1).alias("last"), "low")
-    found = lines.select("path", "line", "last", F.explode(F.split("low", BETWEEN)).alias("token")).where("token <> ''")
-    found = found.groupBy("path", "line", "last", "token").agg(F.count("*").alias("n"))
-    table = spark.createDataFrame([(t, idf[t], [(name, v[t]) for name, v in vectors.items() if t in v]) for t in idf], "token string, idf double, of array<struct<name: string, weight: double>>")
+    may = files.where(reachable(words_of(F.col("text")), vectors, least))
+    found = units(may).withColumn("words", words_of(F.col("raw"))).where(reachable(F.col("words"), vectors, least))
+    key = ["path", "mark", "kind", "place", "last"]
+    found = found.select(*key, F.explode("words").alias("token")).where("token <> ''").groupBy(*key, "token").agg(F.count("*").alias("n"))
+    table = spark.createDataFrame([(t, idf[t], [(k, name, v[t]) for k, (name, v) in enumerate(vectors) if t in v]) for t in idf], "token string, idf double, of array<struct<template: int, licence: string, weight: double>>")
     found = found.join(F.broadcast(table), "token", "left")
     weight = F.col("n") * F.coalesce("idf", F.lit(unknown_idf(templates)))
-    found = found.select("path", "line", "last", weight.alias("w"), "of")
-    norm = found.groupBy("path", "line", "last").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = found.where("of is not null").select("path", "line", "w", F.explode("of").alias("t")).groupBy("path", "line", F.col("t.name").alias("licence")).agg(F.sum(F.col("w") * F.col("t.weight")).alias("dot"))
-    scored = dots.join(norm, ["path", "line"]).select("path", "line", "last", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
-    best = F.min(F.struct((-F.col("score")).alias("s"), "line", "licence", "last")).alias("b")
-    return scored.groupBy("path").agg(best).select("path", "b.line", "b.last", "b.licence", (-F.col("b.s")).alias("score"))
+    found = found.select(*key, weight.alias("w"), "of")
+    norm = found.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = found.where("of is not null").select(*key, "w", F.explode("of").alias("t")).groupBy(*key, "t.template", F.col("t.licence").alias("licence")).agg(F.sum(F.col("w") * F.col("t.weight")).alias("dot"))
+    scored = dots.join(norm, key).select(*key, "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
+    best = F.min(F.struct((-F.col("score")).alias("s"), "kind", "place", "licence", "last")).alias("b")
+    return scored.groupBy("path").agg(best).select("path", "b.kind", "b.place", "b.last", "b.licence", (-F.col("b.s")).alias("score"))
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, templates: Templates | None = None, least: float = LEAST) -> DataFrame:
     """files(path, text) to path, licence, score, origin ("own", "inherited", null) and source_path: what names it.
 
-    A file whose notice is its last line, after others, is a licence file: it stands for its directory too (the
-    one with the least path, if several do). A file without a notice takes the licence of the nearest
-    directory at or above its own that has one. Null paths have no directory; null and empty texts have no notice.
-    One row for every row of files.
+    A file is a licence file, and stands for its directory too (the one with the least path, if several are), if its
+    name says so, if its whole text is a licence's, or if its notice is its last line or block, after others. A file
+    without a notice takes the licence of the nearest directory at or above its own that has one. Null paths have no
+    directory; null and empty texts have no notice; long texts are looked at whole; an empty table gives no rows.
+    Rows of one path are one file. One row for every row of files; other columns aren't read.
     """
-    own = common.stored(notices(files.where("path is not null"), templates, least), "notices")
+    own = common.stored(notices(files.where("path is not null and text is not null"), templates, least), "notices")
     directory = lambda p: F.regexp_replace(p, "/?[^/]*$", "")
-    declared = own.where("last and line > 0").groupBy(directory("path").alias("above")).agg(F.min(F.struct("path", "licence", "score")).alias("d"))
+    is_licence = F.col("last") | F.regexp_extract("path", "[^/]*$", 0).rlike(NAMED)
+    declared = own.where(is_licence).groupBy(directory("path").alias("above")).agg(F.min(F.struct("path", "licence", "score")).alias("d"))
     dirs = files.where("path is not null").select(directory("path").alias("dir")).distinct()
     parts = F.split("dir", "/")
     chain = dirs.select("dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("depth", "above"))

@@ -67,25 +67,33 @@ def oracle_sql() -> dict[str, str]:
 
 def op8_sql() -> str:
     """The scan in SQL, with the templates' vectors as rows."""
-    idf, vectors = licenses.weights(licenses.TEMPLATES)
-    rows = ", ".join(f"('{n}', '{t}', {w!r}, {idf[t]!r})" for n, v in vectors.items() for t, w in v.items())
+    templates = licenses.all_templates()
+    idf, vectors = licenses.weights(templates)
+    rows = ", ".join(f"({k}, '{n}', '{t}', {w:.17e}, {idf[t]:.17e})" for k, (n, v) in enumerate(vectors) for t, w in v.items())
+    blank = licenses.BLANK.replace("\n", r"\n")
     return rf"""
-WITH v(licence, token, weight, idf) AS (VALUES {rows}), i AS (SELECT DISTINCT token, idf FROM v),
+WITH v(template, licence, token, weight, idf) AS (VALUES {rows}), i AS (SELECT DISTINCT token, idf FROM v),
 f AS (
   SELECT doc_id, text, coalesce(source, 'none') || '/' || CASE WHEN p = '' THEN '' ELSE array_to_string(string_split(p, ''), '/') || '/' END || doc_id AS path
   FROM (SELECT *, regexp_replace(CAST(abs(doc_id) // 10 AS VARCHAR), '0+$', '') AS p FROM documents)
 ),
-l AS (SELECT path, x, unnest(range(0, len(x))) AS line, unnest(x) AS raw FROM (SELECT path, string_split(text, chr(10)) AS x FROM f)),
-k AS (SELECT path, line, line = len(x) - 1 AS last, unnest(regexp_split_to_array(lower(raw), '{licenses.BETWEEN}')) AS token FROM l WHERE raw ilike '%licen%'),
-n AS (SELECT path, line, last, token, count(*) AS n FROM k WHERE token <> '' GROUP BY ALL),
-w AS (SELECT n.*, n * coalesce(idf, {licenses.unknown_idf(licenses.TEMPLATES)!r}) AS w FROM n LEFT JOIN i USING (token)),
-m AS (SELECT path, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+x AS (SELECT path, text, string_split(text, chr(10)) AS lines, regexp_split_to_array(text, '{blank}') AS blocks FROM f WHERE text IS NOT NULL),
+u AS (
+  SELECT path, 0 AS kind, unnest(range(0, len(lines))) AS place, len(lines) AS m, unnest(lines) AS raw FROM x
+  UNION ALL SELECT * FROM (SELECT path, 1 AS kind, unnest(range(0, len(blocks))) AS place, len(blocks) AS m, unnest(blocks) AS raw FROM x) WHERE contains(raw, chr(10))
+  UNION ALL SELECT path, 2, 0, 0, text FROM x WHERE len(blocks) > 1
+),
+k AS (SELECT path, kind, place, kind = 2 OR (place = m - 1 AND place > 0) AS last, unnest(regexp_split_to_array(lower(raw), '{licenses.BETWEEN}')) AS token FROM u),
+n AS (SELECT path, kind, place, last, token, count(*) AS n FROM k WHERE token <> '' GROUP BY ALL),
+w AS (SELECT n.*, n * coalesce(idf, {licenses.unknown_idf(templates):.17e}) AS w FROM n LEFT JOIN i USING (token)),
+m AS (SELECT path, kind, place, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
 s AS (
-  SELECT path, line, last, licence, round(dot / norm, 6) AS score FROM (SELECT path, line, last, licence, sum(w * weight) AS dot FROM w JOIN v USING (token) GROUP BY ALL) JOIN m USING (path, line)
+  SELECT path, kind, place, last, licence, round(dot / norm, 6) AS score
+  FROM (SELECT path, kind, place, last, template, licence, sum(w * weight) AS dot FROM w JOIN v USING (token) GROUP BY ALL) JOIN m USING (path, kind, place)
 ),
-o AS (SELECT * FROM s WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, line, licence) = 1),
+o AS (SELECT * FROM s WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, kind, place, licence) = 1),
 d AS (
-  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, * FROM o WHERE last AND line > 0 QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY path) = 1
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, * FROM o WHERE last QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY path) = 1
 ),
 g AS (SELECT f.doc_id, f.path, o.licence, o.score, regexp_replace(f.path, '/?[^/]*$', '') AS dir FROM f LEFT JOIN o USING (path)),
 h AS (

@@ -1,12 +1,18 @@
 """Tool calls and licences against SQL, and odd inputs."""
 
 import json
+import math
+import os
 import random
+import re
+import textwrap
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import common, licenses, queries, toolcalls
+from tessera.llm import common, license_texts, licenses, queries, toolcalls
 
 
 @pytest.mark.parametrize("name,table", [("op6_tool_calls", "conversations"), ("op8_licenses", "documents")])
@@ -92,7 +98,7 @@ def test_odd_conversations(spark):
 
 
 def test_odd_files(spark):
-    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
+    mit, gpl = "Released under the MIT License.", "Licensed under the GNU General Public License, version 3."
     rows = [
         ("a/LICENSE", "some words\n" + mit), ("a/x", "no notice"), ("a/b/y", None), ("a/b/c/LICENSE", "text\n" + gpl), ("a/b/c/d/z", ""), ("a/b/c/own", mit.upper() + "\nmore text"), ("top", "nothing"), (None, mit),
         ("a/x", "no notice"), ("e/1", "x\n" + mit), ("e/0", "x\n" + gpl), ("e/2", "word " * 20_000), ("f", "licensed " * 30), ("ab/q", "q"), ("g/only", mit),
@@ -109,24 +115,87 @@ def test_odd_files(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
-def test_no_line_is_left_out_that_reaches_a_template(spark):
-    import math
-    import random
-    from collections import Counter
+def best_of(text, idf, vectors, unknown):
+    """The highest cosine of one text to a template, and its licence."""
+    v = {t: n * idf.get(t, unknown) for t, n in Counter(licenses.tokens(text)).items()}
+    norm = math.sqrt(sum(y * y for y in v.values())) or 1
+    return max((round(sum(y * t.get(z, 0) for z, y in v.items()) / norm, 6), name) for name, t in vectors)
 
-    from pyspark.sql import functions as F
 
-    idf, vectors = licenses.weights(licenses.TEMPLATES)
+def test_no_text_is_left_out_that_reaches_a_template(spark):
+    templates = licenses.all_templates()
+    idf, vectors = licenses.weights(templates)
     rng = random.Random(2)
     lines = []
-    for text in licenses.TEMPLATES.values():
+    for _, text in templates:
         w = text.split()
-        lines += [" ".join(x for x in w if rng.random() > d) + " " + " ".join(rng.choices(["the", "x", "mit", "by"], k=k)) for d in (0, 0.1, 0.3, 0.6) for k in (0, 1, 3) for _ in range(5)]
-    df = spark.createDataFrame([(x.lower(),) for x in lines], "low string")
-    kept = [r.k for r in df.select(licenses.reachable(F.col("low"), vectors, licenses.LEAST).alias("k")).collect()]
-    for x, k in zip(lines, kept, strict=True):
-        v = {t: n * idf.get(t, licenses.unknown_idf(licenses.TEMPLATES)) for t, n in Counter(licenses.tokens(x)).items()}
-        norm = math.sqrt(sum(y * y for y in v.values())) or 1
-        best = max(sum(y * t.get(z, 0) for z, y in v.items()) / norm for t in vectors.values())
-        assert k or best < licenses.LEAST
-    assert not all(kept)
+        lines += [" ".join(x for x in w if rng.random() > d) + " " + " ".join(rng.choices(["the", "x", "mit", "by"], k=k)) for d in (0, 0.1, 0.3, 0.5) for k in (0, 1, 3)]
+    df = spark.createDataFrame([(x,) for x in lines], "raw string").withColumn("words", licenses.words_of(F.col("raw")))
+    kept = [r.k for r in df.select(licenses.reachable(F.col("words"), vectors, licenses.LEAST).alias("k")).collect()]
+    assert all(k or best_of(x, idf, vectors, licenses.unknown_idf(templates))[0] < licenses.LEAST for x, k in zip(lines, kept, strict=True))
+    assert not all(kept) and not df.select(licenses.reachable(licenses.words_of(F.lit("the work is under a version of the program")), vectors, licenses.LEAST)).first()[0]
+
+
+def commented(text, sign):
+    lines = textwrap.wrap(text, 70)
+    return "\n".join(f"{sign} {x}" for x in lines)
+
+
+def test_headers_and_licence_texts_are_found(spark):
+    texts = license_texts.TEXTS
+    code = "\n\nimport os\n\ndef f(x):\n    return x + 1  # the same\n"
+    cases = {
+        "MIT": [texts["MIT"][0].replace("year holder", "2019 Jane Roe"), "Copyright (c) 2020 J. Doe\n\n" + textwrap.fill(texts["MIT"][1]) + "\n\n" + textwrap.fill(texts["MIT"][2]), "// Licensed under the MIT license." + code, "# SPDX-License-Identifier: MIT" + code],
+        "Apache-2.0": [commented(texts["Apache-2.0"][0], "//") + code, "/*\n" + commented(texts["Apache-2.0"][0], " *") + "\n *\n" + commented(texts["Apache-2.0"][1], " *") + "\n */" + code, "# SPDX-License-Identifier: Apache-2.0"],
+        "BSD-3-Clause": [textwrap.fill(texts["BSD-3-Clause"][0].replace("year, holder", "1999, The Regents"))],
+        "BSD-2-Clause": [commented(texts["BSD-2-Clause"][0].replace("year, holder", "2001 X Y"), "--")],
+        "GPL-3.0": [commented(texts["GPL-3.0"][0], "#") + code, "words before\n" + "This work is licensed under the GNU General Public License, version 3."],
+        "GPL-2.0": [commented(texts["GPL-2.0"][0], "*") + code],
+        "LGPL-2.1": [commented(texts["LGPL-2.1"][0], ";") + code],
+        "MPL-2.0": [commented(texts["MPL-2.0"][0], "%") + code],
+        "ISC": ["Copyright 2000 Someone\n\n" + textwrap.fill(texts["ISC"][0]) + code],
+        "CC-BY-NC-4.0": ["text\nLicensed under CC BY-NC 4.0."],
+        "CC-BY-4.0": ["CC BY 4.0"],
+    }
+    rows = [(f"{name}/{i}/f", x) for name, found in cases.items() for i, x in enumerate(found)]
+    # whole licence files, where the machine has them
+    folder = "/usr/share/common-licenses"
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD-3-Clause", "BSD")):
+        if os.path.exists(f"{folder}/{file}"):
+            with open(f"{folder}/{file}") as f:
+                rows.append((f"{name}/whole/LICENSE", f.read()))
+            rows.append((f"{name}/whole/src/main.c", "int main() { return 0; }"))
+    rows += [("none/a", code), ("none/b", "the licence of this work is unknown, as is the version of the program"), ("none/c", "word " * 50_000)]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: r.licence for p, r in got.items()} == {p: None if p.startswith("none") else p.split("/")[0] for p, _ in rows}
+    assert all(r.origin == "inherited" and r.source_path.endswith("whole/LICENSE") for p, r in got.items() if p.endswith("main.c"))
+
+
+def test_scores_equal_brute_force(spark):
+    """Lines, blocks and wholes of texts with parts of templates, as the SQL is too slow on whole tables of such texts."""
+    templates = licenses.all_templates()
+    idf, vectors = licenses.weights(templates)
+    rng, rows = random.Random(6), []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            w = [x for x in rng.choice(templates)[1].split() if rng.random() > rng.choice([0, 0.05, 0.3])]
+            parts.append(rng.choice(["\n", " "]).join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)))
+            parts.append(rng.choice(["\n", "\n\n", "\n * \n#\n", " plain words \n", "\n---\n"]))
+        rows.append((f"d{i}", "".join(parts)))
+    expected = {}
+    for path, text in rows:
+        blocks = re.split(licenses.BLANK.replace("(", "(?:"), text)
+        units = [(0, k, x) for k, x in enumerate(text.split("\n"))] + [(1, k, x) for k, x in enumerate(blocks) if "\n" in x] + [(2, 0, text)] * (len(blocks) > 1)
+        found = []
+        for kind, place, x in units:
+            score, _ = best_of(x, idf, vectors, licenses.unknown_idf(templates))
+            names = [n for n, v in vectors if best_of(x, idf, [(n, v)], licenses.unknown_idf(templates))[0] == score]
+            if score >= licenses.LEAST:
+                found.append((-score, kind, place, min(names)))
+        if found:
+            score, kind, place, name = min(found)
+            expected[path] = (name, kind, place, -score)
+    got = {r.path: (r.licence, r.kind, r.place, r.score) for r in licenses.notices(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in expected.items()}
+    assert all(abs(got[k][3] - expected[k][3]) < 2e-6 for k in got) and len(got) > 50
