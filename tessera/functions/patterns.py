@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from tessera.functions import linear
 from tessera.model import Fatal
 
 _META = set(r"\.+*?()|[]{}^$#&-~/ " + "\"'!%,:;<=>@`_")
@@ -327,6 +328,8 @@ class Pattern:
     literal: str | None
     #: Whether it can match an empty string, or only an empty one somewhere.
     may_be_empty: bool
+    #: What a backtracking engine makes of it (linear.trust()).
+    trust: str = "linear"
 
     def for_regex_module(self) -> str:
         import re
@@ -356,4 +359,10 @@ def compile_pattern(spark: SparkSession, patterns: tuple[str, ...] | list[str],
         raise Fatal(f"pattern {raw!r}: {str(e).splitlines()[0]}") from None
     caseless = not any(c.lower() != c or c.upper() != c for c in raw)
     literal = patterns[0] if fixed and len(patterns) == 1 and not word and (not insensitive or caseless) and patterns[0] else None
-    return Pattern(raw, java, insensitive, literal, any(_finds_empty(compiled, x) for x in _PROBES))
+    try:
+        trust = "linear" if literal else linear.trust(java)
+        if trust != "linear":
+            linear.engine(java)
+    except (linear.TooLarge, RecursionError) as e:
+        raise Fatal(f"pattern {raw!r}: {e}") from None
+    return Pattern(raw, java, insensitive, literal, any(_finds_empty(compiled, x) for x in _PROBES), trust)

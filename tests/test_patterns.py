@@ -1,9 +1,14 @@
 """The pattern dialect, globs and addresses."""
 
+import dataclasses
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import linear, matching, patterns
 from tessera.functions.cells import a1, a1_column, number_text, row_column, row_of, split_a1
 from tessera.functions.globs import glob_python, glob_regex
 from tessera.functions.matching import has_hit, with_submatches
@@ -90,3 +95,64 @@ def test_numbers(spark, x, text):
 
     assert number_text(x) == text
     assert spark.createDataFrame([(x,)], "x double").select(number_column(F.col("x"))).first()[0] == text
+
+
+def spelt(pattern, insensitive=False):
+    return ("(?dUiu)" if insensitive else "(?dU)") + patterns._Translator(pattern).whole()
+
+
+ENGINE_PATTERNS = [
+    r"(a|b)*c", r"(\w+)+$", r"(?:\w+\s?)+!", r"a*?b", r"(a*)*", r"(a|ab)(c|bcd)(d*)", r"\bfoo\b|bar", r"^a|b$", r"(?m)^a.?$", r"x*", r"a{2,3}?b?", r"[^ab\n]+", r"(?s)a.b", r"(?:a|b|ab)+?c", r"\B.", r"\b", r"(?i)Ab+", r"é|\pL+\d", r"(?:a?){3}a{3}",
+    r"\<a|b\>", r"\b{start-half}a", "", r"[a-c&&[^b]]+", r"(?-i:A)b|\x{66}oo",
+]
+
+
+@pytest.mark.parametrize("pattern", ENGINE_PATTERNS)
+def test_linear_engine_equals_a_backtracking_one(pattern):
+    import regex
+
+    rng = random.Random(pattern)
+    for insensitive in (False, True):
+        java = spelt(pattern, insensitive)
+        engine, other = linear.Engine(java), regex.compile(patterns.Pattern("", java, insensitive, None, True).for_regex_module())
+        for _ in range(200):
+            text = "".join(rng.choices(["a", "b", "c", "d", "A", "B", "foo", "bar", " ", "\n", "é", "x", "1", "!"], k=rng.randint(0, 10)))
+            expected, last = [], -1
+            for m in other.finditer(text):
+                if m.end() > m.start() or m.start() != last:
+                    expected.append(m.span())
+                last = m.end()
+            assert engine.find_all(text) == expected and engine.search(text) == bool(other.search(text)), text
+
+
+def test_an_empty_alternative_comes_first():
+    assert linear.Engine(spelt("()|a")).find_all("bab") == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("pattern,trust", [("HIT", "linear"), (r"row-\d{4,}", "linear"), (r"\d{4}-\d{2}", "linear"), (r"x\w*", "polynomial"), (r"x[0-9]*y", "linear"), (r"a.*b", "polynomial"), (r"\w+!", "polynomial"), (r"(a|b)*c", "none"), (r"(?:\w+\s?)+!", "none"), (r"((a?){30}){30}", "none"), (r"(ab){2,3}", "linear")])
+def test_trust(pattern, trust):
+    assert linear.trust(spelt(pattern)) == trust
+
+
+@pytest.mark.parametrize("pattern,text,hit", [(r"(a|b)*c", "ab" * 500_000, False), (r"(a|b)*c", "ab" * 500_000 + "c", True), (r"(\w+)+$", "word " * 200_000 + "!", False), (r"(?:\w+\s?)+!", "word " * 200_000, False), (r"(?:\w+\s?)+!", "word " * 200_000 + "!", True), (r"\w+!", "w" * 1_000_000, False), (r"x.*y.*z", "xy" * 500_000, False)])
+def test_no_pattern_takes_more_than_linear_time(spark, pattern, text, hit):
+    compiled = patterns.compile_pattern(spark, [pattern], "sensitive")
+    df = spark.createDataFrame([(text,), ("a short text",), (None,)], "text string")
+    began = time.time()
+    rows = matching.with_submatches(df.where(matching.has_hit(F.col("text"), compiled)), compiled).collect()
+    assert [(m.start, m.end) for r in rows for m in r.submatches if len(r.text) > 100] == ([(0, len(text))] if hit else [])
+    assert df.select(matching.first_offset(F.col("text"), compiled).alias("n")).first().n == 1
+    assert time.time() - began < 90
+
+
+def test_texts_are_searched_alike_in_the_jvm_and_outside(spark):
+    rng = random.Random(8)
+    rows = [("".join(rng.choices(["a", "b", "foo", " ", "\n", "é", "1"], k=rng.randint(0, 30))),) for _ in range(200)] + [("ab foo1 " * 6_000 + "é1",), ("b" * 40_000,)]
+    df = spark.createDataFrame(rows, "text string")
+    for pattern in (r"\w+1", r"foo\d*b?", r"[ab]+ ?\n", r"(?:ab?)+1"):
+        compiled = patterns.compile_pattern(spark, [pattern], "sensitive")
+        trusted = dataclasses.replace(compiled, trust="linear")
+        for p in (compiled, trusted):
+            found = [[m.asDict(True) for m in r.submatches] for r in matching.with_submatches(df, p).collect()]
+            assert found == [matching._as_submatches(t, matching.spans_finder(compiled)(t)) for t, in rows]
+        assert [r.h for r in df.select(matching.has_hit(F.col("text"), compiled).alias("h")).collect()] == [matching.hit_finder(compiled)(t) for t, in rows]
