@@ -11,7 +11,7 @@ from tessera.functions.globs import glob_regex
 from tessera.model import DEFAULT_LAYERS, FORMULA, Fatal, ReadOptions, SearchOptions
 from tessera.plans.search import ORDER, Search, json_events, pretty_lines
 from tessera.sources import delimited
-from tessera.sources.files import discover, read_cells
+from tessera.sources.files import discover
 
 
 def parser() -> argparse.ArgumentParser:
@@ -70,7 +70,7 @@ def run(argv: list[str], out=None, err=None, spark: SparkSession | None = None)
         files = discover(roots, a.glob)
         if spark is None:
             spark = SparkSession.builder.master(f"local[{a.threads or '*'}]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-        search = Search(spark, read_cells(spark, files, options.read) if files else read_cells(spark, []), options)
+        search = Search.over_files(spark, files, options)
     except Fatal as e:
         err.write(f"tessera: {e}\n")
         return 2

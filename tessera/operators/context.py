@@ -35,7 +35,22 @@ def promoted(cells: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def gaps(shown: DataFrame) -> DataFrame:
-    """shown with gap_before: the sheet changes, or a row lies between this one and the one shown before."""
+    """shown with gap_before: the sheet changes, or a row lies between this one and the one shown before.
+
+    Cells come sheet by sheet and row by row, so a row begins a run if the row above it isn't shown: a hash join on rows
+    tells, never a sort of a whole sheet. Only the first cell shown of a file has no gap. Comments come behind all cells,
+    in an order of their own; they are looked at in that order, file by file.
+    """
+    comment = F.col("layer") == "comment"
+    row = [*PLACE, "row"]
+    heads = shown.where(~comment).groupBy(*row).agg(F.min("seq").alias("head"))
+    above = heads.select(*PLACE, (F.col("row") + 1).alias("row"))
+    first = shown.groupBy("path", "file_seq").agg(F.min("seq").alias("first"))
+    begins = heads.join(above, row, "left_anti").join(first, ["path", "file_seq"]).where("head <> first").select(*row, "head")
+    cells = shown.where(~comment).join(begins, row, "left").withColumn("gap_before", F.coalesce(F.col("seq") == F.col("head"), F.lit(False))).drop("head")
+    last = shown.where(~comment).groupBy("path", "file_seq").agg(F.max(F.struct("seq", "sheet", "row")).alias("last"))
     order = Window.partitionBy("path", "file_seq").orderBy("seq")
-    sheet, row = F.lag("sheet").over(order), F.lag("row").over(order)
-    return shown.withColumn("gap_before", F.coalesce((sheet != F.col("sheet")) | (F.col("row") > row + 1), F.lit(False)))
+    before = F.coalesce(F.lag(F.struct("seq", "sheet", "row")).over(order), F.col("last"))
+    apart = (before["sheet"] != F.col("sheet")) | (F.col("row") > before["row"] + 1)
+    comments = shown.where(comment).join(last, ["path", "file_seq"], "left").withColumn("gap_before", F.coalesce(apart, F.lit(False))).drop("last")
+    return cells.select(*shown.columns, "gap_before").unionByName(comments.select(*shown.columns, "gap_before"))

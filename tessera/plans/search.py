@@ -12,6 +12,7 @@ from tessera.functions.matching import has_hit, with_submatches
 from tessera.functions.patterns import Pattern, compile_pattern
 from tessera.model import SUBMATCHES, ReadOptions, SearchOptions
 from tessera.operators.context import gaps, neighbours, promoted
+from tessera.sources.files import Screen, read_cells
 
 
 def filter_cells(cells: DataFrame, options: ReadOptions) -> DataFrame:
@@ -43,13 +44,21 @@ class Search:
         o = self.options
         self.pattern: Pattern = compile_pattern(self.spark, o.patterns, o.case, o.fixed, o.word)
 
+    @classmethod
+    def over_files(cls, spark: SparkSession, files: list[str], options: SearchOptions) -> Search:
+        """A search of files in which the reader passes over sheets without a hit, as far as what is asked for allows: with
+        invert it reads all cells, with context all cells of sheets with a hit."""
+        pattern = compile_pattern(spark, options.patterns, options.case, options.fixed, options.word)
+        screen = None if options.invert else Screen(pattern, bool(options.before or options.after))
+        return cls(spark, read_cells(spark, files, options.read, screen), options)
+
     def readable(self) -> DataFrame:
         return self.cells.where(F.col("error").isNull())
 
     def marked(self) -> DataFrame:
-        """The cells with is_hit: has a match, or has none with invert."""
+        """The cells with is_hit: has a match, or has none with invert. A row without a text stands for a sheet without a hit."""
         found = has_hit(F.col("text"), self.pattern)
-        return self.readable().withColumn("is_hit", ~found if self.options.invert else found)
+        return self.readable().withColumn("is_hit", F.coalesce(~found if self.options.invert else found, F.lit(False)))
 
     def hits(self) -> DataFrame:
         return self.marked().where("is_hit")
@@ -82,8 +91,22 @@ class Search:
         """For every file that was read and has cells: matches (cells with hits) and sheets_scanned (sheets with cells)."""
         return self.marked().groupBy("path", "file_seq").agg(F.count_if("is_hit").alias("matches"), F.count_distinct("sheet").cast("int").alias("sheets_scanned"))
 
+    def summary(self, cells: tuple[str, ...] = ()) -> DataFrame:
+        """path, file_seq, sheet, error, is_hit and, for hits, the named columns, each combination once with the number n of its
+        cells. Made by one look at the cells: tasks count cells without a hit before anything is sent.
+
+        `once` is a variable that no rule moves a filter through: what filters on it and n shares one exchange, as the
+        looks below it stay the same."""
+        hit = F.coalesce(F.col("error").isNull() & ((~has_hit(F.col("text"), self.pattern)) if self.options.invert else has_hit(F.col("text"), self.pattern)), F.lit(False))
+        marked = self.cells.withColumn("is_hit", hit)
+        keys = [F.col(k) for k in ("path", "file_seq", "sheet", "error", "is_hit")]
+        return marked.select(*keys, *(F.when(F.col("is_hit"), F.col(c)).alias(c) for c in cells)).groupBy(*keys, *cells).agg(F.count("*").alias("n")).withColumn("once", F.rand(0))
+
     def events(self, files: DataFrame | None = None) -> DataFrame:
-        """One row for each event; files(path, file_seq) adds files without cells."""
+        """One row for each event; files(path, file_seq) adds files without cells.
+
+        Without context the cells are read once: hits, counts and errors come from one exchange. Context takes a second
+        look, at the rows near hits."""
         blank = {"sheet": "string", "cell": "string", "layer": "string", "text": "string", "submatches": SUBMATCHES, "matches": "long", "sheets_scanned": "int", "message": "string"}
         empty = {k: F.lit(None).cast(t) for k, t in blank.items()}
 
@@ -91,16 +114,22 @@ class Search:
             cols = {**empty, **given}
             return df.select(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), "path", *(cols[k].alias(k) for k in blank), "file_seq", seq.cast("long").alias("seq"), F.lit(sub).alias("sub_seq"))
 
-        all_files = self.cells.select("path", "file_seq").distinct() if files is None else files.select("path", F.col("file_seq").cast("long"))
-        shown = self.shown()
+        context = self.options.before or self.options.after
+        summary = self.summary(() if context else ("seq", "cell", "layer", "text")).where("once >= 0 and n > 0")
+        files = summary.select("path", "file_seq").distinct() if files is None else files.select("path", F.col("file_seq").cast("long"))
+        if context:
+            shown = self.shown()
+        else:
+            shown = self._with_submatches(summary.where("is_hit").withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))).withColumn("row_hit", F.lit(True))
         own = {k: F.col(k) for k in ("sheet", "cell", "layer", "text")}
         kind = F.when(F.col("row_hit"), "match").otherwise("context")
-        out = event(all_files, "begin", F.lit(-1), 0)
+        out = event(files, "begin", F.lit(-1), 0)
         out = out.unionByName(event(shown, kind, F.col("seq"), 1, **own, submatches=F.when(F.col("row_hit"), F.col("submatches"))))
-        if self.options.before or self.options.after:
+        if context:
             out = out.unionByName(event(shown.where("gap_before"), "separator", F.col("seq"), 0))
-        out = out.unionByName(event(self.cells.where("error is not null"), "error", F.lit(1 << 60), 0, message=F.col("error")))
-        ended = all_files.join(self.stats(), ["path", "file_seq"], "left")
+        out = out.unionByName(event(summary.where("error is not null"), "error", F.lit(1 << 60), 0, message=F.col("error")))
+        counted = summary.groupBy("path", "file_seq").agg(F.sum(F.when(F.col("is_hit"), F.col("n")).otherwise(0)).alias("matches"), F.count_distinct("sheet").cast("int").alias("sheets_scanned"))
+        ended = files.join(counted, ["path", "file_seq"], "left")
         return out.unionByName(event(ended, "end", F.lit((1 << 60) + 1), 0, matches=F.coalesce("matches", F.lit(0)), sheets_scanned=F.coalesce("sheets_scanned", F.lit(0))))
 
     def counts(self) -> DataFrame:

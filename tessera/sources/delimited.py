@@ -5,11 +5,15 @@ from __future__ import annotations
 import codecs
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from tessera.functions.cells import a1
 from tessera.model import DISPLAY, Fatal
 
+#: Cells of an Arrow batch.
+BATCH = 8_192
 #: Labels of the web's encoding standard that Python's codecs don't know or know as another encoding.
 _LABELS = {
     "utf8": "utf-8", "unicode-1-1-utf-8": "utf-8", "x-unicode20utf8": "utf-8", "unicode11utf8": "utf-8", "unicode20utf8": "utf-8", "utf-16": "utf-16-le", "utf-16le": "utf-16-le", "ucs-2": "utf-16-le", "unicode": "utf-16-le", "csunicode": "utf-16-le", "iso-10646-ucs-2": "utf-16-le", "unicodefeff": "utf-16-le",
@@ -35,23 +39,55 @@ def codec(label: str) -> str:
     return name
 
 
+def _opened(file, label: str | None) -> io.TextIOWrapper:
+    """Text of a file by the label given, else by a byte order mark, else UTF-8. Malformed parts become U+FFFD; a mark is
+    dropped."""
+    head = file.read(4)
+    name = codec(label) if label else next((n for mark, n in _MARKS if head.startswith(mark)), "utf-8")
+    file.seek(next((len(mark) for mark, n in _MARKS if head.startswith(mark) and n == name), 0))
+    return io.TextIOWrapper(file, encoding=name, errors="replace", newline="")
+
+
 def decoded(raw: bytes, label: str | None) -> str:
-    """By the label given, else by a byte order mark, else UTF-8. Malformed parts become U+FFFD; a mark is dropped."""
-    name = codec(label) if label else next((n for mark, n in _MARKS if raw.startswith(mark)), "utf-8")
-    for mark, n in _MARKS:
-        if raw.startswith(mark) and n == name:
-            raw = raw[len(mark) :]
-    return raw.decode(name, errors="replace")
+    return _opened(io.BytesIO(raw), label).read()
 
 
-def cells(raw: bytes, delimiter: str, encoding: str | None) -> Iterator[tuple]:
-    """(sheet, sheet_idx, row, col, cell, layer, text, hidden sheet, row, col): rows are records; blank lines are none."""
+def batches(file, delimiter: str, encoding: str | None, found: Callable[[str], bool] | None = None, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches like workbook.Reader's, as the file is read: rows are records; blank lines are none. With found, the cells
+    with a hit, or one row without a text if there are cells but none; with whole, all cells of a file with a hit."""
     csv.field_size_limit(1 << 30)
-    row = 0
-    for record in csv.reader(io.StringIO(decoded(raw, encoding), newline=""), delimiter=delimiter):
+    row, n, hit = 0, 0, False
+    held: list[tuple] = []
+    if found and whole:  # whether there is a hit is to be known first
+        if not any(b.column(6).null_count == 0 for b in batches(file, delimiter, encoding, found)):
+            found = lambda _: False
+        else:
+            found = None
+        file = open(file.name, "rb")  # noqa: SIM115
+    for record in csv.reader(_opened(file, encoding), delimiter=delimiter):
         if not record:
             continue
         row += 1
         for k, text in enumerate(record, 1):
             if text:
-                yield "", 0, row, k, a1(row, k), DISPLAY, text, False, False, False
+                n += 1
+                if found is None or found(text):
+                    hit = True
+                    held.append((row, k, a1(row, k), text, n))
+        if len(held) >= BATCH:
+            yield _batch(held)
+            held = []
+    if held:
+        yield _batch(held)
+    if found and n and not hit:
+        yield _batch([(None,) * 5])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    row, col, cell, text, seq = zip(*rows, strict=True)
+    n = len(rows)
+    one = lambda x, t: pa.repeat(pa.scalar(x, t), n)
+    return pa.RecordBatch.from_arrays(
+        [one("", pa.string()), one(0, pa.int32()), pa.array(row, pa.int64()), pa.array(col, pa.int32()), pa.array(cell, pa.string()), one(DISPLAY if cell[0] else None, pa.string()), pa.array(text, pa.string()), pa.array(seq, pa.int64()), *(one(False, pa.bool_()) for _ in range(3))],
+        names=["sheet", "sheet_idx", "row", "col", "cell", "layer", "text", "seq", "hidden_sheet", "hidden_row", "hidden_col"],
+    )

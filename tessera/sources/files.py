@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from dataclasses import asdict
 from xml.etree.ElementTree import ParseError
 
 import pyarrow as pa
@@ -13,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.functions import linear
 from tessera.functions.globs import glob_python
+from tessera.functions.matching import hit_finder
+from tessera.functions.patterns import Pattern
 from tessera.model import CELLS, ReadOptions
 from tessera.sources import delimited, workbook
 
 EXTENSIONS = {".xlsx": "workbook", ".xlsm": "workbook", ".csv": ",", ".tsv": "\t"}
-#: Bytes of files that one task reads, and rows of an Arrow batch.
-TASK_BYTES, BATCH = 32 << 20, 8_192
+#: Bytes of files that one task reads at most and, if there are so many, at least; and of a workbook from which its
+#: sheets are tasks of their own.
+TASK_BYTES, LEAST_BYTES, SPLIT_BYTES = 32 << 20, 256 << 10, 2 << 20
 
 
 class _Ignore:
@@ -89,40 +95,63 @@ def discover(roots: list[str], glob: str | None = None, ignore_rules: bool = Tru
     return found
 
 
-def read_file(path: str, options: ReadOptions) -> Iterator[tuple]:
+class Screen:
+    """A search that the reader makes itself: of a sheet it gives the cells with a hit (with whole, all cells of a sheet with
+    one), or one row without a text if there is none."""
+
+    def __init__(self, pattern: Pattern, whole: bool = False):
+        self.pattern, self.whole = pattern, whole
+
+    def numerals(self) -> bool:
+        """Whether a number or a date may have a hit."""
+        p = self.pattern
+        if p.literal:
+            return all(c in workbook.NUMERALS for c in p.literal)
+        return not linear.needs_other(linear.parsed(p.java), workbook.NUMERALS)
+
+    def of_workbook(self) -> workbook.Screen:
+        return workbook.Screen(hit_finder(self.pattern), self.numerals(), self.whole)
+
+
+def _reader(file, options: ReadOptions, screen: Screen | None) -> workbook.Reader:
+    fits = re.compile(glob_python(options.sheet_glob)).match if options.sheet_glob else None
+    return workbook.Reader(file, fits, options.layers, options.include_hidden, screen.of_workbook() if screen else None)
+
+
+def _cells(path: str, options: ReadOptions, screen: Screen | None, sheets: list[int] | None) -> Iterator[pa.RecordBatch]:
     kind = EXTENSIONS.get(os.path.splitext(path)[1].lower())
     if kind is None:
         raise ValueError("not a supported file")
-    if kind == "workbook":
-        fits = re.compile(glob_python(options.sheet_glob)).match if options.sheet_glob else None
-        with open(path, "rb") as f:
-            yield from workbook.cells(f, fits, options.layers, options.include_hidden)
-    else:
-        with open(path, "rb") as f:
-            raw = f.read()
-        yield from delimited.cells(raw, kind, options.encoding)
-
-
-def file_batches(path: str, file_seq: int, options: ReadOptions) -> Iterator[pa.RecordBatch]:
-    """Batches of CELLS of one file; a file that fails anywhere gives one row that says why."""
+    with open(path, "rb") as f:
+        if kind == "workbook":
+            reader = _reader(f, options, screen)
+            reader.sheets = [s for s in reader.sheets if sheets is None or s[0] in sheets]
+            # a file gives all its cells or fails; a sheet that is a task of its own does by itself
+            yield from list(reader.batches())
+        else:
+            yield from delimited.batches(f, kind, options.encoding, hit_finder(screen.pattern) if screen else None, bool(screen and screen.whole))
+
+
+def file_batches(path: str, file_seq: int, options: ReadOptions, screen: Screen | None = None, sheets: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of CELLS of one file, or of sheets of it; a workbook that fails gives one row that says why, and no cells."""
     schema = to_arrow_schema(CELLS)
-    error = None
+
+    def whole(batch: pa.RecordBatch | None, **one) -> pa.RecordBatch:
+        n = batch.num_rows if batch is not None else 1
+        one = {"path": path, "file_seq": file_seq, **one}
+        there = batch.schema.names if batch is not None else ()
+        return pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) if f.name in there else pa.repeat(pa.scalar(one.get(f.name), f.type), n) for f in schema], schema=schema)
+
     try:
-        rows = list(read_file(path, options))
-    except (workbook.Encrypted, zipfile.BadZipFile, ParseError, OSError, ValueError, KeyError, IndexError, NotImplementedError, RuntimeError, EOFError) as e:
+        for batch in _cells(path, options, screen, sheets):
+            yield whole(batch)
+    except (workbook.Encrypted, zipfile.BadZipFile, zlib.error, ParseError, OSError, ValueError, KeyError, IndexError, NotImplementedError, RuntimeError, EOFError) as e:
         kind = "encrypted" if isinstance(e, workbook.Encrypted) else "io" if isinstance(e, OSError) else "parse"
-        rows, error = [(None,) * 10], (f"{kind}: {e}", kind)
-    for first in range(0, len(rows), BATCH):
-        part = rows[first : first + BATCH]
-        n = len(part)
-        own = dict(zip(("sheet", "sheet_idx", "row", "col", "cell", "layer", "text", "hidden_sheet", "hidden_row", "hidden_col"), zip(*part, strict=True), strict=True))
-        one = {"path": path, "file_seq": file_seq, "error": error and error[0], "error_class": error and error[1]}
-        columns = {f.name: pa.array(own[f.name], f.type) if f.name in own else pa.repeat(pa.scalar(one[f.name], f.type), n) if f.name in one else pa.array(range(first, first + n) if not error else [None], f.type) for f in schema}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), schema=schema)
+        yield whole(None, error=f"{kind}: {e}", error_class=kind)
 
 
 class _Files(InputPartition):
-    def __init__(self, files: list[tuple[int, str]]):
+    def __init__(self, files: list[tuple[int, str, list[int] | None]]):
         super().__init__(files)
         self.files = files
 
@@ -132,25 +161,39 @@ class _Reader(DataSourceReader):
         import json
 
         self.files = json.loads(options["files"])
-        read = json.loads(options["read"])
+        read, search = json.loads(options["read"]), json.loads(options["search"])
         self.options = ReadOptions(read["encoding"], frozenset(read["layers"]), read["sheet_glob"], read["include_hidden"])
+        self.screen = Screen(Pattern(**search["pattern"]), search["whole"]) if search else None
+
+    def _sheets(self, path: str) -> list[int]:
+        try:
+            with open(path, "rb") as f:
+                return [s[0] for s in _reader(f, self.options, None).sheets]
+        except Exception:  # the task that reads the file says what is wrong with it
+            return []
 
     def partitions(self) -> list[_Files]:
-        """Files packed in order into tasks of about TASK_BYTES; a larger file is a task of its own."""
+        """Small files packed in order into as many tasks as there are CPUs, or tasks of TASK_BYTES; sheets of a large workbook
+        are tasks of their own, and so are other large files."""
+        sizes = [os.path.getsize(path) if os.path.exists(path) else 0 for _, path in self.files]
+        most = min(TASK_BYTES, max(LEAST_BYTES, -(-sum(sizes) // (2 * (os.cpu_count() or 1)))))
         out: list[_Files] = []
         room = 0
-        for seq, path in self.files:
-            size = os.path.getsize(path) if os.path.exists(path) else 0
+        for (seq, path), size in zip(self.files, sizes, strict=True):
+            if size >= SPLIT_BYTES and EXTENSIONS.get(os.path.splitext(path)[1].lower()) == "workbook" and len(sheets := self._sheets(path)) > 1:
+                out += [_Files([(seq, path, [s])]) for s in sheets]
+                room = 0
+                continue
             if not out or size > room:
                 out.append(_Files([]))
-                room = TASK_BYTES
-            out[-1].files.append((seq, path))
+                room = most
+            out[-1].files.append((seq, path, None))
             room -= size
         return out or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        for seq, path in partition.files:
-            yield from file_batches(path, seq, self.options)
+        for seq, path, sheets in partition.files:
+            yield from file_batches(path, seq, self.options, self.screen, sheets)
 
 
 class CellsSource(DataSource):
@@ -165,8 +208,8 @@ class CellsSource(DataSource):
         return _Reader(self.options)
 
 
-def read_cells(spark: SparkSession, files: list[str], options: ReadOptions | None = None) -> DataFrame:
-    """The cells of files, with rows for those that can't be read (error is set)."""
+def read_cells(spark: SparkSession, files: list[str], options: ReadOptions | None = None, screen: Screen | None = None) -> DataFrame:
+    """The cells of files, with rows for those that can't be read (error is set). With a screen, those that it gives."""
     import json
 
     options = options or ReadOptions()
@@ -174,4 +217,5 @@ def read_cells(spark: SparkSession, files: list[str], options: ReadOptions | Non
         delimited.codec(options.encoding)
     spark.dataSource.register(CellsSource)
     read = {"encoding": options.encoding, "layers": sorted(options.layers), "sheet_glob": options.sheet_glob, "include_hidden": options.include_hidden}
-    return spark.read.format("cells").option("files", json.dumps(list(enumerate(files)))).option("read", json.dumps(read)).load()
+    search = {"pattern": asdict(screen.pattern), "whole": screen.whole} if screen else None
+    return spark.read.format("cells").option("files", json.dumps(list(enumerate(files)))).option("read", json.dumps(read)).option("search", json.dumps(search)).load()

@@ -4,15 +4,20 @@ import codecs
 import io
 import json
 import os
+import random
+import re
 from datetime import date, datetime
 
 import pytest
 
 from tessera import cli
-from tessera.model import LAYERS, Fatal, ReadOptions, SearchOptions
+from tessera.functions import matching
+from tessera.functions.patterns import compile_pattern
+from tessera.model import DEFAULT_LAYERS, LAYERS, Fatal, ReadOptions, SearchOptions
+from tessera.operators.context import gaps
 from tessera.plans.search import ORDER, Search, filter_cells, json_events
-from tessera.sources import delimited
-from tessera.sources.files import discover, read_cells
+from tessera.sources import columns, delimited, workbook
+from tessera.sources.files import Screen, discover, read_cells
 from tessera.sources.writer import Error, Formula, Rich, Sheet, write_workbook
 
 
@@ -206,17 +211,112 @@ def test_stream(spark, tmp_path):
     assert sorted((r.cell, len(r.submatches)) for r in spark.sql("select * from found").collect()) == [("A1", 1), ("B1", 2)]
 
 
-def test_plain_and_parsed_sheets_agree(tmp_path):
-    from tessera.sources.workbook import Workbook
+def cells_of(path, columnar=True, screen=None, layers=LAYERS, hidden=True):
+    """(sheet, row, col, cell, layer, text, hidden row, hidden column) of a workbook in order, by numpy or by the XML parser."""
+    was = columns.columns
+    try:
+        if not columnar:
+            columns.columns = lambda raw: None
+        with open(path, "rb") as f:
+            reader = workbook.Reader(f, None, layers, hidden, screen)
+            rows = [r for b in reader.batches() for r in b.to_pylist()]
+    finally:
+        columns.columns = was
+    rows.sort(key=lambda r: (r["seq"] is None, r["seq"] or 0))
+    return [tuple(r[k] for k in ("sheet", "row", "col", "cell", "layer", "text", "hidden_row", "hidden_col")) for r in rows]
+
+
+ODD_CELLS = {(1, 1): "a & <b>", (1, 2): 7, (2, 30): 0.25, (3, 1): True, (3, 2): date(2020, 1, 2), (3, 3): Formula("A1&\"x\"", "r & s"), (4, 1): Error("#N/A"), (5, 1): Rich(["x", "y"]), (6, 1): -12, (6, 2): 10**16, (7, 1): "line\nfeed", (8, 1): "_x0041_", (9, 4): 1e-11, (9, 5): 0.1 + 0.2, (9, 6): -0.0, (10, 1): Formula("B2*2", 84), (11, 1): "", (12, 703): "far", (13, 1): 123456789.125, (13, 2): 1e300}
 
+
+def test_columnar_and_parsed_sheets_agree(tmp_path):
     path = tmp_path / "p.xlsx"
-    cells = {(1, 1): "a & <b>", (1, 2): 7, (2, 30): 0.25, (3, 1): True, (3, 2): date(2020, 1, 2), (3, 3): Formula("A1&\"x\"", "r & s"), (4, 1): Error("#N/A"), (5, 1): Rich(["x", "y"]), (6, 1): -12, (6, 2): 10**16, (7, 1): "line\nfeed", (8, 1): "_x0041_"}
     for inline in (False, True):
-        write_workbook(path, [Sheet("S", cells, hidden_rows={3, 9}, hidden_columns={2})], inline=inline)
+        write_workbook(path, [Sheet("S", ODD_CELLS, {"B2": "note"}, hidden_rows={3, 9}, hidden_columns={2}), Sheet("empty"), Sheet("T", {(1, 1): 5}, state="hidden")], inline=inline)
         with open(path, "rb") as f:
-            book = Workbook(f)
-            raw = book.open("xl/worksheets/sheet1.xml").read()
-            plain = book.plain_sheet(raw)
-            assert plain == list(book.parsed_sheet(raw)) and len(plain) == 13
-            for odd in (raw.replace(b"<f>", b'<f ca="1">'), raw.replace(b"</row>", b"<x/></row>", 1), raw.replace(b"<sheetData>", b"<sheetData >"), raw.replace(b'<c r="A1"', b"<c"), raw.replace(b"</sheetData>", b"<!-- x --></sheetData>")):
-                assert book.plain_sheet(odd) is None
+            assert columns.columns(workbook.Workbook(f).part("xl/worksheets/sheet1.xml")) is not None
+        for layers in (LAYERS, frozenset({"display"}), frozenset({"cached", "comment"})):
+            for hidden in (True, False):
+                got = cells_of(path, layers=layers, hidden=hidden)
+                assert got == cells_of(path, False, layers=layers, hidden=hidden) and got
+    cell = b'<worksheet><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>'
+    assert len(columns.columns(cell)) == 1
+    for was, now in ((b"<v>1</v>", b"<v>1<x/></v>"), (b' r="A1"', b""), (b"<row", b"<!-- --><row"), (b"</c>", b""), (b"<v>", b'<f t="shared" si="0"/><v>'), (b'r="A1"', b'r="A1" t="zz"'), (b'"A1"', b'"A0"'), (b'"A1"', b'"a1"')):
+        assert columns.columns(cell.replace(was, now)) is None, now
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_a_screened_workbook_gives_what_a_full_scan_gives(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    values = [*ODD_CELLS.values(), "HIT", "row-12345", "row-7", "2020", "true", Formula("HIT+1", "x"), Formula("A1", "HIT"), Formula("A1", 2.5)]
+    sheets = [Sheet(f"S{k}", {(rng.randint(1, 30), rng.randint(1, 4)): rng.choice(values if k % 3 else ["plain", "words", 5, 6.5]) for _ in range(rng.choice([0, 1, 40]))}, {"A1": rng.choice(["HIT", "no"])} if rng.random() < 0.3 else {}, hidden_rows={2}) for k in range(6)]
+    path = tmp_path / "w.xlsx"
+    write_workbook(path, sheets, inline=bool(seed % 2), epoch_1904=seed == 3)
+    for pattern, case in (("ZZZ_NEVER", "sensitive"), ("HIT", "sensitive"), (r"row-\d{4,}", "sensitive"), ("2020-01", "smart"), (r"^\d+$", "smart"), ("true", "smart"), ("#na", "smart"), (r"(x|y)*y", "smart"), ("", "smart"), ("e", "smart"), (r"\bHIT\b|0\.3", "sensitive")):
+        compiled = compile_pattern(spark, [pattern], case)
+        found = matching.hit_finder(compiled)
+        for layers in (LAYERS, DEFAULT_LAYERS):
+            for hidden in (True, False):
+                full = cells_of(path, layers=layers, hidden=hidden)
+                hits = [c for c in full if found(c[5])]
+                for columnar in (True, False):
+                    for whole in (False, True):
+                        screen = Screen(compiled, whole).of_workbook()
+                        got = cells_of(path, columnar, screen, layers, hidden)
+                        with_hit = {c[0] for c in hits}
+                        assert [c for c in got if c[5] is not None] == ([c for c in full if c[0] in with_hit] if whole else hits), (pattern, whole)
+                        assert sorted(c[0] for c in got if c[5] is None) == sorted({c[0] for c in full} - with_hit), pattern
+    for options in (SearchOptions(("HIT",)), SearchOptions(("HIT",), invert=True), SearchOptions(("row-",), before=1, after=2), SearchOptions(("no such",))):
+        full, screened = Search(spark, read_cells(spark, [str(path)], options.read), options), Search.over_files(spark, [str(path)], options)
+        key = ["type", "path", "sheet", "cell", "layer", "text", "submatches", "matches", "sheets_scanned", "message", "file_seq", "seq", "sub_seq"]
+        assert sorted(map(str, (tuple(r[k] for k in key) for r in full.events().collect()))) == sorted(map(str, (tuple(r[k] for k in key) for r in screened.events().collect())))
+        assert full.counts().collect() == screened.counts().collect() and full.exit_code() == screened.exit_code()
+
+
+def test_sheets_of_a_large_workbook_are_tasks(spark, tmp_path, monkeypatch):
+    from tessera.sources import files
+
+    path = str(tmp_path / "big.xlsx")
+    write_workbook(path, [Sheet(f"S{k}", {(r, 1): f"value {r} of {k}" for r in range(1, 300)}, {"A1": f"note {k}"}) for k in range(3)])
+    whole = [(r.sheet, r.cell, r.text) for r in read_cells(spark, [path]).orderBy("seq").collect()]
+    monkeypatch.setattr(files, "SPLIT_BYTES", 100)
+    options = {"files": json.dumps([[0, path], [1, path]]), "read": json.dumps({"encoding": None, "layers": sorted(DEFAULT_LAYERS), "sheet_glob": None, "include_hidden": True}), "search": "null"}
+    reader = files._Reader(options)
+    parts = reader.partitions()
+    assert [p.files for p in parts] == [[(k, path, [s])] for k in (0, 1) for s in range(3)]
+    rows = sorted((r["seq"], r["sheet"], r["cell"], r["text"]) for p in parts[:3] for b in reader.read(p) for r in b.to_pylist())
+    assert [r[1:] for r in rows] == whole and len(whole) == 3 * 300
+
+
+def test_one_look_at_the_cells_gives_all_events(spark, sf_dir):
+    from tessera.plans.queries import turn_cells
+
+    events = Search(spark, turn_cells(spark, sf_dir), SearchOptions(("ion on the",))).events()
+    assert {"begin", "end"} <= {r.type for r in events.collect()}
+    plan = events._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("ReusedExchange") >= 3 and plan.count("FileScan") == 1, plan
+
+
+def test_gaps_equal_a_walk_over_the_cells(spark):
+    rng = random.Random(5)
+    rows, seq = [], 0
+    for path in ("a", "b"):
+        for sheet in ("S", "T", "U"):
+            for row in sorted(rng.sample(range(1, 40), 14)):
+                for col in (1, 2):
+                    seq += 1
+                    rows.append((path, 0 if path == "a" else 1, sheet, row, col, "display", seq))
+        for sheet in ("T", "U"):
+            for row in rng.sample(range(1, 40), 4):
+                seq += 1
+                rows.append((path, 0 if path == "a" else 1, sheet, row, 1, "comment", seq))
+    rows.append(("c", 2, "S", 7, 1, "comment", seq + 1))
+    df = spark.createDataFrame(rows, "path string, file_seq long, sheet string, row long, col int, layer string, seq long")
+    expected, last = set(), {}
+    for path, _, sheet, row, _, _, n in rows:
+        if path in last and (last[path][0] != sheet or row > last[path][1] + 1):
+            expected.add(n)
+        last[path] = (sheet, row)
+    got = gaps(df).collect()
+    assert len(got) == len(rows) and {r.seq for r in got if r.gap_before} == expected
+
