@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,10 +14,11 @@ from tessera.functions.cells import a1_column, number_column, row_column, time_c
 from tessera.functions.matching import first_offset
 from tessera.functions.patterns import compile_pattern
 from tessera.model import LAYERS, ReadOptions, SearchOptions
-from tessera.plans.search import Search, explode_submatches, filter_cells, filter_paths, json_events, pretty_lines
+from tessera.plans.search import ORDER, Search, explode_submatches, filter_cells, filter_paths, json_events, pretty_lines
+from tessera.sources import store
 from tessera.sources.files import discover, read_cells
 from tessera.sources.table import cells_from_table
-from tessera.sources.writer import Sheet, write_workbook
+from tessera.sources.writer import Formula, Sheet, write_workbook
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,8 +266,8 @@ def pretty_text(spark, sf_dir):
 
 @query("SELECT CAST(CASE WHEN count(*) > 0 THEN 0 ELSE 1 END AS INTEGER) AS status FROM region WHERE regexp_matches(r_name, 'ASIA$')")
 def exists_exit_code(spark, sf_dir):
-    cells = cells_from_table(table(spark, sf_dir, "region"), "region", ["r_name"], F.col("r_regionkey") + 1)
-    return search(spark, cells, "ASIA$").hits().limit(1).agg(F.when(F.count("*") > 0, 0).otherwise(1).alias("status"))
+    status = search(spark, region_cells(spark, sf_dir), "ASIA$").exit_code()
+    return spark.range(1).select(F.lit(status).alias("status"))
 
 
 @query(
@@ -278,8 +279,35 @@ def cells_unpivot(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.removeprefix('file://').removeprefix('file:').rstrip('/')}/tessera/{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, a temporary one of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: the machines share no folder")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+
+
+def _written(folder: str, files: dict[str, bytes | list[Sheet]]) -> str:
+    """Writes files and workbooks."""
+    for name, body in files.items():
+        with store.created(f"{folder}/{name}") as f:
+            if isinstance(body, bytes):
+                f.write(body)
+            else:
+                held = io.BytesIO()
+                write_workbook(held, body)
+                f.write(held.getvalue())
+    return folder
+
+
+def _names(spark: SparkSession, sf_dir: str) -> tuple[list, list]:
+    """nation and region: fixed tables of 25 and 5 rows."""
+    return table(spark, sf_dir, "nation").orderBy("n_nationkey").collect(), table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
+
+
+def region_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells_from_table(table(spark, sf_dir, "region"), "region", ["r_name"], F.col("r_regionkey") + 1)
 
 
 @query("SELECT text, count(*) AS n FROM (SELECT unnest([CAST(c_custkey AS VARCHAR), c_name, c_mktsegment]) AS text FROM customer) GROUP BY 1")
@@ -293,9 +321,8 @@ def csv_round_trip(spark, sf_dir):
 def tsv_search(spark, sf_dir):
     folder = _folder(spark)
     table(spark, sf_dir, "documents").select("doc_id", "source", "text").write.option("escape", '"').option("sep", "\t").option("quoteAll", True).csv(folder)
-    for name in os.listdir(folder):
-        if name.endswith(".csv"):
-            os.rename(f"{folder}/{name}", f"{folder}/{name[:-4]}.tsv")
+    for path in discover([folder]):
+        store.moved(path, f"{path[:-4]}.tsv")
     cells = read_cells(spark, discover([folder]))
     place = ["path", "row"]
     hits = search(spark, cells, "public license").hits().select(*place)
@@ -305,10 +332,131 @@ def tsv_search(spark, sf_dir):
 
 @query("SELECT 'names' AS sheet, 'A' || (n_nationkey + 1) AS cell, 'display' AS layer, n_name AS text FROM nation UNION ALL SELECT 'regions', 'B' || (r_regionkey + 2), 'display', r_name FROM region UNION ALL SELECT 'regions', 'C' || (r_regionkey + 2), 'comment', 'note on ' || r_name FROM region")
 def workbook_round_trip(spark, sf_dir):
-    folder = _folder(spark)
-    os.makedirs(folder)
-    nations, regions = table(spark, sf_dir, "nation").collect(), table(spark, sf_dir, "region").collect()  # fixed tables of 25 and 5 rows
+    nations, regions = _names(spark, sf_dir)
     one = Sheet("names", {(r.n_nationkey + 1, 1): r.n_name for r in nations})
     two = Sheet("regions", {(r.r_regionkey + 2, 2): r.r_name for r in regions}, {f"C{r.r_regionkey + 2}": f"note on {r.r_name}" for r in regions})
-    write_workbook(f"{folder}/tables.xlsx", [one, two])
+    folder = _written(_folder(spark), {"tables.xlsx": [one, two]})
     return read_cells(spark, discover([folder]), ReadOptions(layers=LAYERS)).select("sheet", "cell", "layer", "text")
+
+
+@query("SELECT 'A' || (n_nationkey + 1) AS cell, 'display' AS layer, CAST(n_nationkey AS VARCHAR) AS text FROM nation UNION ALL SELECT 'B' || (n_nationkey + 1), 'formula', 'A' || (n_nationkey + 1) || '*2.5' FROM nation UNION ALL SELECT 'B' || (n_nationkey + 1), 'cached', CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey * 5 // 2 AS VARCHAR) ELSE (n_nationkey * 5 // 2) || '.5' END FROM nation")
+def formula_layers(spark, sf_dir):
+    nations, _ = _names(spark, sf_dir)
+    cells: dict = {(r.n_nationkey + 1, 1): r.n_nationkey for r in nations}
+    cells |= {(r.n_nationkey + 1, 2): Formula(f"A{r.n_nationkey + 1}*2.5", r.n_nationkey * 2.5) for r in nations}
+    folder = _written(_folder(spark), {"f.xlsx": [Sheet("S", cells)]})
+    return read_cells(spark, discover([folder]), ReadOptions(layers=LAYERS)).select("cell", "layer", "text")
+
+
+@query("SELECT 'shown' AS sheet, 'A' || (n_nationkey + 1) AS cell, n_name AS text FROM nation WHERE n_regionkey <> 1")
+def hidden_excluded(spark, sf_dir):
+    nations, regions = _names(spark, sf_dir)
+    shown = Sheet("shown", {(r.n_nationkey + 1, c): r.n_name for r in nations for c in (1, 3)}, hidden_rows={r.n_nationkey + 1 for r in nations if r.n_regionkey == 1}, hidden_columns={3})
+    folder = _written(_folder(spark), {"h.xlsx": [shown, Sheet("away", {(1, 1): r.r_name for r in regions}, state="hidden")]})
+    return read_cells(spark, discover([folder]), ReadOptions(include_hidden=False)).select("sheet", "cell", "text")
+
+
+def _encoded(spark, sf_dir, encoding: str, mark: bytes, label: str | None) -> DataFrame:
+    nations, _ = _names(spark, sf_dir)
+    body = "".join(f"国家{r.n_nationkey},{r.n_name}\r\n" for r in nations)
+    folder = _written(_folder(spark), {"n.csv": mark + body.encode(encoding)})
+    return read_cells(spark, discover([folder]), ReadOptions(encoding=label)).select("cell", "text")
+
+
+_ENCODED = "SELECT 'A' || (n_nationkey + 1) AS cell, '国家' || n_nationkey AS text FROM nation UNION ALL SELECT 'B' || (n_nationkey + 1), n_name FROM nation"
+
+
+@query(_ENCODED)
+def csv_gbk(spark, sf_dir):
+    return _encoded(spark, sf_dir, "gbk", b"", "gbk")
+
+
+@query(_ENCODED)
+def utf16_csv(spark, sf_dir):
+    return _encoded(spark, sf_dir, "utf-16-le", b"\xff\xfe", None)
+
+
+@query("SELECT * FROM (VALUES ('bad.xlsx', 'parse', NULL), ('good.csv', NULL, 'fine'), ('locked.xlsx', 'encrypted', NULL), ('short.xlsx', 'parse', NULL)) t(name, error_class, text)")
+def error_rows(spark, sf_dir):
+    whole = io.BytesIO()
+    write_workbook(whole, [Sheet("S", {(1, 1): "lost"})])
+    files = {"bad.xlsx": bytes.fromhex("504b030400"), "locked.xlsx": bytes.fromhex("d0cf11e0a1b11ae1") + bytes(512), "good.csv": b"fine\n", "short.xlsx": whole.getvalue()[:-40]}
+    cells = read_cells(spark, discover([_written(_folder(spark), files)]))
+    return cells.select(F.element_at(F.split("path", "/"), -1).alias("name"), "error_class", "text")
+
+
+@query("SELECT 'A' || (2 * r_regionkey + 1) AS cell, r_name AS text FROM region")
+def merged_anchor(spark, sf_dir):
+    _, regions = _names(spark, sf_dir)
+    row = lambda r: 2 * r.r_regionkey + 1
+    sheet = Sheet("S", {(row(r), 1): r.r_name for r in regions} | {(row(r) + 1, 2): "" for r in regions}, merged=[f"A{row(r)}:B{row(r) + 1}" for r in regions])
+    return read_cells(spark, discover([_written(_folder(spark), {"m.xlsx": [sheet]})])).select("cell", "text")
+
+
+_SHOWN = (
+    "WITH m AS (SELECT c_custkey AS row FROM customer WHERE contains(c_mktsegment, 'AUTO')), s AS (SELECT c_custkey AS row, c_name, c_acctbal, c_mktsegment, EXISTS (SELECT 1 FROM m WHERE m.row = c_custkey) AS hit FROM customer "
+    "WHERE EXISTS (SELECT 1 FROM m WHERE c_custkey BETWEEN m.row - 1 AND m.row + 1)), g AS (SELECT row FROM (SELECT row, lag(row) OVER (ORDER BY row) AS p FROM s) WHERE row > p + 1), "
+    f"c AS (SELECT row, hit, unnest(['A', 'B', 'C']) || row AS cell, unnest([c_name, {_NUMBER.format('c_acctbal')}, c_mktsegment]) AS text FROM s) "
+)
+
+
+@query(_SHOWN + "SELECT 'customer' AS line UNION ALL SELECT '  --' FROM g UNION ALL SELECT CASE WHEN hit THEN '  ' || cell || ':' || CASE WHEN contains(text, 'AUTO') THEN instr(text, 'AUTO') ELSE 1 END || ': ' || text ELSE '  ' || cell || ': ' || text || ' [context]' END FROM c")
+def context_pretty(spark, sf_dir):
+    return pretty_lines(search(spark, customer_cells(spark, sf_dir), "AUTO", before=1, after=1).events()).select("line")
+
+
+@query(
+    _SHOWN + """SELECT '{"type":"begin","data":{"path":"customer"}}' AS value UNION ALL SELECT '{"type":"separator"}' FROM g UNION ALL SELECT '{"type":"end","data":{"path":"customer","stats":{"matches":' || (SELECT count(*) FROM m) || ',"sheets_scanned":1}}}' """
+    """UNION ALL SELECT '{"type":"' || CASE WHEN hit THEN 'match' ELSE 'context' END || '","data":{"path":"customer","sheet":"","cell":"' || cell || '","layer":"display","text":' || to_json(text) || CASE WHEN NOT hit THEN '' WHEN contains(text, 'AUTO') THEN ',"submatches":[{"match":{"text":"AUTO"},"start":' || (instr(text, 'AUTO') - 1) || ',"end":' || (instr(text, 'AUTO') + 3) || '}]' ELSE ',"submatches":[]' END || '}}' FROM c"""
+)
+def context_json(spark, sf_dir):
+    return json_events(search(spark, customer_cells(spark, sf_dir), "AUTO", before=1, after=1).events()).select("value")
+
+
+@query("SELECT 'customer' AS path, (SELECT count(*) FROM customer WHERE contains(c_mktsegment, 'AUTO')) * 3 AS n")
+def count_strict(spark, sf_dir):
+    return search(spark, customer_cells(spark, sf_dir), "AUTO", before=1, after=1, strict=True).counts().select("path", "n")
+
+
+@query("SELECT chr(27) || '[1;35mregion' || chr(27) || '[0m' AS line UNION ALL SELECT '  ' || chr(27) || '[32mA' || (r_regionkey + 1) || chr(27) || '[0m:' || instr(r_name, 'A') || ': ' || replace(r_name, 'A', chr(27) || '[1;33mA' || chr(27) || '[0m') FROM region WHERE contains(r_name, 'A')")
+def colour_text(spark, sf_dir):
+    return pretty_lines(search(spark, region_cells(spark, sf_dir), "A").events(), colour=True).select("line")
+
+
+@query("SELECT 'region' AS line UNION ALL SELECT '  A' || (r_regionkey + 1) || ':' || instr(r_name, 'A') || ': ' || r_name || ' [display]' FROM region WHERE contains(r_name, 'A')")
+def layer_tags(spark, sf_dir):
+    return pretty_lines(search(spark, region_cells(spark, sf_dir), "A").events(), layers=True).select("line")
+
+
+@query(
+    "WITH e AS (SELECT 0 AS f, -1 AS s, 'begin' AS type, NULL AS cell UNION ALL SELECT 0, r_regionkey + 1, 'match', 'A' || (r_regionkey + 1) FROM region WHERE contains(r_name, 'A') UNION ALL SELECT 0, 1000, 'end', NULL UNION ALL SELECT 1, -1, 'begin', NULL "
+    "UNION ALL SELECT 1, n_nationkey + 1, 'match', 'A' || (n_nationkey + 1) FROM nation WHERE contains(n_name, 'A') UNION ALL SELECT 1, 1000, 'end', NULL) SELECT row_number() OVER (ORDER BY f, s) AS n, type, cell FROM e"
+)
+def ordered_output(spark, sf_dir):
+    nations = cells_from_table(table(spark, sf_dir, "nation"), "nation", ["n_name"], F.col("n_nationkey") + 1, file_seq=1)
+    events = search(spark, region_cells(spark, sf_dir).unionByName(nations), "A").events()
+    lines = [(k, r.type, r.cell) for k, r in enumerate(events.orderBy(*ORDER).toLocalIterator(), 1)]  # as a printing sink takes them
+    return spark.createDataFrame(lines, "n long, type string, cell string")
+
+
+@query(
+    "WITH m AS (SELECT * FROM nation WHERE contains(n_name, '1')) SELECT 'count' AS sink, 'nation.csv:' || count(*) AS line FROM m UNION ALL SELECT 'files', 'nation.csv' UNION ALL SELECT 'text', 'nation.csv' UNION ALL SELECT 'text', '  A' || (n_nationkey + 1) || ':' || instr(n_name, '1') || ': ' || n_name FROM m "
+    "UNION ALL SELECT 'status', '0'"
+)
+def sink_dispatch(spark, sf_dir):
+    from tessera import cli
+
+    nations, _ = _names(spark, sf_dir)
+    folder = _written(_folder(spark), {"nation.csv": "".join(f"{r.n_name}\n" for r in nations).encode()})
+    out = []
+    for name, flags in (("count", ["-c"]), ("files", ["-l"]), ("text", [])):
+        held = io.StringIO()
+        status = cli.run([*flags, "1", folder], held, io.StringIO(), spark)
+        out += [(name, line.replace(f"{store.plain(folder)}/", "")) for line in held.getvalue().splitlines()]
+    return spark.createDataFrame([*out, ("status", str(status))], "sink string, line string")
+
+
+@query("SELECT * FROM (VALUES ('a.csv'), ('b/c.tsv'), ('b/kept.csv')) t(path)")
+def walk_rules(spark, sf_dir):
+    folder = _written(_folder(spark), {k: v.encode() for k, v in {"a.csv": "x", "b/c.tsv": "x", "b/gone.csv": "x", "b/kept.csv": "x", ".hidden.csv": "x", "d.txt": "x", "out/e.csv": "x", ".ignore": "out/\ngone.*\n", "b/.ignore": "*.csv\n!kept.csv\n"}.items()})
+    return spark.createDataFrame([(x.removeprefix(f"{store.plain(folder)}/"),) for x in discover([folder])], "path string")

@@ -61,7 +61,9 @@ class Search:
         return self.readable().withColumn("is_hit", F.coalesce(~found if self.options.invert else found, F.lit(False)))
 
     def hits(self) -> DataFrame:
-        return self.marked().where("is_hit")
+        """The cells of which is_hit is true; the filter reaches the scan."""
+        found = has_hit(F.col("text"), self.pattern)
+        return self.readable().where(~found if self.options.invert else found).withColumn("is_hit", F.lit(True))
 
     def _with_submatches(self, df: DataFrame) -> DataFrame:
         return df.withColumn("submatches", F.array().cast(SUBMATCHES)) if self.options.invert else with_submatches(df, self.pattern)

@@ -52,9 +52,10 @@ def decoded(raw: bytes, label: str | None) -> str:
     return _opened(io.BytesIO(raw), label).read()
 
 
-def batches(file, delimiter: str, encoding: str | None, found: Callable[[str], bool] | None = None, whole: bool = False) -> Iterator[pa.RecordBatch]:
+def batches(file, delimiter: str, encoding: str | None, found: Callable[[str], bool] | None = None, whole: bool = False, again: Callable | None = None) -> Iterator[pa.RecordBatch]:
     """Batches like workbook.Reader's, as the file is read: rows are records; blank lines are none. With found, the cells
-    with a hit, or one row without a text if there are cells but none; with whole, all cells of a file with a hit."""
+    with a hit, or one row without a text if there are cells but none; with whole, all cells of a file with a hit, which
+    again() opens once more."""
     csv.field_size_limit(1 << 30)
     row, n, hit = 0, 0, False
     held: list[tuple] = []
@@ -63,7 +64,7 @@ def batches(file, delimiter: str, encoding: str | None, found: Callable[[str], b
             found = lambda _: False
         else:
             found = None
-        file = open(file.name, "rb")  # noqa: SIM115
+        file = again()
     for record in csv.reader(_opened(file, encoding), delimiter=delimiter):
         if not record:
             continue

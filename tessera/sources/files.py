@@ -7,7 +7,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 from xml.etree.ElementTree import ParseError
 
 import pyarrow as pa
@@ -20,7 +20,7 @@ from tessera.functions.globs import glob_python
 from tessera.functions.matching import hit_finder
 from tessera.functions.patterns import Pattern
 from tessera.model import CELLS, ReadOptions
-from tessera.sources import delimited, workbook
+from tessera.sources import delimited, store, workbook
 
 EXTENSIONS = {".xlsx": "workbook", ".xlsm": "workbook", ".csv": ",", ".tsv": "\t"}
 #: Bytes of files that one task reads at most and, if there are so many, at least; and of a workbook from which its
@@ -53,12 +53,54 @@ class _Ignore:
         return None
 
 
+@dataclass
+class _Level:
+    """What a folder says about files below it: .ignore files count always, .gitignore ones only inside a repository."""
+
+    folder: str
+    ignore: list[_Ignore]
+    git: list[_Ignore]
+    exclude: list[_Ignore]
+    is_repository: bool
+
+
+def _rules(folder: str, name: str, base: str | None = None) -> list[_Ignore]:
+    try:
+        with open(os.path.join(folder, name), errors="replace") as f:
+            return [_Ignore(base or folder, f.readlines())]
+    except OSError:
+        return []
+
+
+def _level(folder: str) -> _Level:
+    return _Level(folder, _rules(folder, ".ignore"), _rules(folder, ".gitignore"), _rules(folder, ".git/info/exclude", folder), os.path.exists(os.path.join(folder, ".git")))
+
+
+def _ignored(levels: list[_Level], path: str, is_folder: bool) -> bool | None:
+    """The verdict of the nearest rule: of .ignore files before .gitignore files before what a repository and its user exclude."""
+    said = lambda rules: next((v for r in rules if (v := r.verdict(path, is_folder)) is not None), None)
+    found = said(r for x in reversed(levels) for r in x.ignore)
+    if found is not None or not any(x.is_repository for x in levels):
+        return found
+    inside = levels[max(k for k, x in enumerate(levels) if x.is_repository) :]
+    for rules in ([r for x in reversed(inside) for r in x.git], inside[0].exclude, _user_rules(inside[0])):
+        found = said(rules)
+        if found is not None:
+            return found
+    return None
+
+
+def _user_rules(repository: _Level) -> list[_Ignore]:
+    return _rules(os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git"), "ignore", repository.folder)
+
+
 def discover(roots: list[str], glob: str | None = None, ignore_rules: bool = True) -> list[str]:
     """Supported files below the roots, in the order of the roots and of names; a file named twice comes twice.
 
-    Hidden names and what .gitignore and .ignore files exclude are passed over below a root (not a root itself).
-    Unreadable folders and missing roots give nothing. The extension must fit even for a root; so must the glob,
-    on the whole path.
+    Below a local root (not a root itself) hidden names are passed over, and what .ignore files exclude; inside a git
+    repository also what its .gitignore files (those of folders above a root too), its own exclude file and the user's
+    do. Below a URI hidden names are passed over. Unreadable folders and missing roots give nothing. The extension must fit even for a
+    root; so must the glob, on the whole path.
     """
     fits = re.compile(glob_python(glob)).match if glob else lambda _: True
     found: list[str] = []
@@ -66,20 +108,16 @@ def discover(roots: list[str], glob: str | None = None, ignore_rules: bool = Tru
     def wanted(path: str) -> bool:
         return os.path.splitext(path)[1].lower() in EXTENSIONS and bool(fits(path))
 
-    def walk(folder: str, rules: list[_Ignore]) -> None:
+    def walk(folder: str, levels: list[_Level]) -> None:
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
             return
-        own = list(rules)
-        for e in entries if ignore_rules else ():
-            if e.name in (".gitignore", ".ignore") and e.is_file():
-                with open(e.path, errors="replace") as f:
-                    own.append(_Ignore(folder, f.readlines()))
+        own = [*levels, _level(os.path.abspath(folder))] if ignore_rules else []
         for e in entries:
             is_folder = e.is_dir(follow_symlinks=False)
             if ignore_rules:
-                verdict = next((v for r in reversed(own) if (v := r.verdict(e.path, is_folder)) is not None), None)
+                verdict = _ignored(own, os.path.abspath(e.path), is_folder)
                 if verdict or (e.name.startswith(".") and verdict is None):
                     continue
             if is_folder:
@@ -88,8 +126,16 @@ def discover(roots: list[str], glob: str | None = None, ignore_rules: bool = Tru
                 found.append(e.path)
 
     for root in roots or ["."]:
+        if store.is_remote(root):
+            found += [x for x in store.listed(root) if wanted(x)]
+            continue
+        root = store.plain(root)
         if os.path.isdir(root):
-            walk(root, [])
+            above, folder = [], os.path.abspath(root)
+            while ignore_rules and folder != os.path.dirname(folder):
+                folder = os.path.dirname(folder)
+                above.append(_level(folder))
+            walk(root, above[::-1])
         elif os.path.isfile(root) and wanted(root):
             found.append(root)
     return found
@@ -118,22 +164,23 @@ def _reader(file, options: ReadOptions, screen: Screen | None) -> workbook.Reade
     return workbook.Reader(file, fits, options.layers, options.include_hidden, screen.of_workbook() if screen else None)
 
 
-def _cells(path: str, options: ReadOptions, screen: Screen | None, sheets: list[int] | None) -> Iterator[pa.RecordBatch]:
+def _cells(path: str, options: ReadOptions, screen: Screen | None, sheets: list[int] | None, opened=None) -> Iterator[pa.RecordBatch]:
     kind = EXTENSIONS.get(os.path.splitext(path)[1].lower())
     if kind is None:
         raise ValueError("not a supported file")
-    with open(path, "rb") as f:
+    with opened or store.opened(path) as f:
         if kind == "workbook":
             reader = _reader(f, options, screen)
             reader.sheets = [s for s in reader.sheets if sheets is None or s[0] in sheets]
             # a file gives all its cells or fails; a sheet that is a task of its own does by itself
             yield from list(reader.batches())
         else:
-            yield from delimited.batches(f, kind, options.encoding, hit_finder(screen.pattern) if screen else None, bool(screen and screen.whole))
+            yield from delimited.batches(f, kind, options.encoding, hit_finder(screen.pattern) if screen else None, bool(screen and screen.whole), lambda: store.opened(path))
 
 
-def file_batches(path: str, file_seq: int, options: ReadOptions, screen: Screen | None = None, sheets: list[int] | None = None) -> Iterator[pa.RecordBatch]:
-    """Batches of CELLS of one file, or of sheets of it; a workbook that fails gives one row that says why, and no cells."""
+def file_batches(path: str, file_seq: int, options: ReadOptions, screen: Screen | None = None, sheets: list[int] | None = None, opened=None) -> Iterator[pa.RecordBatch]:
+    """Batches of CELLS of one file (opened, if it is), or of sheets of it; a workbook that fails gives one row that says why,
+    and no cells."""
     schema = to_arrow_schema(CELLS)
 
     def whole(batch: pa.RecordBatch | None, **one) -> pa.RecordBatch:
@@ -143,7 +190,7 @@ def file_batches(path: str, file_seq: int, options: ReadOptions, screen: Screen
         return pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) if f.name in there else pa.repeat(pa.scalar(one.get(f.name), f.type), n) for f in schema], schema=schema)
 
     try:
-        for batch in _cells(path, options, screen, sheets):
+        for batch in _cells(path, options, screen, sheets, opened):
             yield whole(batch)
     except (workbook.Encrypted, zipfile.BadZipFile, zlib.error, ParseError, OSError, ValueError, KeyError, IndexError, NotImplementedError, RuntimeError, EOFError) as e:
         kind = "encrypted" if isinstance(e, workbook.Encrypted) else "io" if isinstance(e, OSError) else "parse"
@@ -167,7 +214,7 @@ class _Reader(DataSourceReader):
 
     def _sheets(self, path: str) -> list[int]:
         try:
-            with open(path, "rb") as f:
+            with store.opened(path) as f:
                 return [s[0] for s in _reader(f, self.options, None).sheets]
         except Exception:  # the task that reads the file says what is wrong with it
             return []
@@ -175,7 +222,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Files]:
         """Small files packed in order into as many tasks as there are CPUs, or tasks of TASK_BYTES; sheets of a large workbook
         are tasks of their own, and so are other large files."""
-        sizes = [os.path.getsize(path) if os.path.exists(path) else 0 for _, path in self.files]
+        sizes = [store.size(path) for _, path in self.files]
         most = min(TASK_BYTES, max(LEAST_BYTES, -(-sum(sizes) // (2 * (os.cpu_count() or 1)))))
         out: list[_Files] = []
         room = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,10 +21,10 @@ def watch(spark: SparkSession, folder: str, options: SearchOptions) -> DataFrame
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                yield from file_batches(path, 0, read)
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from file_batches(path, 0, read, opened=io.BytesIO(content.as_buffer()))
 
-    listed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder).select(F.url_decode(F.regexp_replace(F.replace("path", F.lit("+"), F.lit("%2B")), "^file:/*", "/")).alias("path"))
+    listed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder).select(F.url_decode(F.regexp_replace(F.replace("path", F.lit("+"), F.lit("%2B")), "^file:/*", "/")).alias("path"), "content")
     listed = listed.where(F.lower(F.regexp_extract("path", r"(\.[^.]+)$", 1)).isin(*EXTENSIONS))
     found = listed.mapInArrow(cells, CELLS)
     hit = has_hit(F.col("text"), pattern)

@@ -180,12 +180,41 @@ def test_discovery(tmp_path):
         (tmp_path / name).write_text("x")
     (tmp_path / ".gitignore").write_text("# rules\nskip/\n*.csv\n!a.csv\n!yes.csv\n")
     names = lambda found: [os.path.relpath(x, tmp_path) for x in found]
+    assert names(discover([str(tmp_path)])) == ["a.csv", "b.TSV", "d/e.xlsx", "d/no.csv", "d/yes.csv", "skip/g.csv"]  # no repository
+    (tmp_path / ".ignore").write_text("*.TSV\n")
+    assert names(discover([str(tmp_path)])) == ["a.csv", "d/e.xlsx", "d/no.csv", "d/yes.csv", "skip/g.csv"]
+    (tmp_path / ".ignore").unlink()
+    (tmp_path / ".git" / "info").mkdir(parents=True)
     assert names(discover([str(tmp_path)])) == ["a.csv", "b.TSV", "d/e.xlsx", "d/yes.csv"]
+    assert names(discover([str(tmp_path / "d")])) == ["d/e.xlsx", "d/yes.csv"]  # rules from above
+    (tmp_path / ".git" / "info" / "exclude").write_text("*.xlsx\n")
+    assert names(discover([str(tmp_path / "d")])) == ["d/yes.csv"]
+    (tmp_path / "d" / ".ignore").write_text("!e.xlsx\n")
+    assert names(discover([str(tmp_path / "d")])) == ["d/e.xlsx", "d/yes.csv"]
+    (tmp_path / "d" / ".git").mkdir()
+    assert names(discover([str(tmp_path)])) == ["a.csv", "b.TSV", "d/e.xlsx", "d/no.csv", "d/yes.csv"]  # a repository of its own
+    (tmp_path / "d" / ".git").rmdir()
+    (tmp_path / ".git" / "info" / "exclude").unlink()
     assert names(discover([str(tmp_path)], "*/d/*")) == ["d/e.xlsx", "d/yes.csv"]
     assert len(discover([str(tmp_path)], ignore_rules=False)) == 8
     assert names(discover([str(tmp_path / "a.csv"), str(tmp_path / "a.csv"), str(tmp_path / "c.txt"), str(tmp_path / "none")])) == ["a.csv", "a.csv"]
 
 
+def test_files_behind_a_uri(tmp_path):
+    from tessera.sources import store
+
+    for name in ("b.csv", "a/c.csv", ".x/d.csv"):
+        with store.created(f"file://{tmp_path}/{name}") as f:
+            f.write(b"text")
+    assert discover([f"file://{tmp_path}"]) == [f"{tmp_path}/a/c.csv", f"{tmp_path}/b.csv"]
+    was, store.plain = store.plain, lambda path: path  # as if they were remote
+    try:
+        assert discover([f"file://{tmp_path}"]) == [f"file://{tmp_path}/a/c.csv", f"file://{tmp_path}/b.csv"]
+        assert store.size(f"file://{tmp_path}/b.csv") == 4 and store.opened(f"file://{tmp_path}/b.csv").read() == b"text"
+    finally:
+        store.plain = was
+
+
 def test_full_scan_agrees_with_filters_in_the_reader(spark, basic):
     late = filter_cells(read_cells(spark, [str(basic)], ReadOptions(layers=LAYERS)), ReadOptions(sheet_glob="Sheet*"))
     early = read_cells(spark, [str(basic)], ReadOptions(sheet_glob="Sheet*"))
