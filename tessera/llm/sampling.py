@@ -9,7 +9,7 @@ weights, so the share of equal samples estimates it without bias.
 r is drawn as the sum of two exponential variables, of which b is the second one's share: then r and b are as above, and
 for w = 1 (most words of a text) a = c u for an even u. So most draws that can't be the least are known by two
 products: those above DEEP / (distinct words) are left out. As a is exponential with rate w, and weights sum up to the
-number of distinct words at least, no draw is left in a sample with a probability of exp(-DEEP) at most (4e-11); such a
+number of distinct words at least, no draw is left in a sample with a probability of exp(-DEEP) at most (1e-7); such a
 sample has no value then.
 """
 
@@ -26,7 +26,7 @@ NEIGHBOURS, BUCKETS = 256, 100_000
 #: Documents that a task should get at about, as far as 8 times the shuffle partitions allow.
 TASK_DOCS = 800
 LOWEST = -(1 << 63)
-DEEP = 24.0
+DEEP = 16.0
 
 
 def _floored(at: Column, bits: Column | int) -> Column:
