@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one numpy pass works on; bounds a worker's memory whatever the batch holds.
 SLICE_CHARS = 1_000_000
+#: The same for passes that hold many numbers for each character.
+SMALL_CHARS = 300_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +25,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset and there is one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: the machines share no folder")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -67,12 +71,15 @@ def dropped(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows of an Arrow batch: with texts of a few KB, several MB in the JVM and in the worker.
+#: Rows of an Arrow batch, which Spark ends at 64 MB too: with texts of a few KB, several MB in the JVM and in the worker.
 BATCH_ROWS = 2_000
 
 
 def bounded(df: DataFrame) -> SparkSession:
-    """df's session, with Arrow batches of at most BATCH_ROWS rows, so that a worker's memory is bounded."""
+    """df's session, with Arrow batches of at most BATCH_ROWS rows, so that a worker's memory is bounded.
+
+    Plans are made when they run, so the setting stays: it is a lower bound of what a session asks for, and changes no
+    result."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
@@ -107,8 +114,6 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int
     need, and the right rows of that key sent to each of them. frequent is shares_of() the left rows, if known."""
     if frequent is None:
         frequent = shares_of(left.groupBy(key).agg(F.count("*").alias("n")), key, rows)
-    if frequent.isEmpty():
-        return left.join(right, key)
     shares, share = free_names([*left.columns, *right.columns], "shares", "share")
     frequent, n = small(frequent.withColumnRenamed("shares", shares)), F.coalesce(shares, F.lit(1).cast("long"))
     dealt = left.join(frequent, key, "left").withColumn(share, F.pmod(F.xxhash64(by), n)).drop(shares)

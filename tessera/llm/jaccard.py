@@ -33,7 +33,7 @@ WIDTH = 1.38
 #: Blocks of fewer shingles count as saying little.
 TELLING = 2
 #: Entries that a task gathers before it sends them off, and documents of a tile.
-ENTRIES, TILE = 1_000_000, 400
+ENTRIES, TILE = 500_000, 400
 #: Pairs for each document of a tile up to which all are verified at once.
 PAIRS = 4
 
@@ -163,7 +163,7 @@ def sketched(docs: DataFrame, measure: Measure) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for run in common.slices(batch):
+            for run in common.slices(batch, chars=common.SMALL_CHARS):
                 h, n = words.shingle_sets(*common.utf8(run.column(1)), measure.size)
                 of = np.repeat(np.arange(len(n)), n)
                 one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -242,7 +242,7 @@ def against_pivots(docs: DataFrame, assigned: DataFrame, measure: Measure) -> Da
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for batch in batches:
-            for run in common.slices(batch):
+            for run in common.slices(batch, chars=common.SMALL_CHARS):
                 h, n = words.shingle_sets(*common.utf8(run.column(4)), measure.size)
                 ends, links, drawn = np.cumsum(n), [], []
                 for i, (pivot, share, turn, doc) in enumerate(zip(*(run.column(k).to_pylist() for k in range(4)), strict=True)):
@@ -260,7 +260,9 @@ def against_pivots(docs: DataFrame, assigned: DataFrame, measure: Measure) -> Da
                 )
 
     rows = rows.select("pivot", "share", "turn", "doc_id", "text").repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share", "turn")
-    return common.stored(rows.mapInArrow(held, "a long, b long, n long, sketch binary"), "pivots")
+    told = common.stored(rows.mapInArrow(held, "a long, b long, n long, sketch binary"), "pivots")
+    common.dropped(wanted)
+    return told
 
 
 def similar(x: np.ndarray, y: np.ndarray, measure: Measure) -> bool:
@@ -350,6 +352,7 @@ def join(docs: DataFrame, measure: Measure) -> DataFrame:
     other = classes.where("doc_id <> rep").select("doc_id", "rep").distinct()
     members = found.where("key is not null").select("key", "doc_id").join(other, "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("doc_id")).distinct()
     members = common.stored(members, "members")
+    common.dropped(found)
     # Of keys with the same documents one is enough.
     h = F.xxhash64("doc_id").cast("decimal(20,0)")
     sums = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(h).alias("s"), F.min("doc_id").alias("pivot"))
@@ -378,4 +381,6 @@ def join(docs: DataFrame, measure: Measure) -> DataFrame:
         same = common.stored(components(links), "components")
         if left.isEmpty():
             break
+    for table in (chosen, groups, told):
+        common.dropped(table)
     return classes.join(common.small(same.withColumnRenamed("node", "rep")), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -232,7 +232,7 @@ def predict(docs: DataFrame, network: Network | None, keep: list[str] | None = N
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in common.slices(batch, batch.schema.names[there]):
+            for run in common.slices(batch, batch.schema.names[there], common.SMALL_CHARS):
                 column = run.column(there)
                 letters = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\pL"), False))
                 found, score = np.full(run.num_rows, UNKNOWN, object), np.zeros(run.num_rows)

@@ -28,7 +28,7 @@ from tessera.llm.fm_index import FMIndex
 
 ANCHOR = 8
 #: Keys that a task gathers before it sends them off; words of a shard's index, and of segments before they are sent.
-ENTRIES, SHARD_WORDS = 1_000_000, 700_000
+ENTRIES, SHARD_WORDS = 500_000, 400_000
 #: Documents with a key beyond which its windows are dealt out one by one.
 HOT = 2_000
 #: A null doc_id counts as this one, after all others.
@@ -112,7 +112,7 @@ def anchored(docs: DataFrame, size: int) -> DataFrame:
             return packed(rows + [(k, 2, key[a:b].tobytes(), of[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
 
         for batch in batches:
-            for run in common.slices(batch):
+            for run in common.slices(batch, chars=common.SMALL_CHARS):
                 raw, at = common.utf8(run.column(1))
                 hashes, _, _, n = words.words(raw, at)
                 one, two = digests(hashes, n)
@@ -201,7 +201,7 @@ def repeated_windows(texts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for run in common.slices(batch):
+            for run in common.slices(batch, chars=common.SMALL_CHARS):
                 at_, one_ = (np.asarray(run.column(i)).astype(np.int64) for i in (0, 1))
                 hashes, _, _, n = words.words(*common.utf8(run.column(2)))
                 mine, _ = digests(hashes, n)
@@ -296,7 +296,7 @@ def covered(texts: DataFrame, found: DataFrame, size: int) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in common.slices(batch):
+            for run in common.slices(batch, chars=common.SMALL_CHARS):
                 at, one, n_removed, sha, left = [], [], [], [], []
                 hashes, _, _, n = words.words(*common.utf8(run.column(2)))
                 mine, _ = digests(hashes, n)
@@ -341,6 +341,8 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> tuple[DataFrame, DataFram
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"), "text").join(common.small(ids), "at").join(asked, "at").select("at", "one", "text", "keys", "hot")
     texts = common.stored(texts, "texts")
     kept = common.stored(covered(texts, repeated_windows(texts, size), size).dropDuplicates(["at", "one"]), "kept")
+    for table in (members, hot, asked, ids, texts):
+        common.dropped(table)
     states = classes.join(kept.select("one", F.col("at").alias("first"), "n_removed", "kept_sha256"), ["one", "first"], "left").select("one", "two", "first", "n_removed", "kept_sha256")
     out = rows.join(states, ["one", "two"])
     gone = (F.col("at") > F.col("first")) & (F.col("n_words") >= size)
