@@ -22,6 +22,8 @@ LEAST = 0.8
 BETWEEN, BLANK = "[^a-z0-9]+", "\n([^A-Za-z0-9\n]*\n)+"
 #: Templates of up to so many tokens are looked at by the weights of those that a text holds, longer ones by their number.
 SHORT = 16
+#: Classes of weights: tokens of many templates, such as "the", weigh little.
+USUAL = (1.5, 2.6, 3.6)
 #: Names of files that hold a licence.
 NAMED = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 
@@ -57,19 +59,62 @@ def fewest(v: dict[str, float], least: float) -> int:
     return n
 
 
-def reachable(words: Column, vectors: list[tuple[str, dict[str, float]]], least: float) -> Column:
-    """Whether a text of the given words holds enough tokens of a template."""
-    known = F.array_intersect(words, F.array(*(F.lit(t) for t in sorted({t for _, v in vectors for t in v}))))
+def telling(idf: dict[str, float], vectors: list[tuple[str, dict[str, float]]], least: float) -> list[str]:
+    """Tokens of which a text holds one at least if its cosine to one of the short templates is `least`: of each those that
+    few templates have, letters and digits by themselves last, so many that the others' part is too short by itself."""
+    out = set()
+    for _, v in vectors:
+        left = 1.0
+        for t, x in sorted(v.items(), key=lambda i: (len(i[0]) < 2, -idf[i[0]], i[0])) if len(v) <= SHORT else ():
+            if left < least * least - 1e-9:
+                break
+            out.add(t)
+            left -= x * x
+    return sorted(out)
+
+
+def _array(tokens: list[str]) -> Column:
+    return F.array(*(F.lit(t) for t in tokens)) if tokens else F.array().cast("array<string>")
+
+
+def may_hold(words: Column, idf: dict[str, float], vectors: list[tuple[str, dict[str, float]]], least: float) -> Column:
+    """Whether a text of the given words, or a part of it, may have a cosine of `least` to a template: it holds a telling()
+    token of a short one, or enough tokens of a long one."""
+    long = {tuple(v): v for _, v in vectors if len(v) > SHORT}
+    any_long = sorted({t for v in long.values() for t in v})
+    enough = lambda k: reduce(or_, ((F.size(k) >= fewest(v, least)) & (F.size(F.array_intersect(_array(list(v)), k)) >= fewest(v, least)) for v in long.values()), F.lit(False))
+    return F.exists(F.array(words), lambda w: F.arrays_overlap(w, _array(telling(idf, vectors, least))) | F.exists(F.array(F.array_intersect(w, _array(any_long))), enough))
+
+
+def reachable(words: Column, idf: dict[str, float], vectors: list[tuple[str, dict[str, float]]], least: float) -> Column:
+    """Whether a text of the given words may have a cosine of `least` to a template, by bounds.
+
+    1. The cosine is at most the share that the known tokens (those of any template) have in the text's vector. A known
+       token weighs at most its number times the greatest weight of its class (USUAL); every other word weighs at least
+       what an unknown token does.
+    2. The text holds enough tokens of a template (fewest(), and for short templates their weights).
+    """
+    vocabulary = sorted(idf)
+    bounds = [(top, [t for t in vocabulary if low < idf[t] <= top]) for low, top in zip((0.0, *USUAL), USUAL, strict=False)]
+    top, unknown = max(idf.values()), math.log(1 + len(vectors)) + 1
 
     def held(k: Column, v: dict[str, float]) -> Column:
-        many = F.size(F.array_intersect(k, F.array(*(F.lit(t) for t in v)))) >= fewest(v, least)
+        many = (F.size(k) >= fewest(v, least)) & (F.size(F.array_intersect(_array(list(v)), k)) >= fewest(v, least))
         if len(v) > SHORT:
             return many
         return many & (reduce(add, (F.when(F.array_contains(k, t), w * w).otherwise(0.0) for t, w in v.items())) >= least * least - 1e-9)
 
+    def enough(w: Column, k: Column) -> Column:
+        times = lambda t: (F.size(w) - F.size(F.array_remove(w, t))).cast("double")
+        of = lambda t: F.coalesce(*(F.when(F.array_contains(_array(found), t), x * x) for x, found in bounds), F.lit(top * top))
+        weight = lambda t: F.pow(times(t), F.lit(2.0)) * of(t)
+        known = F.aggregate(k, F.lit(0.0), lambda total, t: total + weight(t))
+        others = F.size(F.array_distinct(w)) - F.size(k) - 1  # one may be the empty string of split()
+        return known >= others * (unknown * unknown * least * least / (1 - least * least) * (1 - 1e-9))
+
     kinds = {tuple(v): v for _, v in sorted(vectors, key=lambda x: tuple(x[1]))}
-    # one variable for the words that are known, so that they are found once and not for each template
-    return F.exists(F.array(known), lambda k: reduce(or_, (held(k, v) for v in kinds.values())))
+    # variables, so that words are made and looked up once and not for each template
+    return F.exists(F.array(words), lambda w: F.exists(F.array(F.array_intersect(w, _array(vocabulary))), lambda k: (F.size(k) > 0) & enough(w, k) & reduce(or_, (held(k, v) for v in kinds.values()))))
 
 
 def words_of(text: Column) -> Column:
@@ -80,15 +125,15 @@ def units(files: DataFrame) -> DataFrame:
     """files(path, text) to path, mark (hash of the text), kind, place, last and raw: the lines of a text (kind 0), its blocks
     of several lines without a blank one between them (1), and the whole of a text of several blocks (2); last: whether
     no text comes behind a line or block, and some comes before it; or it is the whole."""
-    lines, blocks = F.split("text", "\n"), F.split("text", BLANK)
 
-    def of(kind: int, parts: Column, keep: Column | None = None) -> Column:
-        n = F.size(parts)
-        made = F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), ((i == n - 1) & (i > 0)).alias("last"), x.alias("raw")))
-        return made if keep is None else F.filter(made, lambda u: u["raw"].contains("\n"))
+    def of(kind: int, parts: Column) -> Column:
+        # a variable for the parts, so that they are made once and not for each of them
+        unit = lambda p, x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), ((i == F.size(p) - 1) & (i > 0)).alias("last"), x.alias("raw"))
+        return F.flatten(F.transform(F.array(parts), lambda p: F.transform(p, lambda x, i: unit(p, x, i))))
 
-    whole = F.when(F.size(blocks) > 1, F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).alias("place"), F.lit(True).alias("last"), F.col("text").alias("raw"))))
-    made = F.concat(of(0, lines), of(1, blocks, blocks), F.coalesce(whole, F.filter(of(0, lines), lambda _: F.lit(False))))
+    several = F.filter(of(1, F.split("text", BLANK)), lambda u: u["raw"].contains("\n"))
+    whole = F.transform(F.filter(F.array(F.split("text", BLANK)), lambda p: F.size(p) > 1), lambda _: F.struct(F.lit(2).alias("kind"), F.lit(0).alias("place"), F.lit(True).alias("last"), F.col("text").alias("raw")))
+    made = F.concat(of(0, F.split("text", "\n")), several, whole)
     return files.select("path", F.xxhash64("text").alias("mark"), F.explode(made).alias("u")).select("path", "mark", "u.*")
 
 
@@ -101,8 +146,8 @@ def notices(files: DataFrame, templates: Templates | None = None, least: float =
     templates = all_templates() if templates is None else templates
     idf, vectors = weights(templates)
     spark = files.sparkSession
-    may = files.where(reachable(words_of(F.col("text")), vectors, least))
-    found = units(may).withColumn("words", words_of(F.col("raw"))).where(reachable(F.col("words"), vectors, least))
+    may = files.where(may_hold(words_of(F.col("text")), idf, vectors, least))
+    found = units(may).where(may_hold(words_of(F.col("raw")), idf, vectors, least)).where(reachable(words_of(F.col("raw")), idf, vectors, least)).withColumn("words", words_of(F.col("raw")))
     key = ["path", "mark", "kind", "place", "last"]
     found = found.select(*key, F.explode("words").alias("token")).where("token <> ''").groupBy(*key, "token").agg(F.count("*").alias("n"))
     table = spark.createDataFrame([(t, idf[t], [(k, name, v[t]) for k, (name, v) in enumerate(vectors) if t in v]) for t in idf], "token string, idf double, of array<struct<template: int, licence: string, weight: double>>")

@@ -126,14 +126,14 @@ def test_no_text_is_left_out_that_reaches_a_template(spark):
     templates = licenses.all_templates()
     idf, vectors = licenses.weights(templates)
     rng = random.Random(2)
-    lines = []
+    lines = [" ".join([text] * 3 + [f"w{i}" for i in range(k)]) for _, text in templates[::5] for k in (5, 40)]
     for _, text in templates:
         w = text.split()
         lines += [" ".join(x for x in w if rng.random() > d) + " " + " ".join(rng.choices(["the", "x", "mit", "by"], k=k)) for d in (0, 0.1, 0.3, 0.5) for k in (0, 1, 3)]
     df = spark.createDataFrame([(x,) for x in lines], "raw string").withColumn("words", licenses.words_of(F.col("raw")))
-    kept = [r.k for r in df.select(licenses.reachable(F.col("words"), vectors, licenses.LEAST).alias("k")).collect()]
+    kept = [r.k for r in df.select(licenses.reachable(F.col("words"), idf, vectors, licenses.LEAST).alias("k")).collect()]
     assert all(k or best_of(x, idf, vectors, licenses.unknown_idf(templates))[0] < licenses.LEAST for x, k in zip(lines, kept, strict=True))
-    assert not all(kept) and not df.select(licenses.reachable(licenses.words_of(F.lit("the work is under a version of the program")), vectors, licenses.LEAST)).first()[0]
+    assert not all(kept) and not df.select(licenses.reachable(licenses.words_of(F.lit("the work is under a version of the program")), idf, vectors, licenses.LEAST)).first()[0]
 
 
 def commented(text, sign):
