@@ -221,7 +221,7 @@ def read(files: DataFrame) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, path, chunk in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for path, first, chunk in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 system, place = common.file_system(path)
                 with system.open_input_file(place) as source:
                     file = TokenFile(lambda n, at, source=source: source.read_at(n, at))
@@ -229,11 +229,7 @@ def read(files: DataFrame) -> DataFrame:
                 lengths = file.lengths[which]
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(lengths)
                 sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-                m = len(lengths)
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.repeat(pa.scalar(part, pa.int32()), m), "number": pa.repeat(pa.scalar(number, pa.int32()), m), "doc_id": file.doc_ids[which],
-                    "before": pa.array(starts), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(sums, pa.int64()),
-                })
+                yield pa.RecordBatch.from_pydict({"doc_id": file.doc_ids[which], "start": pa.array(starts + first), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(sums, pa.int64())})
 
     # One row a range partition comes to the driver: as many as shuffle partitions, however large the input.
     per_part = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
@@ -248,9 +244,8 @@ def read(files: DataFrame) -> DataFrame:
         .join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
         .select("part", "number", (F.col("base") + F.coalesce(F.sum("tokens").over(in_part), F.lit(0))).alias("first"))
     )
-    chunks = files.select("part", "number", "path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / READ_TOKENS))).alias("chunk"))
-    back = chunks.repartition(common.partitions(spark), "path", "chunk").mapInArrow(documents, "part int, number int, doc_id long, before long, n_tokens long, ids_crc32 long")
-    return back.join(starts, ["part", "number"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    chunks = files.join(starts, ["part", "number"]).select("path", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / READ_TOKENS))).alias("chunk"))
+    return chunks.repartition(common.partitions(spark), "path", "chunk").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
