@@ -13,11 +13,12 @@ LISTED = 64
 def neighbours(cells: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:
     """cells in rows from `before` above to `after` below a row of hits(path, file_seq, sheet, row) of the same sheet.
 
-    A semi-join on the row, never a sort of a whole sheet: one large sheet spreads over all tasks.
+    A semi-join on the row, never a sort of a whole sheet: one large sheet spreads over all tasks. A table's rows may be
+    0 or below, as its keys are.
     """
     rows = hits.select(*PLACE, "row").distinct()
     if before + after <= LISTED:
-        near = rows.select(*PLACE, F.explode(F.sequence(F.greatest(F.col("row") - before, F.lit(1)), F.col("row") + after)).alias("row")).distinct()
+        near = rows.select(*PLACE, F.explode(F.sequence(F.col("row") - before, F.col("row") + after)).alias("row")).distinct()
         return cells.join(near, [*PLACE, "row"], "left_semi")
     width = before + after + 1
     low, high = F.floor((F.col("hit") - before) / width), F.floor((F.col("hit") + after) / width)

@@ -12,7 +12,7 @@ from tessera.model import CELLS, DISPLAY
 def cells_from_table(df: DataFrame, path: str, columns: list[str], row: Column, sheet: Column | None = None, file_seq: int = 0, layer: str = DISPLAY) -> DataFrame:
     """A cell for every non-empty value of the given columns.
 
-    row numbers the rows (from 1) by a unique key; seq follows it, so rows come in its order.
+    row numbers the rows by a unique key (rows of one key are one row of the sheet); seq follows it, so rows come in its order.
     """
     kinds = dict(df.dtypes)
     sheet = F.lit("") if sheet is None else F.coalesce(sheet, F.lit(""))
