@@ -3,9 +3,11 @@ templates, then inheritance from the nearest directory above that has a licence
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 from operator import add, or_
 
@@ -77,6 +79,11 @@ def _array(tokens: list[str]) -> Column:
     return F.array(*(F.lit(t) for t in tokens)) if tokens else F.array().cast("array<string>")
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) of a variable, so that x is made once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def may_hold(words: Column, idf: dict[str, float], vectors: list[tuple[str, dict[str, float]]], least: float) -> Column:
     """Whether a text of the given words, or a part of it, may have a cosine of `least` to a template: it holds a telling()
     token of a short one, or enough tokens of a long one."""
@@ -90,8 +97,8 @@ def reachable(words: Column, idf: dict[str, float], vectors: list[tuple[str, dic
     """Whether a text of the given words may have a cosine of `least` to a template, by bounds.
 
     1. The cosine is at most the share that the known tokens (those of any template) have in the text's vector. A known
-       token weighs at most its number times the greatest weight of its class (USUAL); every other word weighs at least
-       what an unknown token does.
+       token weighs at most its number times the greatest weight of its class (USUAL); every other word weighs what an
+       unknown token does, and the squares of their numbers are least if all are equally frequent.
     2. The text holds enough tokens of a template (fewest(), and for short templates their weights).
     """
     vocabulary = sorted(idf)
@@ -107,22 +114,65 @@ def reachable(words: Column, idf: dict[str, float], vectors: list[tuple[str, dic
     def enough(w: Column, k: Column) -> Column:
         times = lambda t: (F.size(w) - F.size(F.array_remove(w, t))).cast("double")
         of = lambda t: F.coalesce(*(F.when(F.array_contains(_array(found), t), x * x) for x, found in bounds), F.lit(top * top))
-        weight = lambda t: F.pow(times(t), F.lit(2.0)) * of(t)
-        known = F.aggregate(k, F.lit(0.0), lambda total, t: total + weight(t))
-        others = F.size(F.array_distinct(w)) - F.size(k) - 1  # one may be the empty string of split()
-        return known >= others * (unknown * unknown * least * least / (1 - least * least) * (1 - 1e-9))
+        start = F.struct(F.lit(0.0).alias("weight"), F.lit(0.0).alias("times"))
+        more = lambda s, t, n: F.struct((s["weight"] + n * n * of(t)).alias("weight"), (s["times"] + n).alias("times"))
+        known = F.aggregate(k, start, lambda s, t: let(times(t), lambda n: more(s, t, n)))
+        distinct = F.size(F.array_distinct(w)) - F.size(k)  # one may be the empty string of split(), which comes twice at most
+        other = lambda s: F.greatest(F.size(w) - s["times"] - 2, F.lit(0.0))
+        others = lambda s: F.greatest(distinct - 1.0, other(s) * other(s) / F.greatest(distinct, F.lit(1)))
+        return F.exists(F.array(known), lambda s: s["weight"] >= others(s) * (unknown * unknown * least * least / (1 - least * least) * (1 - 1e-9)))
 
     kinds = {tuple(v): v for _, v in sorted(vectors, key=lambda x: tuple(x[1]))}
     # variables, so that words are made and looked up once and not for each template
     return F.exists(F.array(words), lambda w: F.exists(F.array(F.array_intersect(w, _array(vocabulary))), lambda k: (F.size(k) > 0) & enough(w, k) & reduce(or_, (held(k, v) for v in kinds.values()))))
 
 
+def scores(words: Column, idf: dict[str, float], vectors: list[tuple[str, dict[str, float]]], least: float) -> Column:
+    """array<struct<licence, score>>: the templates to which a text of the given words has a cosine of at least `least`.
+
+    All of it is made inside the row, so that no words are sent. Words are told from tokens by a hash set; the others'
+    numbers are runs of sorted words; the templates are one literal."""
+    vocabulary = sorted(idf)
+    at = {t: i for i, t in enumerate(vocabulary)}
+    tokens_of = F.from_json(F.lit(json.dumps([{"t": t, "idf": idf[t]} for t in vocabulary])), "array<struct<t: string, idf: double>>")
+    table = [{"licence": name, "of": [{"at": at[t], "w": w} for t, w in v.items()]} for name, v in vectors]
+    table = F.from_json(F.lit(json.dumps(table)), "array<struct<licence: string, of: array<struct<at: int, w: double>>>>")
+    square = math.pow(unknown_idf(vectors), 2)
+
+    def squares(others: Column) -> Column:
+        """The sum of the squares of the numbers of sorted words; a run that grows from n to n + 1 adds 2 n + 1."""
+        state = lambda t, n, total: F.struct(t.alias("t"), n.alias("n"), total.alias("total"))
+        on = lambda s, t: F.when(t == s["t"], state(t, s["n"] + 1, s["total"] + 2 * s["n"] + 1)).otherwise(state(t, F.lit(1).cast("long"), s["total"] + 1))
+        return F.aggregate(others, state(F.lit(""), F.lit(0).cast("long"), F.lit(0).cast("long")), on, lambda s: s["total"])
+
+    def weighed(known: Column, k: Column) -> Column:
+        """Of every token of the templates its weight in a text of the given known words, of which k are the distinct ones."""
+        numbers = F.transform(k, lambda t: (F.size(known) - F.size(F.array_remove(known, t))).cast("double"))
+        return let(numbers, lambda n: F.transform(tokens_of, lambda v: F.when(F.array_contains(k, v["t"]), F.get(n, (F.array_position(k, v["t"]) - 1).cast("int")) * v["idf"]).otherwise(0.0)))
+
+    def found(weights: Column, others: Column) -> Column:
+        held = F.aggregate(weights, F.lit(0.0), lambda total, x: total + x * x)
+        dot = lambda of: F.aggregate(of, F.lit(0.0), lambda total, x: total + F.get(weights, x["at"]) * x["w"])
+        of = lambda v, norm: F.struct(v["licence"].alias("licence"), F.round(dot(v["of"]) / norm, 6).alias("score"))
+        all_of = lambda norm: F.filter(F.transform(table, lambda v: of(v, norm)), lambda x: x["score"] >= least)
+        none = F.array().cast("array<struct<licence: string, score: double>>")
+        # the share of the known words bounds the cosine, but for its rounding to six digits
+        return let(held, lambda h: let(F.sqrt(h + others * square), lambda norm: F.when(F.sqrt(h) >= norm * (least - 1e-6), all_of(norm)).otherwise(none)))
+
+    def of_words(w: Column) -> Column:
+        others = squares(F.array_sort(F.filter(w, lambda t: ~t.isin(vocabulary) & (t != ""))))
+        known = F.filter(w, lambda t: t.isin(vocabulary))
+        return let(known, lambda k: let(weighed(k, F.array_distinct(k)), lambda weights: let(others, lambda n: found(weights, n))))
+
+    return let(words, of_words)
+
+
 def words_of(text: Column) -> Column:
     return F.split(F.lower(text), BETWEEN)
 
 
 def units(files: DataFrame) -> DataFrame:
-    """files(path, text) to path, mark (hash of the text), kind, place, last and raw: the lines of a text (kind 0), its blocks
+    """files(path, text) to path, kind, place, last and raw: the lines of a text (kind 0), its blocks
     of several lines without a blank one between them (1), and the whole of a text of several blocks (2); last: whether
     no text comes behind a line or block, and some comes before it; or it is the whole."""
 
@@ -134,7 +184,7 @@ def units(files: DataFrame) -> DataFrame:
     several = F.filter(of(1, F.split("text", BLANK)), lambda u: u["raw"].contains("\n"))
     whole = F.transform(F.filter(F.array(F.split("text", BLANK)), lambda p: F.size(p) > 1), lambda _: F.struct(F.lit(2).alias("kind"), F.lit(0).alias("place"), F.lit(True).alias("last"), F.col("text").alias("raw")))
     made = F.concat(of(0, F.split("text", "\n")), several, whole)
-    return files.select("path", F.xxhash64("text").alias("mark"), F.explode(made).alias("u")).select("path", "mark", "u.*")
+    return files.select("path", F.explode(made).alias("u")).select("path", "u.*")
 
 
 def notices(files: DataFrame, templates: Templates | None = None, least: float = LEAST) -> DataFrame:
@@ -142,22 +192,14 @@ def notices(files: DataFrame, templates: Templates | None = None, least: float =
     to a template is highest and at least `least`. Ties go to lines before blocks before wholes, then to the earliest,
     then to the first name.
 
-    The templates' vectors are as large as the templates, however many files there are; they are broadcast."""
+    A text's scores are made where the text is; only what reaches a template leaves its task."""
     templates = all_templates() if templates is None else templates
     idf, vectors = weights(templates)
-    spark = files.sparkSession
     may = files.where(may_hold(words_of(F.col("text")), idf, vectors, least))
-    found = units(may).where(may_hold(words_of(F.col("raw")), idf, vectors, least)).where(reachable(words_of(F.col("raw")), idf, vectors, least)).withColumn("words", words_of(F.col("raw")))
-    key = ["path", "mark", "kind", "place", "last"]
-    found = found.select(*key, F.explode("words").alias("token")).where("token <> ''").groupBy(*key, "token").agg(F.count("*").alias("n"))
-    table = spark.createDataFrame([(t, idf[t], [(k, name, v[t]) for k, (name, v) in enumerate(vectors) if t in v]) for t in idf], "token string, idf double, of array<struct<template: int, licence: string, weight: double>>")
-    found = found.join(F.broadcast(table), "token", "left")
-    weight = F.col("n") * F.coalesce("idf", F.lit(unknown_idf(templates)))
-    found = found.select(*key, weight.alias("w"), "of")
-    norm = found.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = found.where("of is not null").select(*key, "w", F.explode("of").alias("t")).groupBy(*key, "t.template", F.col("t.licence").alias("licence")).agg(F.sum(F.col("w") * F.col("t.weight")).alias("dot"))
-    scored = dots.join(norm, key).select(*key, "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
-    best = F.min(F.struct((-F.col("score")).alias("s"), "kind", "place", "licence", "last")).alias("b")
+    found = units(may).where(may_hold(words_of(F.col("raw")), idf, vectors, least)).where(reachable(words_of(F.col("raw")), idf, vectors, least))
+    # the outer explode looks at the scores once: of a plain one Spark makes a filter that makes them again
+    scored = found.select("path", "kind", "place", "last", F.explode_outer(scores(words_of(F.col("raw")), idf, vectors, least)).alias("x")).where("x is not null")
+    best = F.min(F.struct((-F.col("x.score")).alias("s"), "kind", "place", F.col("x.licence").alias("licence"), "last")).alias("b")
     return scored.groupBy("path").agg(best).select("path", "b.kind", "b.place", "b.last", "b.licence", (-F.col("b.s")).alias("score"))
 
 

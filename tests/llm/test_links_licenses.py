@@ -136,6 +136,11 @@ def test_no_text_is_left_out_that_reaches_a_template(spark):
     assert not all(kept) and not df.select(licenses.reachable(licenses.words_of(F.lit("the work is under a version of the program")), idf, vectors, licenses.LEAST)).first()[0]
 
 
+def test_no_words_of_texts_are_sent(spark):
+    plan = licenses.notices(spark.createDataFrame([("a", "MIT License")], "path string, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(path" in plan and "Join" not in plan
+
+
 def commented(text, sign):
     lines = textwrap.wrap(text, 70)
     return "\n".join(f"{sign} {x}" for x in lines)
