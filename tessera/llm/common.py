@@ -14,6 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own allocator keeps what is freed; what the C library's holds goes back to the system in _trim().
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Characters of text that one numpy pass works on; bounds a worker's memory whatever the batch holds.
 SLICE_CHARS = 1_000_000
 #: The same for passes that hold many numbers for each character.

@@ -5,8 +5,11 @@ sketches differ in at most as many bits as the symmetric difference has elements
 reach a Jaccard similarity of t only if that difference is at most d = (1 - t)(a + b)/(1 + t). Sketches are
 cut into K blocks by hash (K > d for all pairs of a size band, in which sizes differ by the factor WIDTH at
 most); by the pigeonhole principle a pair that links has equal blocks, so it meets in a join on (band,
-block, XOR). Blocks of at most one shingle say little: K has ALLOWED blocks to spare, and a document leaves
-such blocks out if it has no more of them than can be spared. So no pair that links is lost.
+block, XOR). Blocks of at most one shingle say little and empty ones nothing: all documents of a band that have
+the same empty block would meet there, and their pairs grow with the square of the table. So K has blocks to
+spare, and a document leaves such blocks out if it has no more of them than can be spared: those of at most one
+shingle in bands that can spare as many, else the empty ones. Very small sets have too few blocks for that: they
+send the XOR of every subset that may be all they share with a set they link with. So no pair that links is lost.
 
 Pairs that meet are verified exactly on their whole sets. A key with many documents is never expanded to
 its pairs: every document is first held against one pivot, and only keys whose documents are still in
@@ -18,6 +21,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import combinations, takewhile
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,10 @@ from tessera.llm.common import mixed
 from tessera.llm.components import components
 
 WIDTH = 1.38
-#: Blocks of fewer shingles count as saying little.
-TELLING = 2
+#: Blocks of fewer shingles count as saying little; the second where a band can't spare the blocks for the first.
+TELLING = (2, 1)
+#: Sets of which more subsets would be sent are cut into blocks.
+SUBSETS = 32
 #: Entries that a task gathers before it sends them off, and documents of a tile.
 ENTRIES, TILE = 500_000, 400
 #: Pairs for each document of a tile up to which all are verified at once.
@@ -50,50 +57,76 @@ class Measure:
         """The largest symmetric difference of a pair that links."""
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
+    def missing(self, n):
+        """How many of its n shingles a set may not share with one that it links with."""
+        return n * (self.den - self.num) // self.den
+
 
 @cache
-def bands(measure: Measure, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sizes of the bands up to size top, and each band's number of blocks and of blocks to spare."""
+def bands(measure: Measure, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First sizes of the bands up to size top, and each band's number of blocks, of blocks to spare, and of shingles
+    that make a block telling. Sets of the first band send subsets, not blocks."""
     first = [1]
     while first[-1] <= top:
         first.append(max(int(first[-1] * WIDTH), first[-1] * measure.den // measure.num + 1))
     first.append(max(int(first[-1] * WIDTH), first[-1] * measure.den // measure.num + 1))
-    blocks, spare = [], []
-    for lo, end in zip(first, first[1:], strict=False):
+    few = [*takewhile(lambda lo: sum(comb(lo - 1, i) for i in range(measure.missing(lo - 1) + 1)) <= SUBSETS, first[:-1])]
+    first[: len(few)] = [1, few[-1]]
+    blocks, spare, least = [1], [0], [1]
+    for lo, end in zip(first[1:], first[2:], strict=False):
         base, low = measure.most(end - 1, end - 1) + 1, -(-lo * measure.num // measure.den)
-        extra = 0
-        for _ in range(30):
-            rate = low / (base + extra)
-            share = np.exp(-rate) * (1 + rate)  # of blocks with at most one shingle
-            emitted = measure.most(low, low * measure.den // measure.num) + 1 + extra
-            extra = int(np.ceil(emitted * share + 3 * np.sqrt(emitted * share)))
-        if extra > base // 3:
+        for telling in TELLING:
             extra = 0
+            for _ in range(30):
+                rate = low / (base + extra)
+                share = np.exp(-rate) * (1 + rate * (telling > 1))  # of blocks that are not telling
+                emitted = measure.most(low, low * measure.den // measure.num) + 1 + extra
+                extra = max(1, int(emitted * share + (telling + 1) * np.sqrt(emitted * share) + (telling > 1)))
+            if extra <= base // 3:
+                break
+        extra = min(extra, base)
         blocks.append(base + extra)
         spare.append(extra)
-    return np.array(first[:-1]), np.array(blocks), np.array(spare)
+        least.append(telling)
+    return np.array(first[:-1]), np.array(blocks), np.array(spare), np.array(least)
 
 
 def keys(h: np.ndarray, n: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
     """The keys of sets (ascending hashes end to end, n of each) and the set of each key."""
     if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    first, blocks, spare = bands(measure, 1 << int(n.max()).bit_length())
+    first, *cut = bands(measure, 1 << int(n.max()).bit_length())
     own = np.searchsorted(first, n, side="right") - 1
     largest = n * measure.den // measure.num
     end = first[np.minimum(own + 1, len(first) - 1)]
-    found = [_emit(h, n, measure, np.flatnonzero(n > 0), own, np.minimum(largest, end - 1), blocks, spare)]
+    found = [_subsets(h, n, measure, int(first[1])), _emit(h, n, measure, np.flatnonzero(n >= first[1]), own, np.minimum(largest, end - 1), *cut)]
     above = np.flatnonzero((n > 0) & (largest >= end))
-    found.append(_emit(h, n, measure, above, own + 1, largest, blocks, spare))
+    found.append(_emit(h, n, measure, above, own + 1, largest, *cut))
     return np.concatenate([k for k, _ in found]), np.concatenate([s for _, s in found])
 
 
-def _emit(h, n, measure, sets, band, partner, blocks, spare) -> tuple[np.ndarray, np.ndarray]:
+def _subsets(h, n, measure, end) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sets smaller than end: the XOR of every subset that lacks no more shingles than a link allows."""
+    start, key, of = np.cumsum(n) - n, [], []
+    for size in range(1, end):
+        sets = np.flatnonzero(n == size)
+        if not len(sets):
+            continue
+        x = mixed(h[start[sets][:, None] + np.arange(size)] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        whole = np.bitwise_xor.reduce(x, axis=1)
+        for left_out in range(measure.missing(size) + 1):
+            for some in combinations(range(size), left_out):
+                key.append(mixed((whole ^ np.bitwise_xor.reduce(x[:, list(some)], axis=1)) + mixed(np.uint64([size - left_out]))))
+                of.append(sets)
+    return (np.concatenate(key), np.concatenate(of)) if key else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _emit(h, n, measure, sets, band, partner, blocks, spare, least) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the given sets in the given band, in which no partner is larger than `partner`."""
     if not len(sets):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     size, band = n[sets], band[sets].astype(np.uint64)
-    k, a = blocks[band.astype(np.int64)], spare[band.astype(np.int64)]
+    k, a, telling_from = (x[band.astype(np.int64)] for x in (blocks, spare, least))
     sent = np.minimum(k, measure.most(size, partner[sets]) + 1 + a)
     start = (np.cumsum(n) - n)[sets]
     of = np.repeat(np.arange(len(sets)), size)
@@ -103,7 +136,7 @@ def _emit(h, n, measure, sets, band, partner, blocks, spare) -> tuple[np.ndarray
     xor, count = np.bitwise_xor.reduceat(mixed(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)), edge), np.diff(np.append(edge, len(x)))
     of, block = of[edge], block[edge].astype(np.int64)
     inside = block < sent[of]
-    telling = inside & (count >= TELLING)
+    telling = inside & (count >= telling_from[of])
     weak = sent - np.bincount(of[telling], minlength=len(sets)) > a
     keep = np.where(weak[of], inside, telling)
     which, block, xor = of[keep], block[keep], xor[keep]

@@ -105,6 +105,31 @@ def test_every_pair_that_links_shares_a_key(num, seed):
             assert set(k[of == 0].tolist()) & set(k[of == 1].tolist()), (size, len(y))
 
 
+@pytest.mark.parametrize("m", [jaccard.Measure(5, 80, 100), MEASURE])
+@pytest.mark.parametrize("size", [5, 9, 12, 18, 25, 45, 300, 1000])
+def test_sets_that_share_no_shingle_share_hardly_a_key(m, size):
+    """Blocks without a shingle are equal in all sets of a band: documents that send them meet with no word in common."""
+    count = 400
+    h = np.sort(np.random.default_rng(size).integers(0, 1 << 63, (count, size), dtype=np.int64).astype(np.uint64) * np.uint64(2), axis=1).ravel()
+    k, of = jaccard.keys(h, np.full(count, size), m)
+    _, sharing = np.unique(np.unique(np.stack([k, of.astype(np.uint64)]), axis=1)[0], return_counts=True)
+    assert (sharing * (sharing - 1) // 2).sum() <= count * count / 200
+
+
+@pytest.mark.parametrize("num", [50, 80, 85, 100])
+def test_small_sets_that_link_share_a_key(num):
+    """Every way to lose and gain a few shingles, below and across the border of the first band."""
+    rng, m = np.random.default_rng(num), jaccard.Measure(4, num, 100)
+    pool = rng.integers(0, 1 << 63, 60, dtype=np.int64).astype(np.uint64)
+    for a in range(1, 26):
+        for lost in range(m.missing(a) + 1):
+            for gained in range(a + 1):
+                x, y = np.sort(pool[:a]), np.sort(pool[lost : a + gained])
+                if jaccard.similar(x, y, m):
+                    k, of = jaccard.keys(np.concatenate([x, y]), np.array([len(x), len(y)]), m)
+                    assert set(k[of == 0].tolist()) & set(k[of == 1].tolist()), (len(x), len(y), lost)
+
+
 def test_tiles_and_forest(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 5)
     monkeypatch.setattr(jaccard, "PAIRS", 0)
